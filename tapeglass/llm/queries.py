@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeglass.llm.common import table
+from tapeglass.llm.common import new_folder, table
+from tapeglass.llm.packing import pack_documents
 from tapeglass.llm.pieces import encode_documents
 from tapeglass.llm.sharding import shard_documents
+from tapeglass.llm.tokencount import count_tokens
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), length=2048)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +25,16 @@ def op6_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache of its own, so that every distinct text is counted here."""
+    return count_tokens(table(spark, sf_dir, "documents"), new_folder(spark, "token-cache"), limit=4096)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_sentencepiece": op2_sentencepiece,
     "op6_vector_sharding": op6_vector_sharding,
+    "op8_token_counts": op8_token_counts,
 }
 
 SQL: dict[str, str] = {}
