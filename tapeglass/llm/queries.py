@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeglass.llm.common import new_folder, table
+from tapeglass.llm.langid import identify_languages
 from tapeglass.llm.packing import pack_documents
 from tapeglass.llm.pieces import encode_documents
 from tapeglass.llm.sharding import shard_documents
@@ -21,6 +22,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op6_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -33,6 +38,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_language_id": op3_language_id,
     "op6_vector_sharding": op6_vector_sharding,
     "op8_token_counts": op8_token_counts,
 }
