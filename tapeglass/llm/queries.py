@@ -10,6 +10,7 @@ from tapeglass.llm.common import new_folder, table
 from tapeglass.llm.langid import identify_languages
 from tapeglass.llm.packing import pack_documents
 from tapeglass.llm.pieces import encode_documents
+from tapeglass.llm.quality import RATE_SQL, rate_documents
 from tapeglass.llm.sharding import shard_documents
 from tapeglass.llm.tokencount import count_tokens
 
@@ -30,6 +31,10 @@ def op6_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rate_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache of its own, so that every distinct text is counted here."""
     return count_tokens(table(spark, sf_dir, "documents"), new_folder(spark, "token-cache"), limit=4096)
@@ -40,7 +45,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_language_id": op3_language_id,
     "op6_vector_sharding": op6_vector_sharding,
+    "op7_line_quality": op7_line_quality,
     "op8_token_counts": op8_token_counts,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_line_quality": RATE_SQL,
+}
