@@ -12,6 +12,7 @@ from tapeglass.llm.linededup import mark_lines
 from tapeglass.llm.packing import pack_documents
 from tapeglass.llm.pieces import encode_documents
 from tapeglass.llm.quality import RATE_SQL, rate_documents
+from tapeglass.llm.setjoin import JOIN_SQL, join_documents
 from tapeglass.llm.sharding import shard_documents
 from tapeglass.llm.tokencount import count_tokens
 
@@ -28,6 +29,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_language_id": op3_language_id,
+    "op4_jaccard_join": op4_jaccard_join,
     "op6_vector_sharding": op6_vector_sharding,
     "op7_line_quality": op7_line_quality,
     "op8_token_counts": op8_token_counts,
@@ -56,5 +62,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_jaccard_join": JOIN_SQL,
     "op7_line_quality": RATE_SQL,
 }
