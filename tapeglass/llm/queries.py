@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tapeglass.llm.common import new_folder, table
 from tapeglass.llm.langid import identify_languages
 from tapeglass.llm.linededup import mark_lines
+from tapeglass.llm.neardup import NEAR_SQL, near_duplicates
 from tapeglass.llm.packing import pack_documents
 from tapeglass.llm.pieces import encode_documents
 from tapeglass.llm.quality import RATE_SQL, rate_documents
@@ -46,6 +47,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), new_folder(spark, "token-cache"), limit=4096)
 
 
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_lines(table(spark, sf_dir, "documents"), similarity=0.75)
 
@@ -58,10 +63,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_vector_sharding": op6_vector_sharding,
     "op7_line_quality": op7_line_quality,
     "op8_token_counts": op8_token_counts,
+    "op9_nn_descent": op9_nn_descent,
     "op10_line_dedup": op10_line_dedup,
 }
 
 SQL: dict[str, str] = {
     "op4_jaccard_join": JOIN_SQL,
     "op7_line_quality": RATE_SQL,
+    "op9_nn_descent": NEAR_SQL,
 }
