@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from itertools import accumulate
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -29,29 +30,43 @@ PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{
 PLAIN = regex.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 
 
+def byte_letters() -> list[str]:
+    """The character by which byte-level vocabularies write each byte: printable bytes of
+    Latin-1 stand for themselves, the others take code points from 256 on in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
 class WordTokens:
     """Ids of a word by the tokenizers library, as packed unsigned 16-bit integers.
 
     The normaliser and the pre-tokenizer never join what white space parts, so a text's
     ids are its words' ids in a row. A word of plain characters falls further into the
-    pattern's matches, which repeat far more often than words do."""
+    pattern's matches, which repeat far more often than words do and go straight to the
+    library's model; any other word goes through the library whole."""
 
     def __init__(self, path: str) -> None:
         self.tok = Tokenizer.from_file(path)
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit in 16 bits")
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.parts = WordCache(self.encode)
+        self.model = self.tok.model
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.letters = byte_letters()
+        self.parts = WordCache(self.part, limit=600_000)
         self.words = WordCache(self.word, limit=800_000)
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+    def part(self, text: str) -> bytes:
+        shown = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return pack("<%dH" % len(ids), *ids)
 
     def word(self, raw: bytes) -> bytes:
         word = raw.decode("utf-8", "replace")
-        if not PLAIN.fullmatch(word) or any(s in word for s in self.special):
-            return self.encode(word)
-        return b"".join(map(self.parts.__getitem__, PRETOKEN.findall(word.lower())))
+        if PLAIN.fullmatch(word) and not any(s in raw for s in self.special):
+            return b"".join(map(self.parts.__getitem__, PRETOKEN.findall(word.lower())))
+        ids = self.tok.encode(word, add_special_tokens=False).ids
+        return pack("<%dH" % len(ids), *ids)
 
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, words_of(text)))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeglass.llm.common import new_folder, table
+from tapeglass.llm.html_extract import extract_pages
 from tapeglass.llm.langid import identify_languages
 from tapeglass.llm.linededup import mark_lines
 from tapeglass.llm.neardup import NEAR_SQL, near_duplicates
@@ -34,6 +35,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_language_id": op3_language_id,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_html_extraction": op5_html_extraction,
     "op6_vector_sharding": op6_vector_sharding,
     "op7_line_quality": op7_line_quality,
     "op8_token_counts": op8_token_counts,
