@@ -242,34 +242,43 @@ def sample(docs: DataFrame, per_language: int, max_chars: int) -> tuple[list[str
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
+def labeller(model: Crf):
+    """A function from texts to (language, score) lists; a task keeps one for all its batches."""
+    cache: dict[str, bytes] = {}
+    labels = len(model.languages)
+
+    def label(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        tokens = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        counts = np.array([len(words) for words in tokens])
+        if len(cache) > CACHED_WORDS:
+            cache.clear()
+        new = list(set().union(*tokens).difference(cache))
+        cache.update(zip(new, map(bytes, model.emissions(new).astype("<f8")), strict=True))
+        pred, score = ["und"] * len(texts), np.zeros(len(texts))
+        full = np.flatnonzero(counts)
+        if len(full) and labels:
+            packed = b"".join(b"".join(map(cache.__getitem__, words)) for words in tokens)
+            e = np.frombuffer(packed, dtype="<f8").reshape(-1, labels)
+            starts = (np.cumsum(counts) - counts)[full]
+            begins = np.zeros(len(e), dtype=bool)
+            begins[starts] = True
+            mean = np.add.reduceat(marginals_of(e, begins, model), starts, axis=0) / counts[full][:, None]
+            for i, best, s in zip(full, mean.argmax(1), mean.max(1), strict=True):
+                pred[i], score[i] = model.languages[best], min(1.0, s)
+        return pred, score
+
+    return label
+
+
 def predict(docs: DataFrame, crf: Crf) -> DataFrame:
     """(doc_id, lang_pred, score) of every row's whole text, in one pass without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(crf)  # fixed size: the hashed features and a sample's lexicon
 
     def make():
-        model = shared.value
-        cache: dict[str, bytes] = {}
-        labels = len(model.languages)
+        label = labeller(shared.value)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            tokens = [LETTERS.findall(t.lower()) if t else [] for t in batch.column("text").to_pylist()]
-            sizes = [len(words) for words in tokens]
-            if len(cache) > CACHED_WORDS:
-                cache.clear()
-            new = list(set().union(*tokens).difference(cache))
-            cache.update(zip(new, map(bytes, model.emissions(new).astype("<f8")), strict=True))
-            packed = [b"".join(map(cache.__getitem__, words)) for words in tokens]
-            counts = np.array(sizes)
-            pred, score = ["und"] * len(sizes), np.zeros(len(sizes))
-            full = np.flatnonzero(counts)
-            if len(full) and labels:
-                e = np.frombuffer(b"".join(packed), dtype="<f8").reshape(-1, labels)
-                starts = (np.cumsum(counts) - counts)[full]
-                begins = np.zeros(len(e), dtype=bool)
-                begins[starts] = True
-                mean = np.add.reduceat(marginals_of(e, begins, model), starts, axis=0) / counts[full][:, None]
-                for i, best, s in zip(full, mean.argmax(1), mean.max(1), strict=True):
-                    pred[i], score[i] = model.languages[best], min(1.0, s)
+            pred, score = label(batch.column("text").to_pylist())
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
         return work
@@ -277,6 +286,25 @@ def predict(docs: DataFrame, crf: Crf) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, lang_pred string, score double", rows=256)
 
 
+def keep_identified(docs: DataFrame, crf: Crf, least_score: float = 0.4) -> DataFrame:
+    """The rows of ``docs`` whose text has a language (not "und") with at least ``least_score``.
+
+    All columns pass through unchanged; null text and text without a letter go."""
+    shared = docs.sparkSession.sparkContext.broadcast(crf)
+    at = docs.columns.index("text")
+
+    def make():
+        label = labeller(shared.value)
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            pred, score = label(batch.column(at).to_pylist())
+            return batch.filter(pa.array([p != "und" and s >= least_score for p, s in zip(pred, score, strict=True)], pa.bool_()))
+
+        return work
+
+    return arrow_map(docs, make, docs.schema, rows=256)
+
+
 def train(docs: DataFrame, per_language: int = 250, max_chars: int = 8000) -> Crf:
     return fit(*sample(docs, per_language, max_chars))
 

@@ -424,6 +424,36 @@ def join_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def keep_one_per_group(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of linked documents: the one with the smallest doc_id
+    (null last), then the smallest hash of the text. Same columns; documents without
+    shingles link with nothing and stay. Of rows that repeat a doc_id and a text one stays
+    if they have shingles."""
+    text_key = F.xxhash64("text", F.octet_length("text"))
+    keyed = docs.select("doc_id", "text", text_key.alias("key"))
+    described = cut(describe(keyed), "join-described")
+    roots = link_sets(keyed, described)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    full = described.where("n > 0").join(roots, described["digest"] == roots["node"], "left")
+    full = full.withColumn("root", F.coalesce("root", "digest")).withColumn("place", order).select("root", "place")
+    keepers = full.groupBy("root").agg(F.min("place").alias("keeper"), F.count("*").alias("rows"))
+    many = keepers.where("rows > 1").select("root", "keeper")
+    gone = cut(
+        full.join(many, "root").where("place <> keeper").select(F.col("place.doc_id").alias("gone_id"), F.col("place.key").alias("gone_key")).distinct(),
+        "join-gone",
+    )
+    source = docs.withColumn("row_key_of_text", text_key)
+    same = source["doc_id"].eqNullSafe(gone["gone_id"]) & (source["row_key_of_text"] == gone["gone_key"])
+    left = source.join(gone, same, "left_anti")
+    repeated = cut(described.where("n > 0").groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"), "join-repeated")
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    again = repeated.select(F.col("doc_id").alias("again_id"), F.col("key").alias("again_key"))
+    twice = left["doc_id"].eqNullSafe(again["again_id"]) & (left["row_key_of_text"] == again["again_key"])
+    once = left.join(again, twice, "left_anti")
+    return once.unionByName(left.join(again, twice, "left_semi").dropDuplicates(["doc_id", "row_key_of_text"])).select(*docs.columns)
+
+
 # The same rows as SQL: all shared shingles counted, components by repeated minima.
 JOIN_SQL = r"""
 WITH RECURSIVE words AS (
