@@ -20,13 +20,15 @@ from tapeglass.llm.common import cut
 HEAVY_PER_SHARD = 64
 LIGHT_BUCKETS = 8192
 DIMS = ("size", "tokens", "one")
+WEIGHTS = np.array([8.0, 1.0, 1.0])  # of bytes, tokens and rows in the dot product
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
 def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each vector: heaviest first, to the shard with the largest dot product of
-    vector and residual capacity; a shard where the vector fits goes before one where it
-    doesn't. Ties go to the lowest shard."""
+    vector and residual capacity, dimensions weighed by WEIGHTS. A shard with room for the
+    first dimension, the law, goes before one without; if none has room, the one with most
+    of it takes the vector. Ties go to the lowest shard."""
     total = vectors.sum(axis=0)
     unit = vectors / np.where(total > 0, total, 1) * shards
     residual = np.ones((shards, vectors.shape[1]))
@@ -34,10 +36,8 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     order = np.lexsort((np.arange(len(unit)), -unit.sum(axis=1), -unit.max(axis=1)))
     for i in order:
         v = unit[i]
-        score = residual @ v
-        fits = (residual + 1e-9 >= v).all(axis=1)
-        if fits.any():
-            score = np.where(fits, score, -np.inf)
+        fits = residual[:, 0] + 1e-9 >= v[0]
+        score = np.where(fits, residual @ (WEIGHTS * v), -np.inf) if fits.any() else residual[:, 0]
         out[i] = k = int(np.argmax(score))
         residual[k] -= v
     return out
