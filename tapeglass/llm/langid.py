@@ -99,8 +99,8 @@ class Crf:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """(words, languages): the summed weights over the root of the number of features."""
-        if not words:
-            return np.zeros((0, len(self.languages)))
+        if not words or not self.languages:
+            return np.zeros((len(words), len(self.languages)))
         at, found = word_features(words, self.lexicon)
         sums = [np.bincount(at, self.weights[found, k], len(words)) for k in range(len(self.languages))]
         return np.stack(sums, axis=1) / np.sqrt(np.bincount(at, minlength=len(words)))[:, None]
