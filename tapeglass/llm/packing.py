@@ -10,6 +10,7 @@ windows. Nothing but the totals is shuffled.
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 from itertools import accumulate
 from struct import pack
 
@@ -53,8 +54,8 @@ class WordTokens:
         self.model = self.tok.model
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
-        self.parts = WordCache(self.part, limit=600_000)
-        self.words = WordCache(self.word, limit=800_000)
+        self.parts = WordCache(self.part, limit=800_000)
+        self.words = WordCache(self.word, limit=1_200_000)
 
     def part(self, text: str) -> bytes:
         shown = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
@@ -72,12 +73,18 @@ class WordTokens:
         return b"".join(map(self.words.__getitem__, words_of(text)))
 
 
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One per worker process, so that its tasks share the caches."""
+    return WordTokens(path)
+
+
 def tokenise(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids binary, n, part, local): ids as 16-bit integers with the end id, and the
     offset inside the partition."""
 
     def make():
-        tokens = WordTokens(path)
+        tokens = word_tokens(path)
         part, local = TaskContext.get().partitionId(), [0]
         end = np.array([END_ID], dtype="<u2").tobytes()
 
