@@ -42,5 +42,5 @@ def feed_items(payloads: DataFrame) -> DataFrame:
     parsed = payloads.select("feed_url", "source_tier", F.from_xml(fixed, f"struct<channel:struct<item:{item}>>").alias("rss"))
     each = parsed.select("feed_url", "source_tier", F.explode("rss.channel.item").alias("i"))
     text = F.trim(F.regexp_replace(F.regexp_replace("i.description", "<[^>]+>", " "), r"\s+", " "))
-    when = F.coalesce(F.try_to_timestamp("i.pubDate", F.lit("EEE, dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("i.pubDate"))
+    when = F.coalesce(F.try_to_timestamp(F.regexp_replace("i.pubDate", "^[A-Za-z]+, *", ""), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("i.pubDate"))
     return each.select("feed_url", "source_tier", F.trim("i.title").alias("title"), F.trim("i.link").alias("link"), text.alias("summary"), when.alias("published"))
