@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeglass.functions import scores
+from tapeglass.operators import alerts as alerting
 from tapeglass.operators import bars, merge, news, retention, stats, tape, timejoin
 from tapeglass.sources import adapters as src
 
@@ -191,11 +192,47 @@ def article_tokens(spark: SparkSession, d: str) -> DataFrame:
     return found.select("article_id", F.size("tokens").alias("n_tokens"), F.array_join(F.array_sort("tokens"), " ").alias("tokens"))
 
 
+def market_alerts(spark: SparkSession, d: str) -> DataFrame:
+    book = stats.book_activity(src.book_events(spark, d), src.ORIGIN_US + 2_500_000_000, minutes=3)
+    found = alerting.market_alerts(src.quotes(spark, d), book)
+    return found.select("market_pk", "score", "severity", F.concat_ws(",", "reasons").alias("reasons"))
+
+
+def flags(spark: SparkSession, d: str) -> DataFrame:
+    return tape.score_prints(src.trades(spark, d)).where("score >= 0.3")
+
+
+def best_flags(spark: SparkSession, d: str) -> DataFrame:
+    return alerting.best_flags(flags(spark, d), 5).select("market_pk", "trade_pk", "score", "rank", alerting.flag_severity(F.col("score")).alias("severity"))
+
+
+def reason_codes(spark: SparkSession, d: str) -> DataFrame:
+    found = alerting.reason_codes(flags(spark, d))
+    return found.select("market_pk", F.concat_ws(",", "codes").alias("codes"))
+
+
+def diversified_flags(spark: SparkSession, d: str) -> DataFrame:
+    named = flags(spark, d).join(src.markets(spark, d).select("market_pk", "category", "event_id"), "market_pk", "left")
+    named = named.select("market_pk", "trade_pk", "ts_us", "score", "category", "event_id")
+    return alerting.diversified(named, 25, sports=("machinery", "building"))
+
+
+def system_counters(spark: SparkSession, d: str) -> DataFrame:
+    return alerting.system_counters(src.markets(spark, d), src.trades(spark, d), flags(spark, d))
+
+
+def baseline_lookup(spark: SparkSession, d: str) -> DataFrame:
+    markets = src.markets(spark, d).select("market_pk", "category", F.col("event_id").alias("subcategory"))
+    found = alerting.baseline_of_market(markets, stats.peer_baselines(src.trades(spark, d).join(markets, "market_pk", "left")))
+    return found.select("market_pk", "scope", "sample_size", F.round("count_p95", 6).alias("count_p95"), F.round("move_p95", 6).alias("move_p95"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         tape_scores, price_bars, hourly_bars, side_volume, minute_features, tape_bursts, burst_summary, quote_asof, follow_through, news_after, news_before,
         peer_baselines, trade_stats, latest_quotes, book_activity, market_breakdowns, top_markets, market_lifecycle, market_scores, retention_tiers,
-        prune_plan, raw_expiry, alert_rollup, metrics_merge, latest_merge, article_keys, article_tokens,
+        prune_plan, raw_expiry, alert_rollup, metrics_merge, latest_merge, article_keys, article_tokens, market_alerts,
+        best_flags, reason_codes, diversified_flags, system_counters, baseline_lookup,
     )
 }

@@ -234,3 +234,64 @@ FROM markets m FULL JOIN l ON l.market_pk = m.market_pk""",
 t AS (SELECT article_id, [w FOR w IN list_distinct(regexp_extract_all(lower(title || ' ' || summary), '[a-z0-9]{{3,}}')) IF NOT list_contains({STOPWORDS!r}, w)] AS tokens FROM articles)
 SELECT article_id, CAST(len(tokens) AS INT) AS n_tokens, array_to_string(list_sort(tokens), ' ') AS tokens FROM t""",
 }
+
+# Later queries reuse the text of earlier ones as subqueries.
+SQL |= {
+    "market_alerts": f"""WITH {QUOTES_SQL}, {BOOK_SQL},
+r AS (
+  SELECT *, row_number() OVER w AS place, CASE WHEN last_price IS NOT NULL THEN 'last' ELSE 'mid' END AS mode,
+    CASE WHEN last_price > 0 THEN last_price ELSE (yes_bid + yes_ask) / 2 END AS ref, yes_ask - yes_bid AS spread
+  FROM quotes WINDOW w AS (PARTITION BY market_pk ORDER BY ts_us DESC, quote_pk DESC)
+),
+p AS (
+  SELECT *, CASE WHEN place < 40 AND mode = lead(mode) OVER w THEN ref - lead(ref) OVER w END AS moved,
+    CASE WHEN place < 40 THEN CAST(volume - lead(volume) OVER w AS DOUBLE) END AS traded
+  FROM r WINDOW w AS (PARTITION BY market_pk ORDER BY place)
+),
+s AS (
+  SELECT market_pk, list(spread ORDER BY place) FILTER (place <= 30) AS spreads, coalesce(list(moved ORDER BY place) FILTER (moved IS NOT NULL), []) AS moves,
+    coalesce(list(traded ORDER BY place) FILTER (traded IS NOT NULL), []) AS volumes, arg_min(yes_bid, place) AS bid, arg_min(yes_ask, place) AS ask, arg_min(spread, place) AS spread,
+    max(moved) FILTER (place = 1) AS moved, max(traded) FILTER (place = 1) AS traded, count(*) AS n
+  FROM p WHERE place <= 40 GROUP BY market_pk
+),
+z AS (
+  SELECT *, {", ".join(f"coalesce(len({c}) > 5 AND list_aggregate({c}[2:], 'stddev_samp') > 1e-9 AND abs({c}[1] - list_aggregate({c}[2:], 'avg')) / list_aggregate({c}[2:], 'stddev_samp') > 2.8, false) AS {c}_hit" for c in ("spreads", "moves", "volumes"))} FROM s
+),
+k AS (
+  SELECT market_pk AS mk, count(*) > 400 AS churn, coalesce(-sum(delta) FILTER (NOT is_snapshot AND delta < 0), 0) > 75 AND count(*) FILTER (NOT is_snapshot) > 30 AS cancel
+  FROM book WHERE received_us BETWEEN {ORIGIN_US + 2_500_000_000 - 180_000_000} AND {ORIGIN_US + 2_500_000_000} GROUP BY market_pk
+),
+rules AS (
+  SELECT market_pk, [
+    {{'t': spreads_hit, 'p': 2.5, 'r': 'wide spread vs recent baseline'}}, {{'t': NOT spreads_hit AND spread > 0.12, 'p': 2.0, 'r': 'wide spread'}},
+    {{'t': bid = 0 AND ask = 0, 'p': 1.0, 'r': 'empty visible book'}}, {{'t': moves_hit, 'p': 3.0, 'r': 'large price move vs recent'}},
+    {{'t': NOT moves_hit AND abs(moved) >= 0.15, 'p': 3.0, 'r': 'sharp price move'}}, {{'t': volumes_hit, 'p': 2.5, 'r': 'large volume change vs recent'}},
+    {{'t': NOT volumes_hit AND traded >= 50, 'p': 2.5, 'r': 'large volume jump'}},
+    {{'t': NOT volumes_hit AND traded >= 25 AND traded < 50, 'p': 1.0, 'r': 'moderate volume jump'}}, {{'t': n < 2, 'p': 0.0, 'r': 'limited history'}},
+    {{'t': churn, 'p': 1.5, 'r': 'high order-book event rate'}}, {{'t': cancel, 'p': 2.0, 'r': 'sustained cancel side'}}] AS all_rules
+  FROM z LEFT JOIN k ON mk = market_pk
+),
+hits AS (SELECT market_pk, [x FOR x IN all_rules IF coalesce(x.t, false)] AS h FROM rules)
+SELECT market_pk, CAST(coalesce(list_sum([x.p FOR x IN h]), 0) AS DOUBLE) AS score,
+  CASE WHEN coalesce(list_sum([x.p FOR x IN h]), 0) >= 5 THEN 'high' WHEN coalesce(list_sum([x.p FOR x IN h]), 0) >= 2.5 THEN 'medium'
+       WHEN coalesce(list_sum([x.p FOR x IN h]), 0) > 0 THEN 'low' ELSE 'none' END AS severity,
+  coalesce(array_to_string([x.r FOR x IN h], ','), '') AS reasons FROM hits""",
+    "best_flags": f"""WITH scored AS ({SQL["tape_scores"]}), ranked AS (
+  SELECT market_pk, trade_pk, score, row_number() OVER (PARTITION BY market_pk ORDER BY score DESC, trade_pk) AS rank FROM scored WHERE score >= 0.3
+)
+SELECT *, CASE WHEN score >= 8.5 THEN 'critical' WHEN score >= 7 THEN 'high' WHEN score >= 5 THEN 'medium' ELSE 'low' END AS severity FROM ranked WHERE rank <= 5""",
+    "reason_codes": f"""WITH scored AS ({SQL["tape_scores"]}),
+e AS (SELECT market_pk, trade_pk, unnest(string_split(reasons, ',')) AS code, generate_subscripts(string_split(reasons, ','), 1) AS place FROM scored WHERE score >= 0.3 AND reasons <> ''),
+f AS (SELECT market_pk, code, min(trade_pk * 100 + place) AS pos FROM e GROUP BY market_pk, code)
+SELECT market_pk, string_agg(code, ',' ORDER BY pos) AS codes FROM f GROUP BY market_pk""",
+    "system_counters": f"""WITH scored AS ({SQL["tape_scores"]}), {TRADES_SQL}, {MARKETS_SQL}
+SELECT (SELECT count(*) FROM markets) AS markets, (SELECT count(*) FROM markets WHERE status = 'active') AS active_markets,
+  (SELECT count(*) FROM markets WHERE prior IN ('high', 'medium_high')) AS high_prior_markets, (SELECT count(*) FROM trades) AS prints,
+  (SELECT CAST(coalesce(sum(cnt), 0) AS DOUBLE) FROM trades) AS contracts, (SELECT count(DISTINCT market_pk) FROM trades) AS traded_markets,
+  (SELECT count(DISTINCT market_pk) FROM scored WHERE score >= 0.3) AS flagged_markets""",
+    "baseline_lookup": f"""WITH b AS ({SQL["peer_baselines"]}), {MARKETS_SQL}
+SELECT m.market_pk, CASE WHEN x.category IS NOT NULL THEN 'exact' WHEN y.category IS NOT NULL THEN 'category' END AS scope,
+  CASE WHEN x.category IS NOT NULL THEN x.sample_size ELSE y.sample_size END AS sample_size,
+  CASE WHEN x.category IS NOT NULL THEN x.count_p95 ELSE y.count_p95 END AS count_p95, CASE WHEN x.category IS NOT NULL THEN x.move_p95 ELSE y.move_p95 END AS move_p95
+FROM markets m LEFT JOIN b x ON x.category = m.category AND x.subcategory = m.event_id LEFT JOIN b y ON y.category = m.category AND y.subcategory = '*'""",
+}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeglass.functions import scores
-from tapeglass.operators import bars, merge, news, retention, stats, tape, timejoin
+from tapeglass.operators import alerts, bars, merge, news, retention, stats, tape, timejoin
 from tapeglass.sources import adapters, messages
 from tapeglass.streaming import jobs
 
@@ -181,3 +181,21 @@ def test_streams_equal_batches(spark, tmp_path):
     query.stop()
     want = {tuple(r) for r in jobs.live_bars(frame).collect()}
     assert {tuple(r) for r in spark.table("bars").collect()} == want
+
+
+def test_diversified_keeps_the_rules(spark):
+    rows = [(i % 4, i, i, 10.0 - i * 0.1, ["sports_outcome", "politics", "macro"][i % 3], f"e{i % 5}") for i in range(60)]
+    flags = spark.createDataFrame(rows, "market_pk long, trade_pk long, ts_us long, score double, category string, event_id string")
+    got = alerts.diversified(flags, 10).orderBy("place").collect()
+    assert len(got) == 10 and [r.place for r in got] == list(range(1, 11))
+    assert [r.trade_pk for r in got[:3]] == [0, 1, 2]  # different markets, best scores
+    sports = [r for r in got if r.category == "sports_outcome"]
+    assert len(sports) <= 4 and len({r.event_id for r in sports}) == len(sports)
+
+
+def test_alerts_on_a_jump(spark):
+    quotes = [(1, i, i * 1_000_000, 0.45, 0.55, None, 100.0) for i in range(11)] + [(1, 20, 99_000_000, 0.60, 0.90, None, 160.0), (2, 30, 0, 0.4, 0.5, None, 1.0)]
+    df = spark.createDataFrame(quotes, "market_pk long, quote_pk long, ts_us long, yes_bid double, yes_ask double, last_price double, volume double")
+    got = {r.market_pk: r for r in alerts.market_alerts(df).collect()}
+    assert got[1].severity == "high" and set(got[1].reasons) == {"wide spread", "sharp price move", "large volume jump"}
+    assert (got[2].score, got[2].severity, got[2].reasons) == (0.0, "none", ["limited history"])

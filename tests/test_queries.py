@@ -31,7 +31,7 @@ def plain(value):
     return value.replace(tzinfo=None) if isinstance(value, datetime.datetime) else value
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, data_dir, name):
     found = QUERIES[name](spark, data_dir)
     columns = sorted(found.columns)
