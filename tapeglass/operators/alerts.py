@@ -136,7 +136,7 @@ def diversified(flags: DataFrame, limit: int, sports: tuple[str, ...] = ("sports
         return rows.iloc[chosen].assign(place=range(1, len(chosen) + 1))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in best.schema) + ", place long"
-    return best.groupBy(F.lit(1)).applyInPandas(choose, schema)
+    return best.withColumn("report", F.lit(1)).groupBy("report").applyInPandas(lambda rows: choose(rows.drop(columns="report")), schema)
 
 
 def system_counters(markets: DataFrame, trades: DataFrame, flags: DataFrame) -> DataFrame:
