@@ -61,7 +61,7 @@ def line_sets(rows):
     out = {}
     for _, text in rows:
         for line in (text or "").split("\n") if text is not None else []:
-            norm = re.sub(r"[ \t\r\x0b\f]+", " ", line).strip().lower()
+            norm = re.sub(r"[ \t]+", " ", line).strip(" \t\r\f\x0b").lower()
             words = norm.split(" ")
             if len(words) >= linededup.MIN_WORDS:
                 out[norm] = frozenset(" ".join(words[i : i + 3])[: linededup.SHINGLE] for i in range(len(words)))

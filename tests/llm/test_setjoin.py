@@ -92,13 +92,35 @@ def test_pigeonhole_never_misses_a_link(size, seed, rate):
     keys = np.sort((hot & np.uint64(0xFFFFFFFF00000000)) | setjoin.short(hot).astype(np.uint64))
     for costs in (setjoin.NO_COSTS, setjoin.Costs(keys, np.full(len(keys), 9))):  # with hot signatures, deletion neighbourhoods are used
         large, small = (a, b) if len(a) >= len(b) else (b, a)
-        sig, kind = setjoin.entries_of(large, costs)
-        other, other_kind = setjoin.entries_of(small, costs)
+        sig, kind, _ = setjoin.entries_of(large, costs)
+        other, other_kind, _ = setjoin.entries_of(small, costs)
         asked, exact, near = (set(sig[(kind & k) > 0]) for k in (setjoin.PROBE, setjoin.WIDE, setjoin.NEAR))
         full, deleted = (set(other[(other_kind & k) > 0]) for k in (setjoin.INDEX, setjoin.DELETED))
         assert asked & full or exact & deleted or near & full
 
 
+def test_blocks_and_spanning_links():
+    rng = np.random.default_rng(2)
+    linked = rng.random((60, 60)) < 0.02
+    linked = linked | linked.T
+    np.fill_diagonal(linked, False)
+
+    def parts(edges):
+        label = list(range(60))
+        for _ in range(60):
+            for i, j in edges:
+                label[i] = label[j] = min(label[i], label[j])
+        return label
+
+    few = setjoin.spanning_links(linked)
+    assert parts(few) == parts(list(zip(*np.nonzero(linked), strict=True))) and len(few) < 60
+    codes, owner = rng.integers(0, 9000, 3000), rng.integers(0, 40, 3000)
+    pairs = np.unique(np.stack([codes, owner]), axis=1)
+    sets = [set(pairs[0][pairs[1] == k]) for k in range(40)]
+    got = setjoin.overlaps(pairs[0], pairs[1], 40, wide=1000)
+    assert all(got[i, j] == len(sets[i] & sets[j]) for i in range(40) for j in range(40))
+
+
 def test_one_of_each_group_stays(spark):
     words = " ".join(f"w{i}" for i in range(40))
     rows = [(5, words, "x"), (3, words + " end", "y"), (9, "other text", "z"), (9, "other text", "z"), (None, words, None), (7, "", ""), (7, "", "")]
