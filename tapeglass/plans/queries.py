@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeglass.functions import scores
 from tapeglass.operators import alerts as alerting
-from tapeglass.operators import bars, merge, news, retention, stats, tape, timejoin
+from tapeglass.operators import bars, folds, merge, news, retention, stats, tape, timejoin
 from tapeglass.sources import adapters as src
 
 BAR_COLUMNS = [
@@ -227,12 +227,27 @@ def baseline_lookup(spark: SparkSession, d: str) -> DataFrame:
     return found.select("market_pk", "scope", "sample_size", F.round("count_p95", 6).alias("count_p95"), F.round("move_p95", 6).alias("move_p95"))
 
 
+def quote_suppression(spark: SparkSession, d: str) -> DataFrame:
+    coarse = src.quotes(spark, d).withColumns({"yes_bid": F.round("yes_bid", 1), "volume": F.lit(1.0)})
+    return folds.suppress_unchanged(coarse.select("market_pk", "quote_pk", "ts_us", "yes_bid", "volume"), ["yes_bid"], ["volume"], 120_000_000)
+
+
+def quote_throttle(spark: SparkSession, d: str) -> DataFrame:
+    rows = src.quotes(spark, d).select("market_pk", "quote_pk", "ts_us", F.col("last_price").isNotNull().alias("priced"))
+    return folds.throttle(rows, ["market_pk"], ["ts_us", "quote_pk"], 60_000_000, bypass="priced")
+
+
+def alert_episodes(spark: SparkSession, d: str) -> DataFrame:
+    return folds.alert_episodes(alerts(spark, d), 3.0, 48 * 3_600_000_000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         tape_scores, price_bars, hourly_bars, side_volume, minute_features, tape_bursts, burst_summary, quote_asof, follow_through, news_after, news_before,
         peer_baselines, trade_stats, latest_quotes, book_activity, market_breakdowns, top_markets, market_lifecycle, market_scores, retention_tiers,
         prune_plan, raw_expiry, alert_rollup, metrics_merge, latest_merge, article_keys, article_tokens, market_alerts,
-        best_flags, reason_codes, diversified_flags, system_counters, baseline_lookup,
+        best_flags, reason_codes, diversified_flags, system_counters, baseline_lookup, quote_suppression, quote_throttle,
+        alert_episodes,
     )
 }

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def new_prints(prints: DataFrame, late: str = "1 day") -> DataFrame:
@@ -41,3 +45,27 @@ def latest_in_batch(quotes: DataFrame) -> DataFrame:
     """The last quote of each market in a micro-batch, for use in foreachBatch before a merge."""
     rest = [c for c in quotes.columns if c != "market_id"]
     return quotes.groupBy("market_id").agg(F.max_by(F.struct(*rest), F.struct("seq", "ts")).alias("r")).select("market_id", "r.*")
+
+
+def live_throttle(rows: DataFrame, key: str, interval_ms: int) -> DataFrame:
+    """A stream with at most one row per key in ``interval_ms`` of event time; state is one time per
+    key and is dropped after an hour without rows. Needs columns ``key`` and ts."""
+    schema = rows.schema
+
+    def pick(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        arrived = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        kept = []
+        for i, at in enumerate(arrived["ts"]):
+            ms = at.value // 1_000_000
+            if last is None or ms - last >= interval_ms:
+                kept.append(i)
+                last = ms
+        state.update((last,))
+        state.setTimeoutDuration(3_600_000)
+        yield arrived.iloc[kept]
+
+    return rows.groupBy(key).applyInPandasWithState(pick, schema, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeglass.functions import scores
-from tapeglass.operators import alerts, bars, merge, news, retention, stats, tape, timejoin
+from tapeglass.operators import alerts, bars, folds, merge, news, retention, stats, tape, timejoin
 from tapeglass.sources import adapters, messages
 from tapeglass.streaming import jobs
 
@@ -199,3 +199,46 @@ def test_alerts_on_a_jump(spark):
     got = {r.market_pk: r for r in alerts.market_alerts(df).collect()}
     assert got[1].severity == "high" and set(got[1].reasons) == {"wide spread", "sharp price move", "large volume jump"}
     assert (got[2].score, got[2].severity, got[2].reasons) == (0.0, "none", ["limited history"])
+
+
+def test_folds_equal_plain_loops(spark, data_dir):
+    rows = adapters.quotes(spark, data_dir).select("market_pk", "quote_pk", "ts_us", (F.col("last_price").isNotNull()).alias("priced"), F.round("yes_bid", 1).alias("yes_bid"))
+    plain = sorted(rows.collect(), key=lambda r: (r.market_pk, r.ts_us, r.quote_pk))
+    passed, last = set(), {}
+    for r in plain:
+        if r.market_pk not in last or r.ts_us - last[r.market_pk] >= 60_000_000 or r.priced:
+            passed.add(r.quote_pk)
+            last[r.market_pk] = r.ts_us
+    assert {r.quote_pk for r in folds.throttle(rows, ["market_pk"], ["ts_us", "quote_pk"], 60_000_000, "priced").collect()} == passed
+    stored, last = set(), {}
+    for r in plain:
+        old = last.get(r.market_pk)
+        if old is None or r.ts_us - old.ts_us >= 300_000_000 or abs(r.yes_bid - old.yes_bid) > 1e-4:
+            stored.add(r.quote_pk)
+            last[r.market_pk] = r
+    assert {r.quote_pk for r in folds.suppress_unchanged(rows, ["yes_bid"], []).collect()} == stored
+
+
+def test_episodes(spark):
+    minute = 60_000_000
+    rows = [(1, 1, 0, "low", 3.5), (1, 2, minute, "low", 4.0), (1, 3, 2 * minute, "high", 6.0), (1, 4, 3 * minute, "low", 3.0), (1, 5, 4 * minute, "medium", 4.0), (1, 6, 40 * minute, "low", 3.1), (2, 7, 0, "low", 1.0)]
+    df = spark.createDataFrame(rows, "market_pk long, alert_pk long, created_us long, severity string, score double")
+    got = {r.alert_pk: r.action for r in folds.alert_episodes(df).collect()}
+    assert got == {1: "created", 2: "updated", 3: "created", 4: "updated", 5: "created", 6: "created"}
+
+
+def test_live_throttle_equals_batch(spark, tmp_path):
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = [(f"m{i % 3}", start + timedelta(seconds=7 * i)) for i in range(60)]
+    frame = spark.createDataFrame(rows, "market_id string, ts timestamp")
+    frame.write.parquet(str(tmp_path / "in"))
+    stream = jobs.live_throttle(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), "market_id", 60_000)
+    query = stream.writeStream.format("memory").queryName("throttled").option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    query.stop()
+    want, last = 0, {}
+    for key, at in rows:
+        if key not in last or (at - last[key]).total_seconds() >= 60:
+            want += 1
+            last[key] = at
+    assert spark.table("throttled").count() == want
