@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeglass.functions import scores
 from tapeglass.operators import alerts as alerting
-from tapeglass.operators import bars, folds, merge, news, retention, stats, tape, timejoin
+from tapeglass.operators import bars, folds, listings, merge, news, retention, stats, tape, timejoin
 from tapeglass.sources import adapters as src
 
 BAR_COLUMNS = [
@@ -241,6 +241,64 @@ def alert_episodes(spark: SparkSession, d: str) -> DataFrame:
     return folds.alert_episodes(alerts(spark, d), 3.0, 48 * 3_600_000_000)
 
 
+def market_list(spark: SparkSession, d: str) -> DataFrame:
+    counters = stats.trade_stats(src.trades(spark, d)).select("market_pk", "trade_count", "last_us")
+    rank = scores.prior_rank(F.col("prior"))
+    named = src.markets(spark, d).join(counters, "market_pk", "left").withColumn("urgency", scores.urgency_score(rank, F.coalesce("trade_count", F.lit(0))))
+    found = listings.market_list(named.drop("trade_count", "last_us"), counters, flags(spark, d), "urgency", 100)
+    return found.select("market_pk", "market_id", "trade_count", "last_us", "urgency", "top_flag", "flags")
+
+
+def event_groups(spark: SparkSession, d: str) -> DataFrame:
+    return listings.event_groups(src.markets(spark, d))
+
+
+def link_prints(spark: SparkSession, d: str) -> DataFrame:
+    links = news_links(spark, d).where("relevance >= 0.45")
+    found = listings.link_prints(links, src.trades(spark, d), 24 * 3_600_000_000, 1000)
+    return found.select("news_id", "market_pk", "trade_pk", "place")
+
+
+def known_prices(spark: SparkSession, d: str) -> DataFrame:
+    prints = src.trades(spark, d)
+    price = scores.display_price(F.col("last_price"), F.col("yes_bid"), F.col("yes_ask"))
+    quoted = stats.latest_per_market(src.quotes(spark, d)).where("market_pk % 3 = 0").select("market_pk", price.alias("price"))
+    barred = bars.price_bars(prints, src.quotes(spark, d), 300).where("market_pk % 3 < 2").groupBy("market_pk").agg(F.max_by("close_price", "bucket").alias("price"))
+    traded = prints.groupBy("market_pk").agg(F.max_by("yes_price", F.struct("ts_us", "trade_pk")).alias("price"))
+    keys = src.markets(spark, d).select("market_pk")
+    return listings.first_known(keys, [("quote", quoted), ("bar", barred), ("trade", traded)], "market_pk", "price")
+
+
+def series_merge(spark: SparkSession, d: str) -> DataFrame:
+    fine = bars.price_bars(src.trades(spark, d), src.quotes(spark, d), 300)
+    coarse = bars.merge_bars(fine, 900)
+    return listings.merge_series([(0, fine.where("market_pk % 2 = 0")), (1, coarse)], ["market_pk", "bucket"], "close_price")
+
+
+def quote_prune(spark: SparkSession, d: str) -> DataFrame:
+    quotes = src.quotes(spark, d)
+    five = bars.price_bars(src.trades(spark, d), quotes, 300).where("trade_count > 2")
+    return listings.covered_quotes(quotes, five, 300, quotes.where("volume > 90"), F.lit(src.ORIGIN_US + 1_800_000_000))
+
+
+def market_changes(spark: SparkSession, d: str) -> DataFrame:
+    old = src.markets(spark, d).select("market_pk", "status", "prior")
+    new = old.where("market_pk % 7 > 0").withColumn("status", F.when(F.col("market_pk") % 5 == 0, "settled").otherwise(F.col("status")))
+    more = old.where("market_pk % 7 = 0").withColumn("market_pk", F.col("market_pk") + 10_000_000)
+    return merge.row_changes(old, new.unionByName(more), ["market_pk"])
+
+
+def sampled_prints(spark: SparkSession, d: str) -> DataFrame:
+    prints = src.trades(spark, d).join(tiers(spark, d).select("market_pk", "tier", "sample_rate"), "market_pk", "left")
+    kept = prints.where(scores.keyed_sample(F.col("trade_pk").cast("string"), F.coalesce("sample_rate", F.lit(0.1))))
+    return kept.groupBy("tier").agg(F.count("*").alias("prints"), F.sum("count").cast("double").alias("contracts"))
+
+
+def first_articles(spark: SparkSession, d: str) -> DataFrame:
+    shared = src.articles(spark, d).withColumn("url", F.concat(F.lit("http://x/"), (F.col("article_id") % 50).cast("string")))
+    return news.first_per_url(shared).select("article_id", "url", "first_seen_us")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -248,6 +306,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         peer_baselines, trade_stats, latest_quotes, book_activity, market_breakdowns, top_markets, market_lifecycle, market_scores, retention_tiers,
         prune_plan, raw_expiry, alert_rollup, metrics_merge, latest_merge, article_keys, article_tokens, market_alerts,
         best_flags, reason_codes, diversified_flags, system_counters, baseline_lookup, quote_suppression, quote_throttle,
-        alert_episodes,
+        alert_episodes, market_list, event_groups, link_prints, known_prices, series_merge, quote_prune, market_changes, sampled_prints, first_articles,
     )
 }

@@ -295,3 +295,40 @@ SELECT m.market_pk, CASE WHEN x.category IS NOT NULL THEN 'exact' WHEN y.categor
   CASE WHEN x.category IS NOT NULL THEN x.count_p95 ELSE y.count_p95 END AS count_p95, CASE WHEN x.category IS NOT NULL THEN x.move_p95 ELSE y.move_p95 END AS move_p95
 FROM markets m LEFT JOIN b x ON x.category = m.category AND x.subcategory = m.event_id LEFT JOIN b y ON y.category = m.category AND y.subcategory = '*'""",
 }
+
+SQL |= {
+    "market_list": f"""WITH scored AS ({SQL["tape_scores"]}), m AS ({SQL["market_scores"]}), {TRADES_SQL}, {MARKETS_SQL},
+t AS (SELECT market_pk, count(*) AS trade_count, max(ts_us) AS last_us FROM trades GROUP BY market_pk),
+f AS (SELECT market_pk, max(score) AS top_flag, count(*) AS flags FROM scored WHERE score >= 0.3 GROUP BY market_pk)
+SELECT market_pk, market_id, coalesce(trade_count, 0) AS trade_count, last_us, urgency, top_flag, coalesce(flags, 0) AS flags
+FROM markets JOIN m USING (market_pk) LEFT JOIN t USING (market_pk) LEFT JOIN f USING (market_pk) ORDER BY urgency DESC, coalesce(trade_count, 0) DESC, market_pk LIMIT 100""",
+    "event_groups": f"""WITH {MARKETS_SQL}
+SELECT market_pk, event_id, close_us, CAST(row_number() OVER (PARTITION BY event_id ORDER BY close_us NULLS FIRST, market_pk) AS INT) AS place,
+  count(*) OVER (PARTITION BY event_id) AS event_size FROM markets""",
+    "link_prints": f"""WITH {TRADES_SQL}, {LINKS_SQL}
+SELECT news_id, t.market_pk, trade_pk, CAST(row_number() OVER (PARTITION BY news_id ORDER BY ts_us, trade_pk) AS INT) AS place
+FROM links n JOIN trades t ON t.market_pk = n.market_pk AND ts_us < news_us AND ts_us >= news_us - 86400000000 WHERE relevance >= 0.45 QUALIFY place <= 1000""",
+    "known_prices": f"""WITH b AS ({SQL["price_bars"]}), q AS ({SQL["latest_quotes"]}), {TRADES_SQL}, {MARKETS_SQL},
+qp AS (SELECT market_pk, greatest(0.0, least(1.0, coalesce(last_price, (yes_bid + yes_ask) / 2, yes_bid, yes_ask))) AS price FROM q WHERE market_pk % 3 = 0),
+bp AS (SELECT market_pk, arg_max(close_price, bucket) AS price FROM b WHERE market_pk % 3 < 2 GROUP BY market_pk),
+tp AS (SELECT market_pk, arg_max(yes_price, ts_us) AS price FROM trades GROUP BY market_pk)
+SELECT m.market_pk, coalesce(qp.price, bp.price, tp.price) AS price,
+  CASE WHEN qp.price IS NOT NULL THEN 'quote' WHEN bp.price IS NOT NULL THEN 'bar' WHEN tp.price IS NOT NULL THEN 'trade' END AS source
+FROM markets m LEFT JOIN qp ON qp.market_pk = m.market_pk LEFT JOIN bp ON bp.market_pk = m.market_pk LEFT JOIN tp ON tp.market_pk = m.market_pk""",
+    "series_merge": f"""WITH a AS ({bars_sql(300)}), b AS ({bars_sql(900)}),
+u AS (SELECT market_pk, bucket, close_price, 0 AS rank FROM a WHERE market_pk % 2 = 0 UNION ALL SELECT market_pk, bucket, close_price, 1 FROM b)
+SELECT market_pk, bucket, arg_min(close_price, rank) AS close_price, min(rank) AS rank FROM u GROUP BY market_pk, bucket""",
+    "quote_prune": f"""WITH b AS ({SQL["price_bars"]}), {QUOTES_SQL}
+SELECT market_pk, quote_pk FROM quotes q WHERE ts_us < {ORIGIN_US + 1_800_000_000} AND NOT volume > 90
+  AND EXISTS (SELECT 1 FROM b WHERE b.market_pk = q.market_pk AND b.bucket = q.ts_us // 300000000 * 300 AND trade_count > 2 AND quote_count > 0)
+  AND quote_pk NOT IN (SELECT arg_max(quote_pk, ts_us) FROM quotes GROUP BY market_pk)""",
+    "market_changes": f"""WITH {MARKETS_SQL}
+SELECT CASE WHEN market_pk % 7 = 0 THEN 'inserted' WHEN market_pk % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS change, count(*) AS rows FROM markets GROUP BY 1""",
+    "sampled_prints": f"""WITH {TIERS_SQL}
+SELECT tier, count(*) AS prints, CAST(sum(cnt) AS DOUBLE) AS contracts FROM trades t LEFT JOIN tiers ON tiers.market_pk = t.market_pk
+WHERE coalesce(sample_rate, 0.1) >= 1 OR (coalesce(sample_rate, 0.1) > 0
+  AND CAST(CAST('0x' || substring(sha256(CAST(trade_pk AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 < coalesce(sample_rate, 0.1)) GROUP BY tier""",
+    "first_articles": f"""WITH {ARTICLES_SQL}
+SELECT article_id, 'http://x/' || CAST(article_id % 50 AS VARCHAR) AS url, first_seen_us FROM articles
+QUALIFY row_number() OVER (PARTITION BY article_id % 50 ORDER BY first_seen_us, article_id) = 1""",
+}
