@@ -16,26 +16,31 @@ through the shuffle packed by bucket; equal sets of a task are sent once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeglass.llm.common import WordCache, arrow_map, cut, shuffle_count
+from tapeglass.llm.common import WordCache, arrow_map, cut, drop_cut, shuffle_count
 from tapeglass.llm.components import bit_filter, connected_components, passes_bits
 
 GRAM = 5
 SMALL = 64  # sets below this size use one segment per shingle
-SEGMENTS_PER_SHINGLE = 0.45
-DELETION_EVERY = 8  # segments 0, 8, 16, ... have one-deletion neighbourhoods in the index
+SEGMENTS_PER_SHINGLE = 0.38
+DELETION_EVERY = 16  # segments 0, 16, 32, ... have one-deletion neighbourhoods in the index
 FLUSH = 1_000_000  # entries that a task packs at once
-HOT_LOCAL, HOT_TABLE = 4, 1 << 16  # a task reports signatures it saw so often; the cost table keeps the most frequent
+HOT, HOT_TABLE = 8, 1 << 19  # signatures of so many sets are hot; the cost table keeps the most frequent ones
 SMALL_GROUP = 8
+BLOCK = 512  # sets of a cluster that are compared at once
 INDEX, DELETED, PROBE, WIDE, NEAR = 1, 2, 4, 8, 16  # kinds of entry: index full/deleted; probe full t=1, full t=2, deleted
 
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+PLACES = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,7 +53,7 @@ class Shingler:
     """Text -> sorted distinct 64-bit shingle hashes."""
 
     def __init__(self) -> None:
-        self.words = WordCache(xxhash.xxh3_64_intdigest, limit=500_000)
+        self.words = WordCache(xxhash.xxh3_64_intdigest, limit=600_000)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: only A-Z change case
@@ -58,8 +63,16 @@ class Shingler:
         n = max(1, len(h) - GRAM + 1)
         key = np.full(n, min(len(h), GRAM), dtype=np.uint64)
         for i in range(min(GRAM, len(h))):
-            key = mix(key * K1 + h[i : i + n])
-        return np.unique(key)
+            key += h[i : i + n] * PLACES[i]
+        key = mix(key)
+        key.sort()
+        return key[np.concatenate([[True], key[1:] != key[:-1]])]
+
+
+@lru_cache(maxsize=1)
+def shingler() -> Shingler:
+    """One per worker process, so that its tasks share the word cache."""
+    return Shingler()
 
 
 def digest_of(shingles: np.ndarray) -> int:
@@ -93,6 +106,33 @@ def signature(sums: np.ndarray, number: np.ndarray, band: int) -> np.ndarray:
     return mix(sums + mix(number.astype(np.uint64) * K2 + np.uint64(band + 1)))
 
 
+def bucket_of(sig: np.ndarray, buckets: int) -> np.ndarray:
+    return ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def short(sig: np.ndarray) -> np.ndarray:
+    """32 bits of a signature that tell it from the others of its bucket."""
+    return (sig * K1 >> np.uint64(32)).astype(np.uint32)
+
+
+class Costs:
+    """How many sets share a signature, for the hot ones; 0 for any other."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys, self.counts = keys, counts
+
+    def __call__(self, sig: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(sig), dtype=np.int64)
+        key = (sig & np.uint64(0xFFFFFFFF00000000)) | short(sig).astype(np.uint64)
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, self.counts[at], 0)
+
+
+NO_COSTS = Costs(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+
+
 def allocate(sizes: np.ndarray, cost: np.ndarray, deletable: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
     """(asked with allowance 1 or 2, asked with allowance 2): cheap segments first, larger ones
     before smaller; where those that are not hot fall short, deletable ones get allowance 2
@@ -112,9 +152,9 @@ def allocate(sizes: np.ndarray, cost: np.ndarray, deletable: np.ndarray, need: i
     return chosen, wide
 
 
-def entries_of(shingles: np.ndarray, hot_keys: np.ndarray, hot_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, kinds) of one set: index entries in its own band's scheme and probes in
-    its own and the next smaller band's."""
+def entries_of(shingles: np.ndarray, costs: Costs) -> tuple[np.ndarray, np.ndarray, int]:
+    """(signatures, kinds, popularity) of one set: index entries in its own band's scheme and
+    probes in its own and the next smaller band's; popularity is the mean cost of its own."""
     n = len(shingles)
     own = int(np.searchsorted(EDGES, n, side="right")) - 1
     mixed = mix(shingles)
@@ -125,11 +165,9 @@ def entries_of(shingles: np.ndarray, hot_keys: np.ndarray, hot_counts: np.ndarra
         starts, sizes, number = segments(shingles, band)
         sums = np.add.reduceat(mixed, starts)
         full = signature(sums, number, band)
-        cost = np.zeros(len(full), dtype=np.int64)
-        if len(hot_keys):
-            at = np.searchsorted(hot_keys, full)
-            at[at == len(hot_keys)] = 0
-            cost = np.where(hot_keys[at] == full, hot_counts[at], 0)
+        cost = costs(full)
+        if band == own:
+            popularity = int(cost.mean() * 16)
         deletable = (number % DELETION_EVERY == 0) & (EDGES[band + 1] > SMALL)
         largest = n if band == own else min(n, int(EDGES[own]) - 1)
         chosen, wide = allocate(sizes, cost, deletable, (largest + n) // 7 + 1)
@@ -150,76 +188,91 @@ def entries_of(shingles: np.ndarray, hot_keys: np.ndarray, hot_counts: np.ndarra
             each = each[pick]
             sigs.append(signature(sums[each] - mixed[pick], number[each], band))
             kinds.append(near[each])
-    return np.concatenate(sigs), np.concatenate(kinds)
+    return np.concatenate(sigs), np.concatenate(kinds), popularity
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n, digest): key is a hash of the text, digest one of the shingle set (0 if empty)."""
+def describe(docs: DataFrame, buckets: int) -> DataFrame:
+    """One row per document (doc_id, key, n, digest): key is a hash of the text, digest one of the
+    shingle set (0 if empty). Besides, rows (bucket, sigs): the full signatures of a task's
+    distinct sets in their own band, packed by bucket, for the cost table."""
 
-    def make():
-        shingle = Shingler()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, seen = shingler(), set()
+        kept: list[np.ndarray] = []
+        held = 0
 
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle(t) for t in batch.column("text").to_pylist()]
-            return pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("key"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([digest_of(s) if len(s) else 0 for s in sets], pa.int64()),
-                ],
-                names=["doc_id", "key", "n", "digest"],
-            )
+        def report() -> pa.RecordBatch:
+            sig = np.concatenate(kept)
+            bucket = bucket_of(sig, buckets)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            used = np.flatnonzero(np.diff(ends))
+            blobs = [sig[order[ends[b] : ends[b + 1]]].tobytes() for b in used]
+            none = pa.nulls(len(used), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=DESCRIBED)
 
-        return work
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingle(t) for t in part.column("text").to_pylist()]
+                digests = [digest_of(s) if len(s) else 0 for s in sets]
+                for s, d in zip(sets, digests, strict=True):
+                    if len(s) and d not in seen:
+                        seen.add(d)
+                        band = int(np.searchsorted(EDGES, len(s), side="right")) - 1
+                        starts, _, number = segments(s, band)
+                        kept.append(signature(np.add.reduceat(mix(s), starts), number, band))
+                        held += len(starts)
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                nothing = [pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), sizes, pa.array(digests, pa.int64()), *nothing], names=DESCRIBED)
+                if held > FLUSH:
+                    yield report()
+                    kept, held = [], 0
+        if held:
+            yield report()
 
-    return arrow_map(docs.select("doc_id", "key", "text"), make, "doc_id long, key long, n long, digest long", rows=512)
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n long, digest long, bucket int, sigs binary")
 
 
-def frequent_signatures(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures that tasks saw HOT_LOCAL times or more in different sets, with their summed
-    counts: the cost table. It has at most HOT_TABLE rows and steers only costs, never results."""
+DESCRIBED = ["doc_id", "key", "n", "digest", "bucket", "sigs"]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, seen, kept, held = Shingler(), set(), [], 0
-        none = np.zeros(0, dtype=np.uint64)
 
-        def report() -> pa.RecordBatch:
-            sig, times = np.unique(np.concatenate(kept), return_counts=True)
-            often = times >= HOT_LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(sig[often].astype(np.int64)), pa.array(times[often].astype(np.int64))], names=["sig", "times"])
+def count_signatures(table: pa.Table) -> pa.Table:
+    """(sig, times) of one bucket's hot signatures."""
+    sig = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in table.column("sigs").to_pylist()])
+    sig.sort()
+    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    times = np.diff(np.append(starts, len(sig)))
+    hot = times >= HOT
+    return pa.table({"sig": sig[starts[hot]].astype(np.int64), "times": times[hot].astype(np.int64)})
 
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                s = shingle(text)
-                if len(s) and (d := digest_of(s)) not in seen:
-                    seen.add(d)
-                    band = int(np.searchsorted(EDGES, len(s), side="right")) - 1
-                    starts, _, number = segments(s, band)
-                    kept.append(signature(np.add.reduceat(mix(s), starts), number, band))
-                    held += len(starts)
-                    if held > 4 * FLUSH:
-                        yield report()
-                        kept, held = [none], 0
-        if held:
-            yield report()
 
-    found = docs.select("text").mapInArrow(count, "sig long, times long").groupBy("sig").agg(F.sum("times").alias("times"))
-    rows = found.orderBy(F.desc("times"), "sig").limit(HOT_TABLE).collect()
-    rows.sort(key=lambda r: np.uint64(r["sig"] & (2**64 - 1)))
-    keys = np.array([r["sig"] for r in rows], dtype=np.int64).astype(np.uint64)
-    return keys, np.array([r["times"] for r in rows], dtype=np.int64)
+def frequent_signatures(counted: DataFrame) -> Costs:
+    """The cost table: hot signatures with the number of task-wise distinct sets that have
+    them, over all documents. It has at most HOT_TABLE rows, the most frequent ones, and
+    steers only costs, never results."""
+    found = counted.groupBy("bucket").applyInArrow(count_signatures, "sig long, times long")
+    rows = found.orderBy(F.desc("times"), "sig").limit(HOT_TABLE).toPandas()
+    sig = rows["sig"].to_numpy().astype(np.int64).astype(np.uint64)
+    keys = (sig & np.uint64(0xFFFFFFFF00000000)) | short(sig).astype(np.uint64)
+    order = np.argsort(keys)
+    return Costs(keys[order], rows["times"].to_numpy().astype(np.int64)[order])
+
 
+SET_TYPE = [("digest", "<i8"), ("n", "<u4"), ("popularity", "<u4")]
+ENTRY_TYPE = [("sig", "<u4"), ("set", "<u4")]
 
-def packed_entries(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
-    """(bucket, sets binary, entries binary): a task's entries by bucket, as (digest u64, size u32)
-    of its sets and (signature u32, set number u32 with the kind in the upper byte)."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+def packed_entries(docs: DataFrame, costs: Costs, buckets: int) -> DataFrame:
+    """(bucket, sets binary, entries binary): a task's entries by bucket, as (digest i64, size u32,
+    popularity u32) of its sets and (signature u32, set number u32 with the kind in the upper byte)."""
+    shared = docs.sparkSession.sparkContext.broadcast(costs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = shared.value
-        shingle, seen = Shingler(), set()
-        sets: list[tuple[int, int]] = []
+        costs = shared.value
+        shingle, seen = shingler(), set()
+        sets: list[tuple[int, int, int]] = []
         sigs: list[np.ndarray] = []
         kinds: list[np.ndarray] = []
         held = 0
@@ -227,8 +280,8 @@ def packed_entries(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets:
         def flush() -> pa.RecordBatch:
             sig, kind = np.concatenate(sigs), np.concatenate(kinds)
             owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(x) for x in sigs])
-            described = np.array(sets, dtype=[("digest", "<i8"), ("n", "<u4")])
-            bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            described = np.array(sets, dtype=SET_TYPE)
+            bucket = bucket_of(sig, buckets)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows = []
@@ -236,8 +289,8 @@ def packed_entries(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets:
                 pick = order[ends[b] : ends[b + 1]]
                 if len(pick):
                     mine, local = np.unique(owner[pick], return_inverse=True)
-                    packed = np.empty(len(pick), dtype=[("sig", "<u4"), ("set", "<u4")])
-                    packed["sig"] = (sig[pick] * K1 >> np.uint64(32)).astype(np.uint32)
+                    packed = np.empty(len(pick), dtype=ENTRY_TYPE)
+                    packed["sig"] = short(sig[pick])
                     packed["set"] = local.astype(np.uint32) | (kind[pick].astype(np.uint32) << np.uint32(24))
                     rows.append((b, described[mine].tobytes(), packed.tobytes()))
             columns = list(zip(*rows, strict=True))
@@ -252,8 +305,8 @@ def packed_entries(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets:
                 if not len(s) or (d := digest_of(s)) in seen:
                     continue
                 seen.add(d)
-                sig, kind = entries_of(s, keys, counts)
-                sets.append((d, len(s)))
+                sig, kind, popularity = entries_of(s, costs)
+                sets.append((d, len(s), min(popularity, 2**32 - 1)))
                 sigs.append(sig)
                 kinds.append(kind)
                 held += len(sig)
@@ -272,12 +325,13 @@ def may_link(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 
 def groups_of_bucket(table: pa.Table) -> pa.Table:
     """(a, b, members): candidate pairs of small groups and, for a group above SMALL_GROUP, pairs
-    of every member with its first and last one and the list of members."""
+    of every member with the most popular one (in a group of near copies, the text they were
+    made from) and the list of members."""
     described, entries = [], []
     base = 0
     for sets, packed in zip(table.column("sets").to_pylist(), table.column("entries").to_pylist(), strict=True):
-        one = np.frombuffer(sets, dtype=[("digest", "<i8"), ("n", "<u4")])
-        e = np.frombuffer(packed, dtype=[("sig", "<u4"), ("set", "<u4")])
+        one = np.frombuffer(sets, dtype=SET_TYPE)
+        e = np.frombuffer(packed, dtype=ENTRY_TYPE)
         described.append(one)
         entries.append((e["sig"], (e["set"] & np.uint32(0xFFFFFF)).astype(np.int64) + base, (e["set"] >> np.uint32(24)).astype(np.uint8)))
         base += len(one)
@@ -285,38 +339,38 @@ def groups_of_bucket(table: pa.Table) -> pa.Table:
     sig, owner, kind = (np.concatenate(x) for x in zip(*entries, strict=True))
     order = np.argsort(sig, kind="stable")
     sig = sig[order]
-    new = np.concatenate([[True], sig[1:] != sig[:-1]])
-    starts = np.flatnonzero(new)
+    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     sizes = np.diff(np.append(starts, len(sig)))
-    several = np.flatnonzero(sizes > 1)
-    seen_groups: set[bytes] = set()
-    pairs_a, pairs_b, lists = [], [], []
-    index_kinds, probe_kinds = INDEX | DELETED, PROBE | WIDE | NEAR
-    for g in several:
-        at = order[starts[g] : starts[g] + sizes[g]]
-        k = kind[at]
-        if not (k & index_kinds).any() or not (k & probe_kinds).any():
-            continue
-        who = sets["digest"][owner[at]]
-        if (who == who[0]).all():
+    who = sets["digest"][owner[order]]
+    kinds = np.bitwise_or.reduceat(kind[order], starts)
+    useful = (sizes > 1) & ((kinds & (INDEX | DELETED)) > 0) & ((kinds & (PROBE | WIDE | NEAR)) > 0)
+    useful &= np.minimum.reduceat(who, starts) != np.maximum.reduceat(who, starts)
+    count_of = sets["n"].astype(np.int64)[owner[order]]
+    popular = sets["popularity"][owner[order]]
+    two = starts[useful & (sizes == 2)]
+    ok = may_link(count_of[two], count_of[two + 1])
+    pairs_a = [np.minimum(who[two], who[two + 1])[ok]]
+    pairs_b = [np.maximum(who[two], who[two + 1])[ok]]
+    lists, seen_groups = [], set()
+    for g in np.flatnonzero(useful & (sizes > 2)):
+        at = slice(starts[g], starts[g] + sizes[g])
+        digest, first = np.unique(who[at], return_index=True)
+        name = digest.tobytes()
+        if name in seen_groups:
             continue
-        digest, first = np.unique(who, return_index=True)
-        n = sets["n"][owner[at]][first].astype(np.int64)
+        seen_groups.add(name)
+        n = count_of[at][first]
         if len(digest) <= SMALL_GROUP:
             i, j = np.triu_indices(len(digest), 1)
         else:
-            name = digest.tobytes()
-            if name in seen_groups:
-                continue
-            seen_groups.add(name)
             lists.append(digest)
-            rest = np.arange(1, len(digest))
-            i, j = np.concatenate([np.zeros_like(rest), rest - 1]), np.concatenate([rest, np.full_like(rest, len(digest) - 1)])
-        ok = (i < j) & may_link(n[i], n[j])
+            center = int(np.argmax(popular[at][first]))
+            others = np.delete(np.arange(len(digest)), center)
+            i, j = np.minimum(others, center), np.maximum(others, center)
+        ok = may_link(n[i], n[j])
         pairs_a.append(digest[i[ok]])
         pairs_b.append(digest[j[ok]])
-    a = np.concatenate(pairs_a) if pairs_a else np.zeros(0, dtype=np.int64)
-    b = np.concatenate(pairs_b) if pairs_b else np.zeros(0, dtype=np.int64)
+    a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
     if len(a):
         a, b = np.unique(np.stack([a, b]), axis=1)
     count = len(a)
@@ -330,22 +384,23 @@ def groups_of_bucket(table: pa.Table) -> pa.Table:
 
 
 def sets_of(docs: DataFrame, described: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(digest, shingles binary) of the wanted digests, each made from one of its texts."""
+    """(digest, shingles) of the wanted digests, each made from one of its texts."""
     keys = cut(described.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("key").alias("key")).select("key").distinct(), "join-keys")
     texts = passes_bits(docs.select("key", "text"), "key", bit_filter(keys, "key")).dropDuplicates(["key"]).join(keys, "key", "left_semi")
 
     def make():
-        shingle = Shingler()
+        shingle = shingler()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingle(t) for t in batch.column("text").to_pylist()]
             return pa.RecordBatch.from_arrays(
-                [pa.array([digest_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "shingles"]
+                [pa.array([digest_of(s) for s in sets], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))],
+                names=["digest", "shingles"],
             )
 
         return work
 
-    return cut(arrow_map(texts.select("text"), make, "digest long, shingles binary", rows=512), "join-sets")
+    return cut(arrow_map(texts.select("text"), make, "digest long, shingles array<long>", rows=256), "join-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -354,48 +409,97 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb")), "b"
     )
 
-    def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= 75 * (len(x) + len(y) - common))
-            return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        return work
-
-    return arrow_map(both.select("a", "b", "sa", "sb"), make, "a long, b long", rows=512)
-
-
-def cross_pairs(groups: DataFrame, roots: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of members of one large group that links have not joined yet and that were not tested."""
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(100 * common >= 75 * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def overlaps(codes: np.ndarray, owner: np.ndarray, rows: int, wide: int = 4096) -> np.ndarray:
+    """(rows, rows) shared shingles of sets given as (code, owner) incidences, in slices of the codes."""
+    out = np.zeros((rows, rows), dtype=np.float32)
+    order = np.argsort(codes, kind="stable")
+    codes, owner = codes[order], owner[order]
+    ends = np.append(np.searchsorted(codes, np.arange(0, codes[-1] + 1, wide)), len(codes))
+    for a, b in pairwise(ends):
+        slab = np.zeros((rows, wide), dtype=np.float32)
+        slab[owner[a:b], codes[a:b] % wide] = 1
+        out += slab @ slab.T
+    return out.astype(np.int64)
+
+
+def spanning_links(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Few edges of a symmetric boolean matrix that join what it joins."""
+    label, out = np.arange(len(linked)), []
+    while True:
+        open_ = linked & (label[:, None] != label[None, :])
+        has = np.flatnonzero(open_.any(axis=1))
+        if not len(has):
+            return out
+        for i, j in zip(has.tolist(), open_[has].argmax(axis=1).tolist(), strict=True):
+            if label[i] != label[j]:
+                out.append((i, j))
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
+
+
+def compare_blocks(table: pa.Table) -> pa.Table:
+    """(a, b): links between sets of two blocks of a cluster that are not in one component yet,
+    as few as join what all of them join."""
+    node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+    sizes = pc.list_value_length(table.column("shingles")).to_numpy().astype(np.int64)
+    flat = table.column("shingles").combine_chunks().flatten().to_numpy()
+    owner = np.repeat(np.arange(len(node)), sizes)
+    values, codes, times = np.unique(flat, return_inverse=True, return_counts=True)
+    again = times[codes] > 1
+    found: list[tuple[int, int]] = []
+    if again.any():
+        dense = np.cumsum(times > 1) - 1
+        common = overlaps(dense[codes[again]], owner[again], len(node))
+        linked = (100 * common >= 75 * (sizes[:, None] + sizes[None, :] - common)) & (root[:, None] != root[None, :])
+        found = spanning_links(linked)
+    return pa.table({"a": pa.array([node[i] for i, _ in found], pa.int64()), "b": pa.array([node[j] for _, j in found], pa.int64())})
+
+
+def links_inside_groups(groups: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members of large groups that the first links have not joined.
+
+    Groups that still hold several components are united into clusters, and a cluster's
+    members are compared block against block (BLOCK sets each), so that no task holds more
+    than two blocks and no pair becomes a row."""
     rows = groups.select(F.xxhash64("members").alias("grp"), F.explode("members").alias("node")).distinct()
     rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_groups = rooted.groupBy("grp").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("grp")
-    left = rooted.join(open_groups, "grp")
-    other = left.select("grp", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    pairs = left.join(other, "grp").where("node < b AND root <> root_b").select(F.col("node").alias("a"), "b").distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
-
-
-def link_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
-    """(node, root) over the digests that have links; no link of similarity 3/4 or more is lost."""
+    open_groups = rooted.groupBy("grp").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("first")).where("x < y")
+    left = cut(rooted.join(open_groups.select("grp", "first"), "grp").select("node", "root", "first").distinct(), "join-open")
+    clusters = connected_components(left.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("root", "cluster")
+    members = left.select("node", "root").distinct().join(clusters, "node")
+    parts = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = members.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = spread.select("cluster", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "node", "root")
+    carried = pairs.join(sets.withColumnRenamed("digest", "node"), "node")
+    return carried.groupBy("cluster", "x", "y").applyInArrow(compare_blocks, "a long, b long")
+
+
+def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n, digest) of every row, and (node, root) over the digests that have
+    links; no link of similarity 3/4 or more is lost."""
     spark: SparkSession = docs.sparkSession
     buckets = max(16, 2 * shuffle_count(spark))
-    packed = packed_entries(docs, frequent_signatures(docs), buckets)
+    first = cut(describe(docs, buckets), "join-described")
+    described = cut(first.where("bucket IS NULL").select("doc_id", "key", "n", "digest"), "join-described")
+    costs = frequent_signatures(first.where("bucket IS NOT NULL").select("bucket", "sigs"))
+    drop_cut(first)
     schema = "a long, b long, members array<long>"
-    found = cut(packed.groupBy("bucket").applyInArrow(groups_of_bucket, schema), "join-groups")
+    found = cut(packed_entries(docs, costs, buckets).groupBy("bucket").applyInArrow(groups_of_bucket, schema), "join-groups")
     pairs = cut(found.where("a IS NOT NULL").select("a", "b").distinct(), "join-pairs")
     groups = found.where("members IS NOT NULL").select("members")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    in_groups = groups.select(F.explode("members").alias("digest"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).unionByName(in_groups).distinct()
     sets = sets_of(docs, described, wanted)
     links = cut(verified(pairs, sets), "join-links")
     roots = cut(connected_components(links), "join-roots")
-    more = cut(cross_pairs(groups, roots, pairs), "join-more")
+    more = cut(links_inside_groups(groups, roots, sets), "join-more")
     if more.isEmpty():
-        return roots
-    return connected_components(links.unionByName(verified(more, sets)))
+        return described, roots
+    return described, cut(connected_components(links.unionByName(more)), "join-roots")
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
@@ -410,8 +514,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     not read.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("text", F.octet_length("text")).alias("key"))
-    described = cut(describe(keyed), "join-described")
-    roots = link_sets(keyed, described)
+    described, roots = link_sets(keyed)
     least = described.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"))
     rooted = cut(
         least.join(roots, least["digest"] == roots["node"], "left").select("digest", F.coalesce("root", "digest").alias("root"), "least"),
@@ -431,8 +534,7 @@ def keep_one_per_group(docs: DataFrame) -> DataFrame:
     if they have shingles."""
     text_key = F.xxhash64("text", F.octet_length("text"))
     keyed = docs.select("doc_id", "text", text_key.alias("key"))
-    described = cut(describe(keyed), "join-described")
-    roots = link_sets(keyed, described)
+    described, roots = link_sets(keyed)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     full = described.where("n > 0").join(roots, described["digest"] == roots["node"], "left")
     full = full.withColumn("root", F.coalesce("root", "digest")).withColumn("place", order).select("root", "place")
