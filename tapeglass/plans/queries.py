@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeglass.functions import scores
 from tapeglass.operators import alerts as alerting
-from tapeglass.operators import bars, folds, listings, merge, news, retention, stats, tape, timejoin
+from tapeglass.operators import bars, classify, folds, listings, merge, news, retention, stats, tape, timejoin
 from tapeglass.sources import adapters as src
 
 BAR_COLUMNS = [
@@ -299,6 +299,23 @@ def first_articles(spark: SparkSession, d: str) -> DataFrame:
     return news.first_per_url(shared).select("article_id", "url", "first_seen_us")
 
 
+def raw_markets(spark: SparkSession, d: str) -> DataFrame:
+    """Market metadata whose tags and exchange category follow from the market's key."""
+    texts = F.array(*[F.lit(r[0].title()) for r in classify.TAG_RULES], F.lit("Misc"), F.lit("Other"), F.lit("Local"))
+    names = F.array(*[F.lit(c) for c in classify.CATEGORIES], F.lit("Unheard of"))
+    key = F.col("market_pk")
+    tag = F.get(texts, (key % 36).cast("int"))
+    return src.markets(spark, d).select(
+        "market_pk", F.when(key % 4 > 0, F.array(F.lit("Daily"), tag)).alias("tag_list"), F.get(names, (key % 14).cast("int")).alias("exchange_category")
+    )
+
+
+def market_labels(spark: SparkSession, d: str) -> DataFrame:
+    raw = raw_markets(spark, d)
+    found = classify.classify(raw, [classify.taxonomy_label(F.col("tag_list"), F.col("exchange_category"))])
+    return found.select("market_pk", "category", "subcategory", "rule", "confidence", "tags", "prior")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -307,5 +324,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         prune_plan, raw_expiry, alert_rollup, metrics_merge, latest_merge, article_keys, article_tokens, market_alerts,
         best_flags, reason_codes, diversified_flags, system_counters, baseline_lookup, quote_suppression, quote_throttle,
         alert_episodes, market_list, event_groups, link_prints, known_prices, series_merge, quote_prune, market_changes, sampled_prints, first_articles,
+        market_labels,
     )
 }

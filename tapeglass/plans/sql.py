@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tapeglass.operators.classify import CATEGORIES, PRIOR_OF, TAG_RULES
 from tapeglass.operators.news import STOPWORDS
 from tapeglass.operators.retention import DAY_US
 from tapeglass.sources.adapters import ARTICLES_SQL, BOOK_SQL, MARKETS_SQL, NOW_US, ORIGIN_US, QUOTES_SQL, TRADES_SQL
@@ -332,3 +333,25 @@ WHERE coalesce(sample_rate, 0.1) >= 1 OR (coalesce(sample_rate, 0.1) > 0
 SELECT article_id, 'http://x/' || CAST(article_id % 50 AS VARCHAR) AS url, first_seen_us FROM articles
 QUALIFY row_number() OVER (PARTITION BY article_id % 50 ORDER BY first_seen_us, article_id) = 1""",
 }
+
+
+def values_of(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
+
+
+SQL["market_labels"] = f"""WITH {MARKETS_SQL},
+rules(i, needle, cat, sub, tags) AS (VALUES {values_of([(i, *r) for i, r in enumerate(TAG_RULES)])}),
+cats(i, name, cat, sub) AS (VALUES {values_of([(i, k, *v) for i, (k, v) in enumerate(CATEGORIES.items())])}),
+priors(pair, prior) AS (VALUES {values_of(list(PRIOR_OF.items()))}),
+raw AS (
+  SELECT market_pk, CASE WHEN market_pk % 4 > 0 THEN 'daily | ' || coalesce((SELECT needle FROM rules WHERE i = market_pk % 36), 'none') ELSE '' END AS hay, market_pk % 14 AS c FROM markets
+),
+hit AS (SELECT market_pk, min(i) AS i FROM raw JOIN rules ON contains(hay, needle) GROUP BY market_pk),
+named AS (
+  SELECT raw.market_pk, coalesce(r.cat, k.cat, 'other') AS category, coalesce(r.sub, k.sub, 'unclassified') AS subcategory,
+    CASE WHEN r.i IS NOT NULL THEN 'tag:' || needle WHEN k.i IS NOT NULL THEN 'category:' || k.name ELSE 'all_layers_abstained' END AS rule,
+    CASE WHEN r.i IS NOT NULL OR k.i IS NOT NULL THEN 'high' ELSE 'low' END AS confidence, coalesce(r.tags, '') AS tags
+  FROM raw LEFT JOIN hit ON hit.market_pk = raw.market_pk LEFT JOIN rules r ON r.i = hit.i LEFT JOIN cats k ON k.i = raw.c
+)
+SELECT named.*, coalesce(p.prior, q.prior, 'medium') AS prior
+FROM named LEFT JOIN priors p ON p.pair = category || '/' || subcategory LEFT JOIN priors q ON q.pair = category || '/*'"""

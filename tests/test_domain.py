@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeglass.functions import scores
-from tapeglass.operators import alerts, bars, folds, merge, news, retention, stats, tape, timejoin
+from tapeglass.operators import alerts, bars, classify, folds, merge, news, retention, stats, tape, timejoin
 from tapeglass.sources import adapters, messages
 from tapeglass.streaming import jobs
 
@@ -242,3 +242,17 @@ def test_live_throttle_equals_batch(spark, tmp_path):
             want += 1
             last[key] = at
     assert spark.table("throttled").count() == want
+
+
+def test_layers_and_priors(spark):
+    def struct(category, confidence):
+        return F.struct(F.lit(category).alias("category"), F.lit("x").alias("subcategory"), F.lit("r").alias("rule"), F.lit(confidence).alias("confidence"), F.lit("").alias("tags"))
+
+    none = F.when(F.lit(False), struct("", "low"))
+    cases = [([none, struct("b", "medium"), struct("c", "high")], "b"), ([struct("a", "low"), struct("b", "low")], "b"), ([struct("a", "low"), none], "a"), ([none], "other")]
+    for layers, want in cases:
+        assert classify.classify(spark.range(1), layers).first().category == want
+    row = classify.classify(spark.range(1), [struct("judicial", "low")]).first()
+    assert row.prior == "medium"
+    assert spark.range(1).select(classify.prior_of(F.lit("weather"), F.lit("fog"))).first()[0] == "very_low"
+    assert spark.range(1).select(classify.prior_of(F.lit("what"), F.lit(None).cast("string"))).first()[0] == "medium"
