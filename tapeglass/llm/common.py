@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-
 
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer file lives; the files are never copied into the repository."""
-    try:
-        import public_tokenizers
-
-        return str(public_tokenizers.path(name))
-    except ImportError:
-        return os.path.join(TOKENIZER_DIR, name)
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Taken from spark.checkpoint.dir; a local
-    one is made only where the setting is absent (local mode, tests)."""
+    """The folder all executors share, from spark.checkpoint.dir. Where the setting is absent a
+    local one is made in local mode (tests); on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -26,7 +26,9 @@ def read_cache(docs: DataFrame, cache_dir: str) -> DataFrame:
     spark = docs.sparkSession
     try:
         return spark.read.schema(CACHE_SCHEMA).parquet(cache_dir)
-    except AnalysisException:  # no cache yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], CACHE_SCHEMA)
 
 
