@@ -53,7 +53,7 @@ class Shingler:
     """Text -> sorted distinct 64-bit shingle hashes."""
 
     def __init__(self) -> None:
-        self.words = WordCache(xxhash.xxh3_64_intdigest, limit=600_000)
+        self.words = WordCache(xxhash.xxh3_64_intdigest, limit=400_000)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: only A-Z change case
