@@ -4,8 +4,9 @@ A line's shingles are the SHINGLE characters from each word's start on, over at
 words (from each character on in scripts without spaces). One hash per shingle gives minima in BINS ranges
 of the hash space; band j reads ROWS minima in a row from its own point of that circle, so
 lines with few shingles have full bands too. Lines that share a band are compared with the
-band's first and last line by exact Jaccard, links are joined by star contraction, and the
-first line of each component stays.
+band's first and last line by exact Jaccard, and links are joined by star contraction. Bands
+that still hold several components have their other lines compared with one another, block
+against block, so every link inside a band is found. The first line of each component stays.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ ROWS = 3
 BANDS = 8
 BINS = ROWS * BANDS
 MIN_WORDS = 3
+BLOCK = 64  # lines of an open band that are compared at once
 NO_SPACES = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"  # scripts written without spaces
 
 
@@ -83,11 +85,44 @@ def bands(signed: DataFrame) -> DataFrame:
     return ring.select("line_id", F.explode(F.array(*keys)).alias("band"))
 
 
-def link_lines(lines: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): ids of different lines whose exact Jaccard reaches ``similarity``."""
+def links_inside_bands(inner: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between lines of one band that are neither its first nor its last line
+    and are not in one component yet.
+
+    The lines of a band that holds several components are dealt into parts, and parts are
+    compared in pairs inside one row, so no pair becomes a row unless it is a link."""
+    rooted = inner.join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("root", F.coalesce("root", "line_id"))
+    several = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = rooted.join(several.where("x < y").select("band", "parts"), "band").withColumn("part", F.pmod(F.xxhash64("line_id"), F.col("parts")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = spread.select("band", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "line_id", "root")
+    lines = F.struct("line_id", "root", F.size("set").alias("n"), "set")
+    grouped = blocks.join(sets, "line_id").groupBy("band", "x", "y").agg(
+        F.collect_list(F.when(F.col("part") == F.col("x"), lines)).alias("xs"), F.collect_list(F.when(F.col("part") == F.col("y"), lines)).alias("ys")
+    )
+
+    def linked(p: Column, q: Column) -> Column:
+        share = F.lit(similarity)
+        new = (p["root"] != q["root"]) & ((F.col("x") < F.col("y")) | (p["line_id"] < q["line_id"]))
+        near = (p["n"] >= share * q["n"]) & (q["n"] >= share * p["n"])
+        common = F.size(F.array_intersect(p["set"], q["set"]))
+        return new & near & (common >= share * (p["n"] + q["n"] - common))
+
+    ends = F.transform(
+        "xs", lambda p: F.struct(p["line_id"].alias("a"), F.transform(F.filter("ys", lambda q: linked(p, q)), lambda q: q["line_id"]).alias("bs"))
+    )
+    return grouped.select(F.inline(ends)).select("a", F.explode("bs").alias("b"))
+
+
+def line_roots(lines: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) over the ids of lines that have links: lines that share a band and whose
+    exact Jaccard reaches ``similarity``."""
     banded = cut(bands(signatures(lines)), "line-bands")
-    ends = banded.groupBy("band").agg(F.min("line_id").alias("first"), F.max("line_id").alias("last")).where("first < last")
-    shared = banded.join(ends, "band")
+    ends = banded.groupBy("band").agg(F.min("line_id").alias("first"), F.max("line_id").alias("last"), F.count("*").alias("n")).where("first < last")
+    ends = cut(ends, "line-ends")
+    shared = cut(passes_bits(banded, "band", bit_filter(ends, "band")).join(ends, "band"), "line-shared")
+    drop_cut(banded)
+    drop_cut(ends)
     pairs = cut(
         shared.select(F.explode(F.array("first", "last")).alias("other"), "line_id")
         .where("other <> line_id")
@@ -95,7 +130,8 @@ def link_lines(lines: DataFrame, similarity: float) -> DataFrame:
         .distinct(),
         "line-pairs",
     )
-    drop_cut(banded)
+    inner = cut(shared.where("n > 3 AND line_id <> first AND line_id <> last").select("band", "line_id"), "line-inner")
+    drop_cut(shared)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
     texts = passes_bits(lines.select("line_id", "norm"), "line_id", bit_filter(wanted, "line_id"))
     sets = cut(
@@ -110,7 +146,12 @@ def link_lines(lines: DataFrame, similarity: float) -> DataFrame:
     )
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
-    return both.where(common >= F.lit(similarity) * union).select("a", "b")
+    links = both.where(common >= F.lit(similarity) * union).select("a", "b")
+    roots = cut(connected_components(links), "line-components")
+    more = cut(links_inside_bands(inner, roots, sets, similarity), "line-more")
+    if more.isEmpty():
+        return roots
+    return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def mark_lines(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
@@ -126,8 +167,8 @@ def mark_lines(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
     """
     line_id = F.when(long_enough(F.col("norm")), F.xxhash64("norm"))
     places = cut(split_lines(docs).withColumn("line_id", line_id), "line-places")
-    links = link_lines(places.where("line_id IS NOT NULL").select("line_id", "norm"), similarity)
-    roots = connected_components(links).where("node <> root").withColumnRenamed("node", "line_id")
+    found = line_roots(places.where("line_id IS NOT NULL").select("line_id", "norm"), similarity)
+    roots = found.where("node <> root").withColumnRenamed("node", "line_id")
     rooted = places.join(roots, "line_id", "left").select(
         "row_id", "doc_id", "line_no", F.coalesce("root", "line_id").alias("component_id")
     )

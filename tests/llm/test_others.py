@@ -104,6 +104,34 @@ def test_line_dedup_equals_brute_force(spark, data_dir):
     assert linededup.mark_lines(docs.limit(0)).count() == 0
 
 
+def test_every_link_inside_a_band_joins(spark):
+    rng = np.random.default_rng(12)
+    frame_words = [f"frame{i}x" for i in range(40)]
+    rows = []
+    for family in range(300):
+        own = [f"own{family}n{i}x" for i in range(20)]
+        for copy in range(3):
+            words = own.copy()
+            if copy:
+                at = int(rng.integers(16))
+                words[at : at + 5] = [f"new{family}c{copy}n{i}x" for i in range(5)]
+            rows.append((len(rows), " ".join(frame_words + words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = linededup.split_lines(docs).selectExpr("xxhash64(norm) AS line_id", "norm")
+    ids = {r.norm: r.line_id for r in lines.collect()}
+    banded = {}
+    for r in linededup.bands(linededup.signatures(lines)).collect():
+        banded.setdefault(r.line_id, set()).add(r.band)
+    component = {r.doc_id: r.component_id for r in linededup.mark_lines(docs).collect()}
+    sets = line_sets(rows)
+    links = [(i, j) for f in range(0, 900, 3) for i, j in ((f, f + 1), (f, f + 2), (f + 1, f + 2))]
+    links = [(i, j) for i, j in links if 4 * len(sets[rows[i][1]] & sets[rows[j][1]]) >= 3 * len(sets[rows[i][1]] | sets[rows[j][1]])]
+    together = [(i, j) for i, j in links if banded[ids[rows[i][1]]] & banded[ids[rows[j][1]]]]
+    assert len(together) > 550
+    assert [p for p in together if component[p[0]] != component[p[1]]] == []
+    assert len(set(component.values())) >= 300
+
+
 def test_repeated_rows_keep_the_same_lines(spark):
     docs = spark.createDataFrame([(1, "one two three four"), (1, "one two three four"), (None, "five six seven"), (2, "FIVE  six\tseven")], "doc_id long, text string")
     got = {(r.doc_id, r.kept) for r in linededup.mark_lines(docs).collect()}
