@@ -5,7 +5,8 @@ each node its first neighbours; every round then joins the neighbours of each no
 one another (forward and sampled reverse ones) and keeps each node's best. Links above the
 threshold join nodes into components. A list whose every entry is above the threshold is
 saturated: it is enlarged to its whole component, which is compared block against block,
-so that counts are exact there however large it is. An audit compares a sample of nodes
+so that counts are exact there however large it is. Saturated nodes of different components
+are compared in the same way, as their lists have no place for links between dense clusters. An audit compares a sample of nodes
 with all nodes by brute force, and rounds go on until its recall is reached.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tapeglass.llm.common import arrow_map, cut
 from tapeglass.llm.components import connected_components
+from tapeglass.llm.setjoin import spanning_links
 
 NEIGHBOURS = 8
 TREES = 4
@@ -176,6 +178,35 @@ def enlarge(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     return found.groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
+def joining_links(members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between nodes of different components (column root), as few as join what
+    all of them join. All members of a label are compared, block against block."""
+    group = ["label", "dim"]
+    parts = members.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.min("root").alias("p"), F.max("root").alias("q"))
+    dealt = members.join(parts.where("p < q"), group).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        *group, F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "node", "root", "embedding"
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+        v = unit(table.column("embedding"))
+        found = spanning_links((v @ v.T >= threshold) & (root[:, None] != root[None, :]))
+        return pa.table({"a": pa.array([node[i] for i, _ in found], pa.int64()), "b": pa.array([node[j] for _, j in found], pa.int64())})
+
+    return pairs.groupBy(*group, "x", "y").applyInArrow(compare, "a long, b long")
+
+
+def with_root(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", "label", "dim", "embedding")
+
+
+def saturated(graph: DataFrame, neighbours: int, threshold: float) -> DataFrame:
+    """(node): nodes whose list is full of links."""
+    held = graph.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("held"), F.min("sim").alias("least"))
+    return held.where((F.col("held") >= neighbours) & (F.col("least") >= threshold)).select("node")
+
+
 def audit(nodes: DataFrame, linked: DataFrame, threshold: float) -> float:
     """Links found over links there are, for AUDITED sampled nodes against all nodes."""
     spark = nodes.sparkSession
@@ -235,6 +266,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall:
         links = links.unionByName(better.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")))
         links = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
         roots = cut(connected_components(links), "near-roots")
+        full = saturated(graph, NEIGHBOURS, threshold)
+        more = cut(joining_links(with_root(nodes.join(full, "node", "left_semi"), roots), threshold), "near-more")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = cut(connected_components(links), "near-roots")
         linked = cut(enlarge(nodes, roots, threshold), "near-linked")
         if audit(nodes, linked, threshold) >= target_recall:
             break

@@ -160,6 +160,31 @@ def test_near_duplicates_equal_brute_force(spark):
     assert neardup.near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_dense_clusters_that_touch_are_joined(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    a = np.zeros(16)
+    a[0] = 1.0
+    b = np.zeros(16)
+    b[0], b[1] = 0.94, np.sqrt(1 - 0.94**2)
+    x = np.concatenate([c + 0.004 * rng.standard_normal((30, 16)) for c in (a, b)])
+    vectors = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    v = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (v @ v.T >= 0.93).sum(1) - 1
+    assert want.min() > 30
+    whole = neardup.forest
+
+    def split_forest(nodes, *rest):  # as where a hyperplane parts the two clusters
+        seeds = whole(nodes, *rest)
+        side = nodes.selectExpr("node", "embedding[1] > 0.17 AS right")
+        both = seeds.join(side.toDF("u", "ru"), "u").join(side.toDF("v", "rv"), "v")
+        return both.where("ru = rv").select("u", "v", "sim")
+
+    monkeypatch.setattr(neardup, "forest", split_forest)
+    got = {r.vec_id: r for r in neardup.near_duplicates(vectors).collect()}
+    assert [got[i].n_links for i in range(60)] == want.tolist()
+    assert {r.component_id for r in got.values()} == {0}
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=x>Home</a><li><a>News</a></ul></nav>
 <div class="ad">Buy now!</div><article><h1>The  story</h1><p>It was &amp; is &#8212; so.<p>Second <b>para</b>graph<br>here.</article>
 <script>var t="<p>no</p>";</script><!-- <p>nor this</p> --><footer>&copy; site</footer></body></html>"""
