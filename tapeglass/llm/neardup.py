@@ -6,8 +6,9 @@ one another (forward and sampled reverse ones) and keeps each node's best. Links
 threshold join nodes into components. A list whose every entry is above the threshold is
 saturated: it is enlarged to its whole component, which is compared block against block,
 so that counts are exact there however large it is. Saturated nodes of different components
-are compared in the same way, as their lists have no place for links between dense clusters. An audit compares a sample of nodes
-with all nodes by brute force, and rounds go on until its recall is reached.
+are compared in the same way, as their lists have no place for links between dense clusters. An audit compares samples of linked
+and of unlinked nodes with all nodes by brute force, and rounds go on until its recall is
+reached; where MOST_ROUNDS do not reach it, all nodes of a label are compared in blocks.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ TREES = 4
 LEAF = 192  # nodes that a leaf aims at
 BLOCK = 512  # nodes of a leaf or component that are compared at once
 HOODS = 48  # neighbourhoods joined in one group
-AUDITED = 512  # sampled nodes of the audit
+AUDITED = 512  # nodes that the audit samples among the linked ones, and as many among the others
 MOST_ROUNDS = 6
 
 
@@ -155,8 +156,8 @@ def descend(nodes: DataFrame, graph: DataFrame, neighbours: int, round_no: int)
 
 
 def enlarge(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """(node, linked): how many vectors every node of a component links to inside it, by
-    comparing the component's blocks in pairs."""
+    """(node, linked, near): how many vectors, and how many nodes, every node of a component
+    links to inside it, by comparing the component's blocks in pairs."""
     members = nodes.join(roots, "node").select("node", "root", "embedding", "copies")
     parts = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     dealt = members.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -172,10 +173,10 @@ def enlarge(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
         np.fill_diagonal(near, False)
         if x != y:
             near &= part[:, None] != part[None, :]
-        return pa.table({"node": node, "linked": near @ copies})
+        return pa.table({"node": node, "linked": near @ copies, "near": near.sum(axis=1)})
 
-    found = pairs.groupBy("root", "x", "y").applyInArrow(count, "node long, linked long")
-    return found.groupBy("node").agg(F.sum("linked").alias("linked"))
+    found = pairs.groupBy("root", "x", "y").applyInArrow(count, "node long, linked long, near long")
+    return found.groupBy("node").agg(F.sum("linked").alias("linked"), F.sum("near").alias("near"))
 
 
 def joining_links(members: DataFrame, threshold: float) -> DataFrame:
@@ -208,9 +209,17 @@ def saturated(graph: DataFrame, neighbours: int, threshold: float) -> DataFrame:
 
 
 def audit(nodes: DataFrame, linked: DataFrame, threshold: float) -> float:
-    """Links found over links there are, for AUDITED sampled nodes against all nodes."""
+    """Mean share of its links that a node with links has found, the least over classes of nodes
+    by how many links they have. Copies do not count. AUDITED nodes among the linked ones
+    and AUDITED among the others are compared with all nodes; each stands for its share."""
     spark = nodes.sparkSession
-    drawn = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(AUDITED).select("node", "label", "embedding").collect()
+    known = nodes.join(linked.select("node", "near"), "node", "left").withColumn("near", F.coalesce("near", F.lit(0)))
+    drawn, facts = [], {}
+    for part in (known.where("near > 0"), known.where("near = 0")):
+        size = part.count()
+        some = part.orderBy(F.xxhash64("node", F.lit("audit"))).limit(AUDITED).select("node", "label", "embedding", "near").collect()
+        facts |= {r["node"]: (r["near"], size / len(some)) for r in some}
+        drawn += some
     by: dict[tuple, tuple[list, list]] = {}
     for r in drawn:
         ids, vectors = by.setdefault((r["label"], len(r["embedding"])), ([], []))
@@ -221,7 +230,7 @@ def audit(nodes: DataFrame, linked: DataFrame, threshold: float) -> float:
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             labels, dims = batch.column("label").to_pylist(), batch.column("dim").to_pylist()
-            node, copies = batch.column("node").to_numpy(), batch.column("copies").to_numpy()
+            node = batch.column("node").to_numpy()
             ids, counts = [], []
             for key, (query, q) in shared.value.items():
                 at = np.flatnonzero([(x, d) == key for x, d in zip(labels, dims, strict=True)])
@@ -229,16 +238,19 @@ def audit(nodes: DataFrame, linked: DataFrame, threshold: float) -> float:
                     near = unit(batch.column("embedding").take(pa.array(at))) @ q.T >= threshold
                     near &= node[at][:, None] != query[None, :]
                     ids.append(query)
-                    counts.append(copies[at] @ near)
+                    counts.append(near.sum(axis=0))
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(ids) if ids else [], pa.int64()), pa.array(np.concatenate(counts) if counts else [], pa.int64())], names=["node", "there"]
             )
 
         return work
 
-    there = arrow_map(nodes.select("node", "label", "dim", "embedding", "copies"), make, "node long, there long").groupBy("node").agg(F.sum("there").alias("there"))
-    total = there.join(linked, "node", "left").agg(F.sum("there").alias("there"), F.sum(F.coalesce("linked", F.lit(0))).alias("found")).first()
-    return 1.0 if not total["there"] else total["found"] / total["there"]
+    there = arrow_map(nodes.select("node", "label", "dim", "embedding"), make, "node long, there long").groupBy("node").agg(F.sum("there").alias("there"))
+    shares: dict[int, list[tuple[float, float]]] = {}
+    for r in there.where("there > 0").collect():  # one row for each sampled node
+        near, weight = facts[r["node"]]
+        shares.setdefault((r["there"].bit_length() - 1) // 3, []).append((weight, weight * min(1.0, near / r["there"])))
+    return min((sum(x for _, x in of) / sum(w for w, _ in of) for of in shares.values()), default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall: float = 0.97) -> DataFrame:
@@ -274,6 +286,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall:
         linked = cut(enlarge(nodes, roots, threshold), "near-linked")
         if audit(nodes, linked, threshold) >= target_recall:
             break
+    else:
+        more = cut(joining_links(with_root(nodes, roots), threshold), "near-more")
+        roots = cut(connected_components(links.unionByName(more)), "near-roots")
+        linked = cut(enlarge(nodes, roots, threshold), "near-linked")
     rooted = nodes.select("node", "copies", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     facts = cut(

@@ -185,6 +185,23 @@ def test_dense_clusters_that_touch_are_joined(spark, monkeypatch):
     assert {r.component_id for r in got.values()} == {0}
 
 
+def test_missed_pairs_beside_a_large_cluster_are_found(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    far = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    x = [far[0] + 0.002 * rng.standard_normal(64) for _ in range(120)]
+    x += [far[k] + 0.002 * rng.standard_normal(64) for k in range(1, 31) for _ in range(2)]
+    vectors = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    nodes = neardup.with_node(vectors).selectExpr("node", "label", "embedding", "vec_id", "1L AS copies", "size(embedding) AS dim")
+    only_large = nodes.where("vec_id < 120").selectExpr("node", "119L AS linked", "119L AS near")
+    assert neardup.audit(nodes, only_large, 0.93) < 0.97
+    whole = neardup.descend
+    monkeypatch.setattr(neardup, "MOST_ROUNDS", 1)
+    monkeypatch.setattr(neardup, "forest", lambda nodes, *_: nodes.selectExpr("node AS u", "node AS v", "1D AS sim").limit(0))
+    monkeypatch.setattr(neardup, "descend", lambda *a: whole(*a).limit(0))
+    got = {r.vec_id: r.n_links for r in neardup.near_duplicates(vectors).collect()}
+    assert [got[i] for i in range(180)] == [119] * 120 + [1] * 60
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=x>Home</a><li><a>News</a></ul></nav>
 <div class="ad">Buy now!</div><article><h1>The  story</h1><p>It was &amp; is &#8212; so.<p>Second <b>para</b>graph<br>here.</article>
 <script>var t="<p>no</p>";</script><!-- <p>nor this</p> --><footer>&copy; site</footer></body></html>"""
