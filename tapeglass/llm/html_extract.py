@@ -29,7 +29,6 @@ PATH_SLOTS, WORD_SLOTS, MEASURES = 512, 256, 6
 HIDDEN = 16
 SAMPLE, SAMPLE_CHARS = 200, 40_000
 EPOCHS = 10
-WORDS_READ = 12  # words at a block's start and at its end that are hashed; the text itself is kept whole
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
@@ -37,11 +36,14 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
-# Fixed values of HTML: elements whose content is no text, elements without content, inline elements.
-RAW = frozenset("script style noscript template textarea select option iframe object svg canvas math title".split())
+# Fixed values of HTML: elements whose content is no text (those of TO_END go to the page's end if nothing ends
+# them, the others count only with their own end tag), elements without content, inline elements.
+TO_END = frozenset("script style".split())
+RAW = TO_END | frozenset("noscript template textarea select iframe svg canvas title annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img "
+    "object math semantics mi mn mo ms mtext mspace mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
@@ -102,6 +104,33 @@ def blocks_of(page: str) -> list[Block]:
             if top == tag:
                 return
 
+    def end_of_raw(tag: str, start: int) -> int | None:
+        """Where the raw element ends; None if something around it ends first or nothing ends it."""
+        if not re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, start):
+            return None if tag not in TO_END else len(page)
+        if tag in TO_END:
+            found = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, start)
+            return found.end() if found else len(page)
+        inside: list[str] = []
+        skip = start
+        for m in TOKEN.finditer(page, start):
+            name = m[2].lower() if m[2] else ""
+            if m.start() < skip or not name:
+                continue
+            if m[1]:
+                if name in inside:
+                    while inside.pop() != name:
+                        pass
+                elif name == tag:
+                    return m.end()
+                elif any(t == name for t, _ in stack):
+                    return None
+            elif name in TO_END and not m[3].endswith("/"):
+                skip = end_of_raw(name, m.end())
+            elif name not in VOID and not m[3].endswith("/"):
+                inside.append(name)
+        return None
+
     for m in TOKEN.finditer(page):
         if m.start() < at:
             continue
@@ -120,9 +149,10 @@ def blocks_of(page: str) -> list[Block]:
                 close_until(tag)
             continue
         if tag in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
+            end = end_of_raw(tag, at)
+            if end is not None:
+                at = end
+                continue
         if tag in CLOSES_P and any(t == "p" for t, _ in stack):
             close_until("p")
         if tag in SAME_CLOSES and stack and stack[-1][0] == tag:
@@ -144,8 +174,7 @@ def encode_block(b: Block) -> tuple[list[int], list[float]]:
     found = {slot(n, PATH_SLOTS) for n in inside}
     found |= {slot(f"{x}>{y}", PATH_SLOTS) for x, y in zip(inside, inside[1:])}
     words = b.text.lower().split(" ")
-    read = words if len(words) <= 2 * WORDS_READ else words[:WORDS_READ] + words[-WORDS_READ:]
-    found |= {PATH_SLOTS + slot(w, WORD_SLOTS) for w in read}
+    found |= {PATH_SLOTS + slot(w, WORD_SLOTS) for w in set(words)}
     n = len(b.text)
     measures = [
         min(1.0, np.log1p(n) / 8),
@@ -153,7 +182,7 @@ def encode_block(b: Block) -> tuple[list[int], list[float]]:
         min(1.0, b.linked / n),
         1.0 if b.text[-1] in ".!?:" else 0.0,
         min(1.0, len(b.path) / 12),
-        sum(c.isdigit() for c in b.text[:200]) / min(n, 200),
+        sum(c.isdigit() for c in b.text) / n,
     ]
     return sorted(found), measures
 

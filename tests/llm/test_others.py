@@ -214,6 +214,25 @@ def test_blocks():
     assert [b.text for b in html_extract.blocks_of("a < b <p>c</div>d")][-1] == "cd"
 
 
+def test_raw_elements_without_end_swallow_nothing():
+    def texts(page):
+        return [b.text for b in html_extract.blocks_of(page)]
+
+    story = "<article><p>The whole story.</p></article>"
+    assert texts(f"<form><datalist><option value=a><option value=b></datalist></form>{story}") == ["The whole story."]
+    for tag in ("select", "svg", "noscript", "iframe", "canvas", "object"):
+        assert texts(f"<div><{tag}></div>{story}<p>End.</p>") == ["The whole story.", "End."]
+        assert texts(f"<div><{tag}></div>{story}<div><{tag}></{tag}></div>") == ["The whole story."]
+        assert "The whole story." in texts(f"<{tag}>{story}")
+    assert texts("<p>a</p><script>x") == ["a"]
+    assert texts("<select><option>one<option>two</select><p>b</p>") == ["b"]
+    assert texts("<noscript><p>no</p></noscript><svg><g><text>t</text></g></svg><p>b</p>") == ["b"]
+    assert texts("<p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then <object>so</object>.</p>") == ["If x=1 then so."]
+    block = html_extract.Block(["p"], " ".join(f"w{i}" for i in range(60)))
+    middle = html_extract.PATH_SLOTS + html_extract.slot("w30", html_extract.WORD_SLOTS)
+    assert middle in html_extract.encode_block(block)[0]
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(0)
     model = html_extract.Labeller(1)
