@@ -1,12 +1,13 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-A line's shingles are the SHINGLE characters from each word's start on, over at most three
-words (from each character on in scripts without spaces). One hash per shingle gives minima in BINS ranges
-of the hash space; band j reads ROWS minima in a row from its own point of that circle, so
-lines with few shingles have full bands too. Lines that share a band are compared with the
-band's first and last line by exact Jaccard, and links are joined by star contraction. Bands
-that still hold several components have their other lines compared with one another, block
-against block, so every link inside a band is found. The first line of each component stays.
+A line's shingles are the SHINGLE characters from each of its characters on (a shorter line is
+one shingle). Characters are UTF-16 units, so a character outside the basic plane counts as two.
+One hash per shingle gives minima in BINS ranges of the hash space; band j reads ROWS minima in a
+row from its own point of that circle, so lines with few shingles have full bands too. Lines that
+share a band are compared with the band's first line by exact Jaccard, and links are joined by
+star contraction. Bands that still hold several components have their lines compared with one
+another, block against block, so every link inside a band is found. The first line of each
+component stays.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeglass.llm.common import cut, drop_cut
+from tapeglass.llm.common import cut, drop_cut, shuffle_count
 from tapeglass.llm.components import bit_filter, connected_components, passes_bits
 
 SHINGLE = 12
@@ -22,6 +23,7 @@ ROWS = 3
 BANDS = 8
 BINS = ROWS * BANDS
 MIN_WORDS = 3
+REACH = 6  # a bin's minimum is looked for where that many hashes of the bin are expected
 BLOCK = 64  # lines of an open band that are compared at once
 NO_SPACES = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"  # scripts written without spaces
 
@@ -40,15 +42,13 @@ def long_enough(norm: Column) -> Column:
     return F.substring_index(norm, " ", MIN_WORDS) != F.substring_index(norm, " ", MIN_WORDS - 1)
 
 
-def three_words(words: str) -> Column:
-    """Structs of each word of an array column and the two after it (null past the end)."""
-    w = F.col(words)
-    return F.arrays_zip(w.alias("x"), F.slice(w, 2, F.size(w)).alias("y"), F.slice(w, 3, F.size(w)).alias("z"))
-
-
-def shingle(x: Column, y: Column, z: Column) -> Column:
-    """Hash of the SHINGLE characters from a word's start on."""
-    return F.xxhash64(F.substring(F.concat_ws(" ", x, y, z), 1, SHINGLE))
+def shingle_set(norm: Column) -> Column:
+    """Distinct hashes of the SHINGLE characters from each character on. The bytes are bound to a
+    lambda variable once, as a column would be copied for each shingle."""
+    width = 2 * SHINGLE
+    starts = lambda b: F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(b) - F.lit(width - 1)), F.lit(2))
+    hashes = F.transform(F.array(F.encode(norm, "UTF-16BE")), lambda b: F.transform(starts(b), lambda i: F.xxhash64(F.substr(b, i, F.lit(width)))))
+    return F.array_distinct(F.get(hashes, F.lit(0)))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -62,19 +62,31 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """(line_id, filled, c0..): minima of the non-empty bins in bin order, for each distinct
-    line, and how many of them lie before each band's point. Copies of a line fall together
-    in the partial aggregation."""
-    words = lines.select("line_id", F.split("norm", " ").alias("words"))  # a column, as a generator would split for each use
-    hashed = words.select("line_id", F.inline(three_words("words")).alias("x", "y", "z")).select(
-        "line_id", shingle(F.col("x"), F.col("y"), F.col("z")).alias("h")
+    line, and how many of them lie before each band's point.
+
+    Shingles leave the generator inside generated code and are aggregated in two steps, by line
+    and band, then by line, both without a further shuffle. Of a line with n > 2 * REACH * BINS
+    shingles, hashes above a bound set by the octave of n are left out first: at least REACH of
+    a bin's hashes are expected below it, so with a chance under exp(-REACH) a bin counts as
+    empty. That only moves which lines meet; links are verified on whole sets."""
+    width = 2 * SHINGLE
+    coded = lines.dropDuplicates(["line_id"]).select("line_id", F.encode("norm", "UTF-16BE").alias("b"))
+    octave = f"length(bin(greatest(1, octet_length(b) div 2 - {SHINGLE - 1}))) - 1"
+    bound = F.expr(f"shiftright({REACH * BINS}L * 8589934592L, {octave})").alias("bound")
+    hashed = coded.select("line_id", "b", bound).select(
+        "line_id", "bound", "b", F.explode(F.expr(f"sequence(1, greatest(1, octet_length(b) - {width - 1}), 2)")).alias("i")
+    ).select("line_id", "bound", F.expr(f"xxhash64(substring(b, i, {width}))").alias("h"))
+    part = F.expr(f"int(shiftrightunsigned(shiftrightunsigned(h, 33) * {BANDS}L, 31))").alias("part")
+    binned = hashed.select("line_id", "bound", part, F.expr(f"(h & 8589934591L) * {ROWS}L").alias("g"))
+    low = binned.where("(g & 8589934591L) < bound").select("line_id", "part", F.expr("int(shiftrightunsigned(g, 33))").alias("r"), F.expr("g & 8589934591L").alias("v"))
+    parts = low.groupBy("line_id", "part").agg(*[F.min(F.when(F.col("r") == k, F.col("v"))).alias(f"p{k}") for k in range(ROWS)])
+    minima = parts.groupBy("line_id").agg(
+        *[F.min(F.when(F.col("part") == i // ROWS, F.col(f"p{i % ROWS}"))).alias(f"m{i}") for i in range(BINS)]
     )
-    binned = hashed.select("line_id", F.expr(f"int(shiftrightunsigned(shiftrightunsigned(h, 33) * {BINS}L, 31))").alias("bin"), F.expr("int(h & 2147483647L)").alias("v"))
-    minima = binned.groupBy("line_id").agg(*[F.min(F.when(F.col("bin") == i, F.col("v"))).alias(f"m{i}") for i in range(BINS)])
-    step = BINS // BANDS
     before: list[Column] = [F.lit(0)]
     for j in range(1, BANDS):
-        before.append(sum((F.col(f"m{i}").isNotNull().cast("int") for i in range(step * j)), F.lit(0)))
-    filled = F.array_compact(F.array(*[F.col(f"m{i}").cast("long") + F.lit(i << 31) for i in range(BINS)]))
+        before.append(sum((F.col(f"m{i}").isNotNull().cast("int") for i in range(ROWS * j)), F.lit(0)))
+    filled = F.array_compact(F.array(*[F.col(f"m{i}") + F.lit(i << 33) for i in range(BINS)]))
     return minima.select("line_id", filled.alias("filled"), *[c.alias(f"c{j}") for j, c in enumerate(before)])
 
 
@@ -85,70 +97,72 @@ def bands(signed: DataFrame) -> DataFrame:
     return ring.select("line_id", F.explode(F.array(*keys)).alias("band"))
 
 
-def links_inside_bands(inner: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links between lines of one band that are neither its first nor its last line
-    and are not in one component yet.
-
-    The lines of a band that holds several components are dealt into parts, and parts are
-    compared in pairs inside one row, so no pair becomes a row unless it is a link."""
-    rooted = inner.join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("root", F.coalesce("root", "line_id"))
-    several = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    dealt = rooted.join(several.where("x < y").select("band", "parts"), "band").withColumn("part", F.pmod(F.xxhash64("line_id"), F.col("parts")).cast("int"))
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) of line ids whose shingle sets reach ``similarity``. Sets are made
+    from the texts after the joins, as they are many times larger."""
+    both = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("norm").alias("na")), "a").join(
+        texts.select(F.col("line_id").alias("b"), F.col("norm").alias("nb")), "b"
+    )
+    parts = shuffle_count(pairs.sparkSession)
+    sets = both.repartition(parts, "a", "b").select("a", "b", shingle_set(F.col("na")).alias("sa"), shingle_set(F.col("nb")).alias("sb"))
+    share = F.lit(similarity)
+    common, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+    return sets.where(common * (1 + share) >= share * total).select("a", "b")
+
+
+def links_inside_bands(shared: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between lines of one band that are not in one component yet.
+
+    Of bands with the same lines one is read. The lines of a band that holds several components
+    are dealt into parts, and parts are compared in pairs inside a task; only pairs of different
+    components and near sizes are tried, and only links leave the task."""
+    rooted = shared.join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").select("band", "line_id", F.coalesce("root", "line_id").alias("root"))
+    marks = [F.sum(F.xxhash64("line_id", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
+    several = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"), *marks).where("x < y AND n > 2")
+    once = several.groupBy("n", "s1", "s2").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    dealt = rooted.join(once, "band").withColumn("part", F.pmod(F.xxhash64("line_id"), F.col("parts")).cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     blocks = spread.select("band", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "line_id", "root")
-    lines = F.struct("line_id", "root", F.size("set").alias("n"), "set")
-    grouped = blocks.join(sets, "line_id").groupBy("band", "x", "y").agg(
-        F.collect_list(F.when(F.col("part") == F.col("x"), lines)).alias("xs"), F.collect_list(F.when(F.col("part") == F.col("y"), lines)).alias("ys")
+    sets = (
+        blocks.join(texts, "line_id")
+        .repartition(shuffle_count(shared.sparkSession), "band", "x", "y")
+        .select("band", "x", "y", "part", F.struct("line_id", "root", shingle_set(F.col("norm")).alias("set")).alias("line"))
     )
-
-    def linked(p: Column, q: Column) -> Column:
-        share = F.lit(similarity)
-        new = (p["root"] != q["root"]) & ((F.col("x") < F.col("y")) | (p["line_id"] < q["line_id"]))
-        near = (p["n"] >= share * q["n"]) & (q["n"] >= share * p["n"])
-        common = F.size(F.array_intersect(p["set"], q["set"]))
-        return new & near & (common >= share * (p["n"] + q["n"] - common))
-
-    ends = F.transform(
-        "xs", lambda p: F.struct(p["line_id"].alias("a"), F.transform(F.filter("ys", lambda q: linked(p, q)), lambda q: q["line_id"]).alias("bs"))
+    first, second = F.col("part") == F.col("x"), (F.col("part") == F.col("y")) & (F.col("x") < F.col("y"))
+    met = sets.groupBy("band", "x", "y").agg(F.collect_list(F.when(first, F.col("line"))).alias("xs"), F.collect_list(F.when(second, F.col("line"))).alias("ys"))
+    other = F.when(F.col("x") < F.col("y"), F.col("ys")).otherwise(F.col("xs"))
+    share = F.lit(similarity)
+
+    tried = met.select("x", "y", F.explode("xs").alias("p"), other.alias("ys")).select("x", "y", "p", F.explode("ys").alias("q"))
+    n, m = F.size("p.set"), F.size("q.set")
+    wanted = (F.col("p.root") != F.col("q.root")) & ((F.col("x") < F.col("y")) | (F.col("p.line_id") < F.col("q.line_id")))
+    common = F.size(F.array_intersect("p.set", "q.set"))
+    return tried.where(wanted & (n >= share * m) & (m >= share * n) & (common * (1 + share) >= share * (n + m))).select(
+        F.col("p.line_id").alias("a"), F.col("q.line_id").alias("b")
     )
-    return grouped.select(F.inline(ends)).select("a", F.explode("bs").alias("b"))
 
 
 def line_roots(lines: DataFrame, similarity: float) -> DataFrame:
     """(node, root) over the ids of lines that have links: lines that share a band and whose
     exact Jaccard reaches ``similarity``."""
     banded = cut(bands(signatures(lines)), "line-bands")
-    ends = banded.groupBy("band").agg(F.min("line_id").alias("first"), F.max("line_id").alias("last"), F.count("*").alias("n")).where("first < last")
-    ends = cut(ends, "line-ends")
+    ends = banded.groupBy("band").agg(F.min("line_id").alias("first"), F.max("line_id").alias("last")).where("first < last")
+    ends = cut(ends.select("band", "first"), "line-ends")
     shared = cut(passes_bits(banded, "band", bit_filter(ends, "band")).join(ends, "band"), "line-shared")
     drop_cut(banded)
     drop_cut(ends)
-    pairs = cut(
-        shared.select(F.explode(F.array("first", "last")).alias("other"), "line_id")
-        .where("other <> line_id")
-        .select(F.least("line_id", "other").alias("a"), F.greatest("line_id", "other").alias("b"))
-        .distinct(),
-        "line-pairs",
+    wanted = shared.select("line_id").distinct()
+    texts = cut(
+        passes_bits(lines.select("line_id", "norm"), "line_id", bit_filter(wanted, "line_id"))
+        .dropDuplicates(["line_id"])
+        .join(wanted, "line_id", "left_semi"),
+        "line-texts",
     )
-    inner = cut(shared.where("n > 3 AND line_id <> first AND line_id <> last").select("band", "line_id"), "line-inner")
+    pairs = shared.where("line_id <> first").select(F.col("first").alias("a"), F.col("line_id").alias("b")).distinct()
+    roots = cut(connected_components(verified(pairs, texts, similarity)), "line-components")
+    more = cut(links_inside_bands(shared, roots, texts, similarity), "line-more")
     drop_cut(shared)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
-    texts = passes_bits(lines.select("line_id", "norm"), "line_id", bit_filter(wanted, "line_id"))
-    sets = cut(
-        texts.dropDuplicates(["line_id"])
-        .join(wanted, "line_id", "left_semi")
-        .select("line_id", F.split("norm", " ").alias("words"))
-        .select("line_id", F.array_distinct(F.transform(three_words("words"), lambda s: shingle(s["x"], s["y"], s["z"]))).alias("set")),
-        "line-sets",
-    )
-    both = pairs.join(sets.select(F.col("line_id").alias("a"), F.col("set").alias("sa")), "a").join(
-        sets.select(F.col("line_id").alias("b"), F.col("set").alias("sb")), "b"
-    )
-    common = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - common
-    links = both.where(common >= F.lit(similarity) * union).select("a", "b")
-    roots = cut(connected_components(links), "line-components")
-    more = cut(links_inside_bands(inner, roots, sets, similarity), "line-more")
+    drop_cut(texts)
     if more.isEmpty():
         return roots
     return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
@@ -193,13 +207,12 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
     marked = mark_lines(docs, similarity)
     gone = cut(marked.where("NOT kept").select("row_id", "line_no").distinct(), "line-gone")
     by_row = gone.groupBy("row_id").agg(F.collect_set("line_no").alias("gone_lines"))
-    keyed = docs.select("*", F.xxhash64("doc_id", F.octet_length("text"), "text").alias("kept_row_id"))
-    joined = keyed.join(by_row, keyed["kept_row_id"] == by_row["row_id"], "left")
-    left = F.array_join(
-        F.filter(F.split(F.col("text"), "\n"), lambda line, i: ~F.array_contains(F.col("gone_lines"), i)), "\n"
-    )
-    text = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(left)
-    out = joined.withColumn("text", text).where(F.col("gone_lines").isNull() | F.col("text").rlike(r"[^ \t\n\r\x0B\f]"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    keyed = docs.select(F.xxhash64("doc_id", F.octet_length("text"), "text").alias("row_id"), F.struct("*").alias("doc"))
+    joined = keyed.join(by_row, "row_id", "left")
+    old = F.col("doc")["text"]
+    left = F.array_join(F.filter(F.split(old, "\n"), lambda line, i: ~F.array_contains(F.col("gone_lines"), i)), "\n")
+    text = F.when(F.col("gone_lines").isNull(), old).otherwise(left)
+    new = joined.select("doc", text.alias("new_text"), F.col("gone_lines").isNull().alias("whole"))
+    new = new.where(F.col("whole") | F.col("new_text").rlike(r"[^ \t\n\r\x0B\f]"))
+    fresh = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("long")}
+    return new.select(*[fresh.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])

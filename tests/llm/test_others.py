@@ -62,9 +62,8 @@ def line_sets(rows):
     for _, text in rows:
         for line in (text or "").split("\n") if text is not None else []:
             norm = re.sub(r"[ \t]+", " ", line).strip(" \t\r\f\x0b").lower()
-            words = norm.split(" ")
-            if len(words) >= linededup.MIN_WORDS:
-                out[norm] = frozenset(" ".join(words[i : i + 3])[: linededup.SHINGLE] for i in range(len(words)))
+            if len(norm.split(" ")) >= linededup.MIN_WORDS:
+                out[norm] = frozenset(norm[i : i + linededup.SHINGLE] for i in range(max(1, len(norm) - linededup.SHINGLE + 1)))
     return out
 
 
@@ -132,6 +131,47 @@ def test_every_link_inside_a_band_joins(spark):
     assert len(set(component.values())) >= 300
 
 
+def test_recall_of_links_from_075_to_08(spark):
+    """Lines with changed words, links by brute force over the shingles of every character."""
+    rng = np.random.default_rng(21)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    rows = []
+    for family in range(150):
+        own = ["".join(rng.choice(letters, int(rng.integers(3, 9)))) for _ in range(40)]
+        for copy in range(6):
+            words = own.copy()
+            for at in rng.choice(40, 2, replace=False) if copy else ():
+                words[at] = f"z{family}c{copy}"
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    component = {r.doc_id: r.component_id for r in linededup.mark_lines(docs).collect()}
+    sets = line_sets(rows)
+    near = []
+    for f in range(0, len(rows), 6):
+        for i in range(f, f + 6):
+            for j in range(i + 1, f + 6):
+                a, b = sets[rows[i][1]], sets[rows[j][1]]
+                if 0.75 <= len(a & b) / len(a | b) <= 0.8:
+                    near.append(component[i] == component[j])
+    assert len(near) > 100
+    assert np.mean(near) >= 0.95
+
+
+def test_line_dedup_with_clashing_columns(spark):
+    rows = [(1, "one two three four", 7, "a", "x", 1), (2, "one two three four", 8, "b", None, 2), (3, None, 9, "c", "y", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_id long, gone_lines string, kept_row_id string, doc int")
+    got = sorted(linededup.dedup_lines(docs).collect())
+    assert got == [rows[0], rows[2]]
+    assert linededup.dedup_lines(docs).columns == docs.columns
+
+
+def test_line_dedup_of_long_and_wide_lines(spark):
+    long_line = " ".join(f"w{i}" for i in range(40_000))
+    rows = [(1, long_line), (2, long_line + " end"), (3, "\u4e00\u4e8c\u4e09\u56db"), (4, "\u4e00\u4e8c\u4e09\u56db"), (5, "a b c"), (6, "a b c"), (7, "\U0001f600 " * 30), (8, "\U0001f600 " * 31)]
+    got = {r.doc_id: r.kept for r in linededup.mark_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False, 5: True, 6: False, 7: True, 8: False}
+
+
 def test_repeated_rows_keep_the_same_lines(spark):
     docs = spark.createDataFrame([(1, "one two three four"), (1, "one two three four"), (None, "five six seven"), (2, "FIVE  six\tseven")], "doc_id long, text string")
     got = {(r.doc_id, r.kept) for r in linededup.mark_lines(docs).collect()}
