@@ -110,34 +110,59 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return sets.where(common * (1 + share) >= share * total).select("a", "b")
 
 
+def part_pairs(sized: DataFrame) -> DataFrame:
+    """(band, x, y): parts of a band to be compared, from (band, root, n) rows.
+
+    A component with BLOCK lines or more in a band has parts of its own, which are not compared
+    with one another; smaller ones share mixed parts. So a band with one large component and few
+    other lines is read about once, not once per part."""
+    large = sized.where(F.col("n") >= BLOCK).select("band", F.col("root").alias("own"), F.ceil(F.col("n") / BLOCK).alias("parts"))
+    mixed = sized.where(F.col("n") < BLOCK).groupBy("band").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    both = large.unionByName(mixed.select("band", F.lit(None).cast("long").alias("own"), "parts"))
+    parts = both.select("band", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    named = parts.select("band", "own", F.xxhash64("own", "part").alias("pid"))
+    other = named.select(F.col("band"), F.col("own").alias("own_y"), F.col("pid").alias("y"))
+    met = named.withColumnRenamed("pid", "x").join(other, "band").where("x <= y")
+    return met.where("own IS NULL OR own_y IS NULL OR own <> own_y").select("band", "x", "y")
+
+
 def links_inside_bands(shared: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links between lines of one band that are not in one component yet.
 
     Of bands with the same lines one is read. The lines of a band that holds several components
     are dealt into parts, and parts are compared in pairs inside a task; only pairs of different
-    components and near sizes are tried, and only links leave the task."""
+    components and near sizes are tried, each in the first of their common bands, and only links
+    leave the task."""
     rooted = shared.join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").select("band", "line_id", F.coalesce("root", "line_id").alias("root"))
     marks = [F.sum(F.xxhash64("line_id", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
     several = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"), *marks).where("x < y AND n > 2")
-    once = several.groupBy("n", "s1", "s2").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    dealt = rooted.join(once, "band").withColumn("part", F.pmod(F.xxhash64("line_id"), F.col("parts")).cast("int"))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = spread.select("band", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "line_id", "root")
+    once = several.groupBy("n", "s1", "s2").agg(F.min("band").alias("band")).select("band")
+    dealt = cut(rooted.join(once, "band"), "line-open")
+    sized = cut(dealt.groupBy("band", "root").agg(F.count("*").alias("n")), "line-open-sizes")
+    mixed = sized.where(F.col("n") < BLOCK).groupBy("band").agg(F.ceil(F.sum("n") / BLOCK).alias("mixed"))
+    own = F.col("n") >= BLOCK
+    part = F.when(own, F.pmod(F.xxhash64("line_id"), F.ceil(F.col("n") / BLOCK))).otherwise(F.pmod(F.xxhash64("root"), F.col("mixed")))
+    pid = F.xxhash64(F.when(own, F.col("root")), part.cast("long")).alias("pid")
+    placed = dealt.join(sized, ["band", "root"]).join(mixed, "band", "left").select("band", pid, "line_id", "root")
+    pairs = part_pairs(sized)
+    sides = pairs.select("band", F.col("x").alias("pid"), "x", "y").unionByName(pairs.where("x < y").select("band", F.col("y").alias("pid"), "x", "y"))
+    blocks = placed.join(sides, ["band", "pid"])
+    known = texts.join(dealt.groupBy("line_id").agg(F.collect_list("band").alias("bands")), "line_id")  # at most BANDS each
     sets = (
-        blocks.join(texts, "line_id")
+        blocks.join(known, "line_id")
         .repartition(shuffle_count(shared.sparkSession), "band", "x", "y")
-        .select("band", "x", "y", "part", F.struct("line_id", "root", shingle_set(F.col("norm")).alias("set")).alias("line"))
+        .select("band", "x", "y", "pid", F.struct("line_id", "root", "bands", shingle_set(F.col("norm")).alias("set")).alias("line"))
     )
-    first, second = F.col("part") == F.col("x"), (F.col("part") == F.col("y")) & (F.col("x") < F.col("y"))
+    first, second = F.col("pid") == F.col("x"), (F.col("pid") == F.col("y")) & (F.col("x") < F.col("y"))
     met = sets.groupBy("band", "x", "y").agg(F.collect_list(F.when(first, F.col("line"))).alias("xs"), F.collect_list(F.when(second, F.col("line"))).alias("ys"))
     other = F.when(F.col("x") < F.col("y"), F.col("ys")).otherwise(F.col("xs"))
     share = F.lit(similarity)
-
-    tried = met.select("x", "y", F.explode("xs").alias("p"), other.alias("ys")).select("x", "y", "p", F.explode("ys").alias("q"))
+    tried = met.select("band", "x", "y", F.explode("xs").alias("p"), other.alias("ys")).select("band", "x", "y", "p", F.explode("ys").alias("q"))
     n, m = F.size("p.set"), F.size("q.set")
     wanted = (F.col("p.root") != F.col("q.root")) & ((F.col("x") < F.col("y")) | (F.col("p.line_id") < F.col("q.line_id")))
+    here = F.array_min(F.array_intersect("p.bands", "q.bands")) == F.col("band")
     common = F.size(F.array_intersect("p.set", "q.set"))
-    return tried.where(wanted & (n >= share * m) & (m >= share * n) & (common * (1 + share) >= share * (n + m))).select(
+    return tried.where(wanted & (n >= share * m) & (m >= share * n) & here & (common * (1 + share) >= share * (n + m))).select(
         F.col("p.line_id").alias("a"), F.col("q.line_id").alias("b")
     )
 

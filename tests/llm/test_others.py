@@ -131,6 +131,23 @@ def test_every_link_inside_a_band_joins(spark):
     assert len(set(component.values())) >= 300
 
 
+def test_parts_of_a_large_component_do_not_meet(spark):
+    rows = [(1, 10, 640)] + [(1, 20 + i, 1) for i in range(5)] + [(2, 7, 3), (2, 8, 2)]
+    pairs = linededup.part_pairs(spark.createDataFrame(rows, "band long, root long, n long")).collect()
+    assert Counter(r.band for r in pairs) == {1: 11, 2: 1}
+
+
+def test_large_components_of_a_band_meet_the_other_lines(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "BLOCK", 4)
+    texts = [f"{'abcdefghijklmnopqrstuvwxyz' * 4} end {i}" for i in range(12)] + ["0123456789 " * 9 + f"x{i}" for i in range(9)]
+    ids = list(range(21))
+    shared = spark.createDataFrame([(5, i) for i in ids] + [(6, i) for i in ids[:20]], "band long, line_id long")
+    roots = spark.createDataFrame([(i, 0) for i in range(7)] + [(i, 7) for i in range(7, 12)], "node long, root long")
+    known = spark.createDataFrame(list(zip(ids, texts, strict=True)), "line_id long, norm string")
+    got = {tuple(sorted(r)) for r in linededup.links_inside_bands(shared, roots, known, 0.75).collect()}
+    assert got == {(i, j) for i in range(7) for j in range(7, 12)} | {(i, j) for i in range(12, 21) for j in range(i + 1, 21)}
+
+
 def test_recall_of_links_from_075_to_08(spark):
     """Lines with changed words, links by brute force over the shingles of every character."""
     rng = np.random.default_rng(21)
