@@ -15,20 +15,27 @@ from pyspark.sql import DataFrame
 SEVERITY = ("none", "low", "medium", "high", "critical")
 
 
+def severity_rank(severity: str | None) -> int:
+    """0 for none, unknown and null."""
+    return SEVERITY.index(severity) if severity in SEVERITY else 0
+
+
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], make: Callable[[], Callable[[Any], Any]], extra: str = "") -> DataFrame:
     """``df`` with those rows for which the step of the key's fold returns a value other than None.
 
-    ``make`` gives a fresh step function for each key; it is called with every row in order.
-    With ``extra`` ("name type") the returned value becomes that column."""
+    ``make`` gives a fresh step function for each key; it is called with every row, as a dict of
+    the columns, in order. With ``extra`` ("name type") the returned value becomes that column."""
     columns = list(df.columns)
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema] + ([extra] if extra else []))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + ([extra] if extra else []))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, step = object(), None
         for rows in batches:
             kept, values = [], []
-            for i, row in enumerate(rows.itertuples(index=False)):
-                key = tuple(getattr(row, k) for k in keys)
+            fields = [rows[c].tolist() for c in columns]
+            for i, row in enumerate(zip(*fields, strict=True)):
+                row = dict(zip(columns, row, strict=True))
+                key = tuple(row[k] for k in keys)
                 if key != current:
                     current, step = key, make()
                 value = step(row)
@@ -57,8 +64,8 @@ def suppress_unchanged(quotes: DataFrame, prices: list[str], sizes: list[str], h
 
         def step(row: Any) -> bool | None:
             old = last[0]
-            if old is not None and row.ts_us - old.ts_us < heartbeat_us:
-                if all(same(getattr(row, c), getattr(old, c), 1e-4) for c in prices) and all(same(getattr(row, c), getattr(old, c), 1e-2) for c in sizes):
+            if old is not None and row["ts_us"] - old["ts_us"] < heartbeat_us:
+                if all(same(row[c], old[c], 1e-4) for c in prices) and all(same(row[c], old[c], 1e-2) for c in sizes):
                     return None
             last[0] = row
             return True
@@ -76,9 +83,9 @@ def throttle(rows: DataFrame, keys: list[str], order: list[str], interval_us: in
         last: list[int | None] = [None]
 
         def step(row: Any) -> bool | None:
-            if last[0] is not None and row.ts_us - last[0] < interval_us and not (bypass and getattr(row, bypass)):
+            if last[0] is not None and row["ts_us"] - last[0] < interval_us and not (bypass and row[bypass]):
                 return None
-            last[0] = row.ts_us
+            last[0] = row["ts_us"]
             return True
 
         return step
@@ -89,19 +96,27 @@ def throttle(rows: DataFrame, keys: list[str], order: list[str], interval_us: in
 def alert_episodes(alerts: DataFrame, least_score: float = 3.0, cooldown_us: int = 1_800_000_000) -> DataFrame:
     """What each alert does to its market's stored history: created on the first alert, on a higher
     severity than the stored one, or ``cooldown_us`` after the stored one was created; else updated,
-    which takes the alert's severity into the stored one. Alerts under ``least_score`` do nothing."""
+    which takes the alert's severity into the stored one. Alerts under ``least_score`` or with a null
+    score do nothing, but where there is a column quote_pk and the stored alert is of the same
+    quote, it is deleted, and with it all memory of it. Unknown severities count as none."""
+    quoted = "quote_pk" in alerts.columns
 
     def make():
-        stored: list[Any] = [None, -1]  # created at, severity rank
+        stored: list[Any] = [None, -1, None]  # created at, severity rank, quote
 
-        def step(row: Any) -> str | None:
-            if row.score < least_score:
-                return None
-            rank = SEVERITY.index(row.severity)
-            if stored[0] is None or rank > stored[1] or row.created_us - stored[0] >= cooldown_us:
-                stored[:] = [row.created_us, rank]
+        def step(row: dict) -> str | None:
+            quote = row["quote_pk"] if quoted else None
+            again = quoted and not pd.isna(quote) and stored[0] is not None and quote == stored[2]
+            if pd.isna(row["score"]) or row["score"] < least_score:
+                if not again:
+                    return None
+                stored[:] = [None, -1, None]
+                return "deleted"
+            rank = severity_rank(row["severity"])
+            if not again and (stored[0] is None or rank > stored[1] or row["created_us"] - stored[0] >= cooldown_us):
+                stored[:] = [row["created_us"], rank, quote]
                 return "created"
-            stored[1] = rank
+            stored[1:] = [rank, quote]
             return "updated"
 
         return step

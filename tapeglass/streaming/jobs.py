@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tapeglass.operators.folds import severity_rank
+
 
 def new_prints(prints: DataFrame, late: str = "1 day") -> DataFrame:
     """Prints without replays: one per trade_id within the watermark."""
@@ -47,25 +49,79 @@ def latest_in_batch(quotes: DataFrame) -> DataFrame:
     return quotes.groupBy("market_id").agg(F.max_by(F.struct(*rest), F.struct("seq", "ts")).alias("r")).select("market_id", "r.*")
 
 
-def live_throttle(rows: DataFrame, key: str, interval_ms: int) -> DataFrame:
-    """A stream with at most one row per key in ``interval_ms`` of event time; state is one time per
-    key and is dropped after an hour without rows. Needs columns ``key`` and ts."""
-    schema = rows.schema
+def live_fold(rows: DataFrame, key: str, late: str, keep_ms: int, state: str, out: str, step: Callable) -> DataFrame:
+    """A stream of what ``step(state or None, row) -> (new state, values or None)`` gives for the rows
+    of each key in event-time order. Values are appended to the row as the columns ``out``.
+
+    State is one tuple per key. It is dropped once the watermark (``late`` behind the newest row)
+    has passed the key's last row by ``keep_ms``, so choose that so long that a later row is
+    treated as a first one; rows behind the watermark are discarded. Needs a column ts."""
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ([out] if out else []))
+    names = [c.split()[0] for c in out.split(",")] if out else []
 
-    def pick(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def fold(group: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
             return
-        last = state.get[0] if state.exists else None
+        now = held.get if held.exists else None
         arrived = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        kept = []
-        for i, at in enumerate(arrived["ts"]):
-            ms = at.value // 1_000_000
-            if last is None or ms - last >= interval_ms:
+        at_ms = arrived["ts"].to_numpy("datetime64[ms]").astype("int64")
+        kept, values = [], []
+        for i, (at, row) in enumerate(zip(at_ms.tolist(), arrived.to_dict("records"), strict=True)):
+            now, found = step(now, at, row)
+            if found is not None:
                 kept.append(i)
-                last = ms
-        state.update((last,))
-        state.setTimeoutDuration(3_600_000)
-        yield arrived.iloc[kept]
+                values.append(found)
+        held.update(now)
+        held.setTimeoutTimestamp(max(int(at_ms[-1]) + keep_ms, held.getCurrentWatermarkMs() + 1))
+        yield arrived.iloc[kept].assign(**{n: [v[k] for v in values] for k, n in enumerate(names)})
+
+    watched = rows.withWatermark("ts", late)
+    return watched.groupBy(key).applyInPandasWithState(fold, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def live_throttle(rows: DataFrame, key: str, interval_ms: int, bypass: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """A stream with at most one row per key in ``interval_ms`` of event time; rows whose boolean
+    column ``bypass`` is true always pass and count as written."""
+
+    def step(now: tuple | None, at: int, row: dict) -> tuple:
+        if now is not None and at - now[0] < interval_ms and not (bypass and row[bypass]):
+            return now, None
+        return (at,), ()
+
+    return live_fold(rows, key, late, interval_ms, "last long", "", step)
+
+
+def live_suppress(quotes: DataFrame, key: str, price: str, size: str, heartbeat_ms: int = 300_000, late: str = "10 minutes") -> DataFrame:
+    """Quotes worth storing: the first of a key, any whose price moved by more than 0.0001 or size by
+    more than 0.01 from the last stored one, and one after ``heartbeat_ms`` without."""
+
+    def step(now: tuple | None, at: int, row: dict) -> tuple:
+        new = (at, None if pd.isna(row[price]) else float(row[price]), None if pd.isna(row[size]) else float(row[size]))
+        if now is not None and at - now[0] < heartbeat_ms:
+            if all(close(a, b, t) for a, b, t in zip(now[1:], new[1:], (1e-4, 1e-2), strict=True)):
+                return tuple(now), None
+        return new, ()
+
+    return live_fold(quotes, key, late, heartbeat_ms, "last long, price double, size double", "", step)
+
+
+def close(a: float | None, b: float | None, tolerance: float) -> bool:
+    if a is None or b is None:
+        return a is b
+    return abs(a - b) <= tolerance + 1e-12
+
+
+def live_episodes(alerts: DataFrame, key: str, least_score: float = 3.0, cooldown_ms: int = 1_800_000, late: str = "10 minutes") -> DataFrame:
+    """Alerts with their action on the stored history (see the batch form): created or updated.
+    A row after the cooldown is created anyway, so state need not outlive it."""
+
+    def step(now: tuple | None, at: int, row: dict) -> tuple:
+        if pd.isna(row["score"]) or row["score"] < least_score:
+            return now if now is not None else (None, -1), None
+        rank = severity_rank(row["severity"])
+        if now is None or now[0] is None or rank > now[1] or at - now[0] >= cooldown_ms:
+            return (at, rank), ("created",)
+        return (now[0], rank), ("updated",)
 
-    return rows.groupBy(key).applyInPandasWithState(pick, schema, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return live_fold(alerts, key, late, cooldown_ms, "created long, rank int", "action string", step)
