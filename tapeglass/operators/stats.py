@@ -2,30 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def peer_baselines(prints: DataFrame, least_points: int = 12) -> DataFrame:
     """Per (category, subcategory) and per (category, '*'): size percentiles and the 95th of price
-    moves between successive prints of a market inside the scope; scopes with fewer than
-    ``least_points`` sizes are left out. A null subcategory belongs to '*' once."""
+    moves between successive prints of a market; scopes with fewer than ``least_points`` sizes are
+    left out. A null subcategory belongs to '*' once.
+
+    Moves are made once per market. Equal values are counted before the scopes are formed, and
+    percentiles (linear interpolation) come from running counts in value order, so that no task
+    holds the values of a scope in memory."""
     category, sub = F.coalesce("category", F.lit("unclassified")), F.coalesce("subcategory", F.lit("*"))
-    scoped = prints.withColumn("category", category).withColumn("subcategory", F.explode(F.array_distinct(F.array(sub, F.lit("*")))))
-    scope = ["category", "subcategory"]
-    order = Window.partitionBy(*scope, "market_pk").orderBy("ts_us", "trade_pk").rowsBetween(Window.unboundedPreceding, -1)
-    moved = scoped.withColumn("move", F.abs(F.col("yes_price") - F.last("yes_price", ignorenulls=True).over(order)))
-    size = F.when(F.col("count") > 0, F.col("count").cast("double"))
-    return (
-        moved.groupBy(*scope)
-        .agg(
-            F.count(size).alias("sample_size"),
-            F.percentile(size, 0.95).alias("count_p95"),
-            F.percentile(size, 0.99).alias("count_p99"),
-            F.coalesce(F.percentile("move", 0.95), F.lit(0.0)).alias("move_p95"),
-        )
-        .where(F.col("sample_size") >= least_points)
+    order = Window.partitionBy("market_pk").orderBy("ts_us", "trade_pk").rowsBetween(Window.unboundedPreceding, -1)
+    moved = prints.select(
+        category.alias("category"), sub.alias("subcategory"), F.when(F.col("count") > 0, F.col("count").cast("double")).alias("size"),
+        F.abs(F.col("yes_price") - F.last("yes_price", ignorenulls=True).over(order)).alias("move"),
+    )
+    each = moved.select("category", "subcategory", F.explode(F.array(F.struct(F.lit("size").alias("kind"), F.col("size").alias("value")), F.struct(F.lit("move").alias("kind"), F.col("move").alias("value")))).alias("v"))
+    counted = each.where("v.value IS NOT NULL").groupBy("category", "subcategory", "v.kind", "v.value").agg(F.count("*").alias("n"))
+    scopes = F.explode(F.array_distinct(F.array("subcategory", F.lit("*"))))
+    keys = ["category", "subcategory", "kind"]
+    scoped = counted.withColumn("subcategory", scopes).groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+    running = F.sum("n").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = scoped.withColumn("upto", running).join(scoped.groupBy(*keys).agg(F.sum("n").alias("total")), keys)
+
+    def percentile(kind: str, share: float) -> Column:
+        at = (F.col("total") - 1) * F.lit(share)
+        low, high = (F.min(F.when((F.col("kind") == kind) & (F.col("upto") > edge), F.col("value"))) for edge in (F.floor(at), F.ceil(at)))
+        part = F.max(F.when(F.col("kind") == kind, at - F.floor(at)))
+        return low + (high - low) * part
+
+    found = placed.groupBy("category", "subcategory").agg(
+        F.coalesce(F.max(F.when(F.col("kind") == "size", F.col("total"))), F.lit(0)).alias("sample_size"),
+        percentile("size", 0.95).alias("count_p95"),
+        percentile("size", 0.99).alias("count_p99"),
+        F.coalesce(percentile("move", 0.95), F.lit(0.0)).alias("move_p95"),
     )
+    return found.where(F.col("sample_size") >= least_points)
 
 
 def trade_stats(trades: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,13 +22,58 @@ def quote_at_or_before(trades: DataFrame, quotes: DataFrame, fields: list[str])
 
 def follow_through(trades: DataFrame, after_us: int = 300_000_000) -> DataFrame:
     """Each print with later_price: the first yes price at ``after_us`` or more behind it, else the
-    market's last later price, else its own."""
-    from_then = Window.partitionBy("market_pk").orderBy("ts_us").rangeBetween(after_us, Window.unboundedFollowing)
-    rest = Window.partitionBy("market_pk").orderBy("ts_us", "trade_pk").rowsBetween(1, Window.unboundedFollowing)
-    key = F.when(F.col("yes_price").isNotNull(), F.struct("ts_us", "trade_pk"))
-    first = F.min_by("yes_price", key).over(from_then)
-    last = F.max_by("yes_price", key).over(rest)
-    return trades.withColumn("later_price", F.coalesce(first, last, "yes_price"))
+    market's last later price, else its own.
+
+    Prints are read backwards, so that every frame grows by a row: the last later price is the
+    first one met, and a probe ``after_us`` behind each print takes the price met last. The cost
+    is two sorts, whatever the number of prints in a market."""
+    backwards = Window.partitionBy("market_pk").orderBy(F.desc("ts_us"), F.desc("trade_pk")).rowsBetween(Window.unboundedPreceding, -1)
+    known = trades.withColumn("rest_price", F.first("yes_price", ignorenulls=True).over(backwards))
+    price = known.select("market_pk", F.col("ts_us").alias("at"), F.lit(0).alias("kind"), F.col("trade_pk").alias("pk"), "yes_price")
+    row = F.struct(*known.columns)
+    probe = known.select("market_pk", (F.col("ts_us") + F.lit(after_us)).alias("at"), F.lit(1).alias("kind"), F.col("trade_pk").alias("pk"), row.alias("row"))
+    met = Window.partitionBy("market_pk").orderBy(F.desc("at"), "kind", F.desc("pk")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = price.unionByName(probe, allowMissingColumns=True).withColumn("first_price", F.last("yes_price", ignorenulls=True).over(met))
+    later = F.coalesce("first_price", "row.rest_price", "row.yes_price").alias("later_price")
+    return both.where("kind = 1").select(*[F.col("row")[c].alias(c) for c in trades.columns], later)
+
+
+def sibling_moves(trades: DataFrame, points: DataFrame, events: DataFrame, most: int = 25) -> DataFrame:
+    """(trade_pk, sibling_median, sibling_count) of prints with moved siblings: the median absolute
+    move of up to ``most`` other markets of the event, from the last reference price at or before
+    the print (15 minutes back at most) to the first one 10 minutes behind it, else the first one
+    after it (45 minutes ahead at most).
+
+    ``points``: market_pk, ts_us, pk, ref; ``events``: market_pk, event_id. Each market meets the
+    first ``most`` + 1 markets of its event, so a large event costs no product. Probes and points
+    are united and read in growing frames, as in :func:`follow_through`."""
+    minute = 60_000_000
+    place = F.row_number().over(Window.partitionBy("event_id").orderBy("market_pk"))
+    first = events.where("event_id IS NOT NULL").withColumn("place", place).where(F.col("place") <= most + 1).select("event_id", F.col("market_pk").alias("sibling"), "place")
+    pairs = events.join(first, "event_id").where("market_pk <> sibling")
+    rank = F.row_number().over(Window.partitionBy("market_pk").orderBy("place"))
+    pairs = pairs.withColumn("rank", rank).where(F.col("rank") <= most).select("market_pk", "sibling")
+    asked = trades.select("market_pk", "trade_pk", "ts_us").join(pairs, "market_pk").select("sibling", "trade_pk", "ts_us")
+    point = F.when(F.col("ref").isNotNull(), F.struct("ts_us", "ref")).alias("point")
+    seen = points.select(F.col("market_pk").alias("sibling"), F.col("ts_us").alias("at"), "pk", F.lit(1).alias("kind"), point)
+
+    def probes(shift: int, kind: int) -> DataFrame:
+        return asked.select("sibling", (F.col("ts_us") + shift).alias("at"), F.lit(kind).alias("kind"), F.col("trade_pk").alias("pk"), "trade_pk", "ts_us")
+
+    def growing(rows: DataFrame, *order: Column) -> DataFrame:
+        frame = Window.partitionBy("sibling").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = seen.unionByName(rows, allowMissingColumns=True)
+        return both.withColumn("found", F.last("point", ignorenulls=True).over(frame)).where("trade_pk IS NOT NULL")
+
+    before = growing(probes(0, 2), F.col("at"), F.col("kind"), F.col("pk")).select("sibling", "trade_pk", "ts_us", F.lit(0).alias("kind"), "found")
+    # Backwards: a probe that stands before the points of its instant excludes them, one behind includes them.
+    after = growing(probes(0, 0).unionByName(probes(10 * minute, 2)), F.desc("at"), F.col("kind"), F.desc("pk"))
+    after = after.select("sibling", "trade_pk", "ts_us", (F.col("kind") + 1).alias("kind"), "found")
+    gap = F.col("found.ts_us") - F.col("ts_us")
+    near = before.unionByName(after).where(F.when(F.col("kind") == 0, gap >= -15 * minute).otherwise(gap <= 45 * minute))
+    ends = near.groupBy("trade_pk", "sibling").agg(*[F.max(F.when(F.col("kind") == k, F.col("found.ref"))).alias(n) for k, n in ((0, "old"), (1, "soon"), (3, "late"))])
+    moves = ends.select("trade_pk", F.abs(F.coalesce("late", "soon") - F.col("old")).alias("moved")).where("moved IS NOT NULL")
+    return moves.groupBy("trade_pk").agg(F.median("moved").alias("sibling_median"), F.count("*").alias("sibling_count"))  # at most ``most`` values each
 
 
 def news_within(trades: DataFrame, links: DataFrame, hours: int, least: float, after: bool) -> DataFrame:

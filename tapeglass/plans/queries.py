@@ -56,8 +56,7 @@ def burst_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quote_asof(spark: SparkSession, d: str) -> DataFrame:
-    slow = src.quotes(spark, d).where("quote_pk % 4 = 0")  # quotes that are rarer than prints, so that they are looked back for
-    found = timejoin.quote_at_or_before(src.trades(spark, d), slow, ["yes_bid", "yes_ask"])
+    found = timejoin.quote_at_or_before(src.trades(spark, d), src.quotes(spark, d), ["yes_bid", "yes_ask"])
     return found.select("market_pk", "trade_pk", "quote_us", "yes_bid", "yes_ask")
 
 
@@ -67,10 +66,10 @@ def follow_through(spark: SparkSession, d: str) -> DataFrame:
 
 
 def news_links(spark: SparkSession, d: str) -> DataFrame:
-    markets = src.read(spark, d, "events").agg(F.max("user_id") + 1).first()[0]
+    markets = src.read(spark, d, "events").agg(F.max("user_id") + 1).scalar()
     return src.articles(spark, d).select(
         F.col("article_id").alias("news_id"),
-        (F.col("article_id") % F.lit(markets)).alias("market_pk"),
+        (F.col("article_id") % markets).alias("market_pk"),
         F.col("first_seen_us").alias("news_us"),
         ((F.col("article_id") * 37 % 100) / 100).alias("relevance"),
     )
@@ -228,7 +227,7 @@ def baseline_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quote_suppression(spark: SparkSession, d: str) -> DataFrame:
-    coarse = src.quotes(spark, d).withColumns({"yes_bid": F.round("yes_bid", 1), "volume": F.lit(1.0)})
+    coarse = src.quotes(spark, d).withColumns({"yes_bid": F.round("yes_bid", 1), "volume": F.round(F.col("volume").cast("double"), -2)})
     return folds.suppress_unchanged(coarse.select("market_pk", "quote_pk", "ts_us", "yes_bid", "volume"), ["yes_bid"], ["volume"], 120_000_000)
 
 
@@ -262,8 +261,8 @@ def link_prints(spark: SparkSession, d: str) -> DataFrame:
 def known_prices(spark: SparkSession, d: str) -> DataFrame:
     prints = src.trades(spark, d)
     price = scores.display_price(F.col("last_price"), F.col("yes_bid"), F.col("yes_ask"))
-    quoted = stats.latest_per_market(src.quotes(spark, d)).where("market_pk % 3 = 0").select("market_pk", price.alias("price"))
-    barred = bars.price_bars(prints, src.quotes(spark, d), 300).where("market_pk % 3 < 2").groupBy("market_pk").agg(F.max_by("close_price", "bucket").alias("price"))
+    quoted = stats.latest_per_market(src.quotes(spark, d)).select("market_pk", price.alias("price"))
+    barred = bars.price_bars(prints, src.quotes(spark, d), 300).groupBy("market_pk").agg(F.max_by("close_price", "bucket").alias("price"))
     traded = prints.groupBy("market_pk").agg(F.max_by("yes_price", F.struct("ts_us", "trade_pk")).alias("price"))
     keys = src.markets(spark, d).select("market_pk")
     return listings.first_known(keys, [("quote", quoted), ("bar", barred), ("trade", traded)], "market_pk", "price")
@@ -272,7 +271,7 @@ def known_prices(spark: SparkSession, d: str) -> DataFrame:
 def series_merge(spark: SparkSession, d: str) -> DataFrame:
     fine = bars.price_bars(src.trades(spark, d), src.quotes(spark, d), 300)
     coarse = bars.merge_bars(fine, 900)
-    return listings.merge_series([(0, fine.where("market_pk % 2 = 0")), (1, coarse)], ["market_pk", "bucket"], "close_price")
+    return listings.merge_series([(0, fine), (1, coarse)], ["market_pk", "bucket"], "close_price")
 
 
 def quote_prune(spark: SparkSession, d: str) -> DataFrame:

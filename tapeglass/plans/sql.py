@@ -153,7 +153,7 @@ SELECT market_pk, largest_window, CASE WHEN largest_window > 1 THEN round(least(
 FROM most LEFT JOIN best USING (market_pk)""",
     "quote_asof": f"""WITH {TRADES_SQL}, {QUOTES_SQL}
 SELECT t.market_pk, t.trade_pk, q.ts_us AS quote_us, q.yes_bid, q.yes_ask
-FROM trades t ASOF LEFT JOIN (SELECT * FROM quotes WHERE quote_pk % 4 = 0) q ON t.market_pk = q.market_pk AND t.ts_us >= q.ts_us""",
+FROM trades t ASOF LEFT JOIN quotes q ON t.market_pk = q.market_pk AND t.ts_us >= q.ts_us""",
     "follow_through": f"""WITH {TRADES_SQL},
 f AS (
   SELECT market_pk, trade_pk, yes_price, coalesce(first_value(yes_price) OVER (PARTITION BY market_pk ORDER BY ts_us RANGE BETWEEN 300000000 FOLLOWING AND UNBOUNDED FOLLOWING),
@@ -310,14 +310,14 @@ SELECT market_pk, event_id, close_us, CAST(row_number() OVER (PARTITION BY event
 SELECT news_id, t.market_pk, trade_pk, CAST(row_number() OVER (PARTITION BY news_id ORDER BY ts_us, trade_pk) AS INT) AS place
 FROM links n JOIN trades t ON t.market_pk = n.market_pk AND ts_us < news_us AND ts_us >= news_us - 86400000000 WHERE relevance >= 0.45 QUALIFY place <= 1000""",
     "known_prices": f"""WITH b AS ({SQL["price_bars"]}), q AS ({SQL["latest_quotes"]}), {TRADES_SQL}, {MARKETS_SQL},
-qp AS (SELECT market_pk, greatest(0.0, least(1.0, coalesce(last_price, (yes_bid + yes_ask) / 2, yes_bid, yes_ask))) AS price FROM q WHERE market_pk % 3 = 0),
-bp AS (SELECT market_pk, arg_max(close_price, bucket) AS price FROM b WHERE market_pk % 3 < 2 GROUP BY market_pk),
+qp AS (SELECT market_pk, greatest(0.0, least(1.0, coalesce(last_price, (yes_bid + yes_ask) / 2, yes_bid, yes_ask))) AS price FROM q),
+bp AS (SELECT market_pk, arg_max(close_price, bucket) AS price FROM b GROUP BY market_pk),
 tp AS (SELECT market_pk, arg_max(yes_price, ts_us) AS price FROM trades GROUP BY market_pk)
 SELECT m.market_pk, coalesce(qp.price, bp.price, tp.price) AS price,
   CASE WHEN qp.price IS NOT NULL THEN 'quote' WHEN bp.price IS NOT NULL THEN 'bar' WHEN tp.price IS NOT NULL THEN 'trade' END AS source
 FROM markets m LEFT JOIN qp ON qp.market_pk = m.market_pk LEFT JOIN bp ON bp.market_pk = m.market_pk LEFT JOIN tp ON tp.market_pk = m.market_pk""",
     "series_merge": f"""WITH a AS ({bars_sql(300)}), b AS ({bars_sql(900)}),
-u AS (SELECT market_pk, bucket, close_price, 0 AS rank FROM a WHERE market_pk % 2 = 0 UNION ALL SELECT market_pk, bucket, close_price, 1 FROM b)
+u AS (SELECT market_pk, bucket, close_price, 0 AS rank FROM a UNION ALL SELECT market_pk, bucket, close_price, 1 FROM b)
 SELECT market_pk, bucket, arg_min(close_price, rank) AS close_price, min(rank) AS rank FROM u GROUP BY market_pk, bucket""",
     "quote_prune": f"""WITH b AS ({SQL["price_bars"]}), {QUOTES_SQL}
 SELECT market_pk, quote_pk FROM quotes q WHERE ts_us < {ORIGIN_US + 1_800_000_000} AND NOT volume > 90

@@ -87,13 +87,13 @@ def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(article_id, url, domain, title, summary, first_seen_us) from documents."""
+    """(article_id, url, domain, title, summary, first_seen_us) from documents: the first line and the rest."""
     return read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("article_id"),
         F.concat(F.lit("HTTPS://News."), F.col("source"), F.lit(".example.com/a/"), F.col("doc_id").cast("string")).alias("url"),
         F.col("source").alias("domain"),
-        F.substring("text", 1, 80).alias("title"),
-        F.substring("text", 81, 280).alias("summary"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.expr("substr(text, length(substring_index(text, '\\n', 1)) + 2)").alias("summary"),
         (F.lit(ORIGIN_US - 86_400_000_000) + (F.col("doc_id") * 7 % 5760) * F.lit(60_000_000)).alias("first_seen_us"),
     )
 
@@ -126,6 +126,6 @@ MARKETS_SQL = f"""markets AS (
   FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey)"""
 ARTICLES_SQL = f"""articles AS (
   SELECT doc_id AS article_id, 'HTTPS://News.' || source || '.example.com/a/' || CAST(doc_id AS VARCHAR) AS url, source AS domain,
-         substring(text, 1, 80) AS title, substring(text, 81, 280) AS summary,
+         split_part(text, chr(10), 1) AS title, substring(text, length(split_part(text, chr(10), 1)) + 2) AS summary,
          {ORIGIN_US - 86_400_000_000} + (doc_id * 7 % 5760) * 60000000 AS first_seen_us
   FROM documents)"""
