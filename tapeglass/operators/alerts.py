@@ -151,9 +151,9 @@ def system_counters(markets: DataFrame, trades: DataFrame, flags: DataFrame) ->
 
 def baseline_of_market(markets: DataFrame, baselines: DataFrame) -> DataFrame:
     """Each market with the baseline of its category and subcategory, else of its category."""
-    exact = baselines.select("category", "subcategory", F.struct("sample_size", "count_p95", "move_p95").alias("exact"))
-    wide = baselines.where("subcategory = '*'").select("category", F.struct("sample_size", "count_p95", "move_p95").alias("wide"))
+    exact = baselines.select("category", "subcategory", F.struct("sample_size", "count_p95", "count_p99", "move_p95").alias("exact"))
+    wide = baselines.where("subcategory = '*'").select("category", F.struct("sample_size", "count_p95", "count_p99", "move_p95").alias("wide"))
     joined = markets.join(exact, ["category", "subcategory"], "left").join(wide, "category", "left")
     found = F.coalesce("exact", "wide")
     scope = F.when(F.col("exact").isNotNull(), "exact").when(F.col("wide").isNotNull(), "category")
-    return joined.withColumn("b", found).select("market_pk", scope.alias("scope"), "b.sample_size", "b.count_p95", "b.move_p95")
+    return joined.withColumn("b", found).select("market_pk", scope.alias("scope"), "b.sample_size", "b.count_p95", "b.count_p99", "b.move_p95")

@@ -9,8 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from tapeglass.plans.queries import QUERIES
-from tapeglass.plans.sql import SQL
+from tapeglass.plans.registry import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
