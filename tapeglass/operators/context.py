@@ -70,7 +70,7 @@ def context_scores(prints: DataFrame, public_sports: Column | None = None) -> Da
     ]
     most = {"liquidity": 2.0, "followthrough": 2.0, "peer": 2.0, "news": 2.0, "cross": 1.2}
     p = p.withColumns({f"hit_{r}": yes(c) for _, r, c, _ in rules})
-    parts = {"local": F.round(capped(2.5, F.coalesce("local_score", zero) * 0.25), 3)}
+    parts = {"local": F.round(capped(2.5, F.coalesce("local_score", zero) * 0.25) + 1e-9, 3)}
     for name, top in most.items():
         total = sum((F.when(F.col(f"hit_{r}"), v).otherwise(0.0) for n, r, _, v in rules if n == name), zero)
         parts[name] = F.round(F.greatest(zero, capped(top, total)), 3)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapeglass.plans import flagging, queries, sql
+from tapeglass.plans import flagging, queries, reading, sql
 
-QUERIES = {**queries.QUERIES, **flagging.QUERIES}
-SQL: dict[str, str] = {**sql.SQL, **flagging.FLAGGING_SQL}
+QUERIES = {**queries.QUERIES, **flagging.QUERIES, **reading.QUERIES}
+SQL: dict[str, str] = {**sql.SQL, **flagging.FLAGGING_SQL, **reading.READING_SQL}
