@@ -83,16 +83,18 @@ def words_of(text: str) -> list[bytes]:
 
 
 class WordCache(dict):
-    """Word -> value, computed on a miss. Emptied when ``limit`` words are held, so
-    memory stays bounded on any vocabulary; values never depend on that."""
+    """Word -> value, computed on a miss. Emptied when ``limit`` words are held; words longer than
+    ``longest`` characters are not held, so memory stays bounded by the product of both on any
+    vocabulary and script. Values never depend on that."""
 
-    def __init__(self, compute: Callable, limit: int = 400_000) -> None:
+    def __init__(self, compute: Callable, limit: int = 400_000, longest: int = 64) -> None:
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.longest = compute, limit, longest
 
     def __missing__(self, word):
+        if len(word) > self.longest:
+            return self.compute(word)
         if len(self) >= self.limit:
             self.clear()
         value = self[word] = self.compute(word)
         return value
-

@@ -16,7 +16,8 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from dataclasses import dataclass, field
+from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,19 @@ PATH_SLOTS, WORD_SLOTS, MEASURES = 512, 256, 6
 HIDDEN = 16
 SAMPLE, SAMPLE_CHARS = 200, 40_000
 EPOCHS = 10
+FITTED = 200  # pages in other shells that the labeller is fitted on, at least
+ENTRIES = 1 << 17  # set slots that are summed at once
+TOGETHER = 50_000  # blocks, padded, that the labeller reads at once; a longer page is read alone
 
+# Comments, CDATA, declarations, tags. Nothing is read twice: a tag whose quotes or bracket never close
+# matches with an empty last group, and the page is read on by :func:`careful_tokens`.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>?)", re.S
 )
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?", re.S)
+QUOTED = re.compile(r"[\"'>]")
+NEAR = 64  # tokens after a raw element's start that are searched before all ends are matched at once
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
@@ -57,12 +67,55 @@ BAD_WORDS = frozenset(
 )
 
 
-@dataclass
+class Node:
+    """An open element: its names and, for the path down to it, hashed names and counts. What a path
+    has in hashes is shared with the parent where the element adds none, so deep pages stay small."""
+
+    __slots__ = ("parent", "tag", "names", "count", "slots", "last", "bad", "article")
+
+    def __init__(self, parent: Node | None, tag: str, found: list[str]) -> None:
+        self.parent, self.tag, self.names = parent, tag, found
+        self.count = len(found) + (parent.count if parent else 0)
+        self.article = parent is not None and parent.article
+        self.bad = parent is not None and parent.bad
+        for n in found:
+            self.article = self.article or n in ("article", "main")
+            if (n in BAD_TAGS or n in BAD_WORDS) and not (n == "header" and self.article):  # an article's header holds its headline
+                self.bad = True
+        self.slots, self.last = (parent.slots, parent.last) if parent else (frozenset(), "")
+        new = set()
+        for n in found:
+            if n not in ("html", "body"):
+                new.add(slot(n, PATH_SLOTS))
+                if self.last:
+                    new.add(slot(f"{self.last}>{n}", PATH_SLOTS))
+                self.last = n
+        if not new <= self.slots:
+            self.slots = self.slots | new
+
+    def nearest(self, most: int) -> list[str]:
+        """The last ``most`` names of the path."""
+        out: list[list[str]] = []
+        held, node = 0, self
+        while node is not None and held < most:
+            out.append(node.names)
+            held += len(node.names)
+            node = node.parent
+        return [n for found in reversed(out) for n in found][-most:]
+
+
 class Block:
-    path: list[str]
-    text: str
-    linked: int = 0  # characters inside links
-    bad: bool = field(default=False)
+    """A text block: its path as a list of names, or as the innermost open element."""
+
+    __slots__ = ("node", "text", "linked", "bad")
+
+    def __init__(self, path: list[str] | Node | None, text: str, linked: int = 0, bad: bool = False) -> None:
+        self.node = Node(None, "", path) if isinstance(path, list) else path
+        self.text, self.linked, self.bad = text, linked, bad
+
+    @property
+    def path(self) -> list[str]:
+        return self.node.nearest(self.node.count) if self.node else []
 
 
 def names(tag: str, attributes: str) -> list[str]:
@@ -73,93 +126,186 @@ def names(tag: str, attributes: str) -> list[str]:
     return out
 
 
+def tokens(page: str) -> list[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, tag, attributes) of each token; tag is empty for all but tags, and the
+    attributes of CDATA are its text."""
+    out = []
+    for m in TOKEN.finditer(page):
+        tag = m[2]
+        if tag:
+            if not m[4]:
+                return out + careful_tokens(page, m.start())
+            out.append((m.start(), m.end(), m[1] == "/", tag.lower(), m[3]))
+        else:
+            out.append(other(m))
+    return out
+
+
+def other(m: re.Match) -> tuple[int, int, bool, str, str]:
+    return (m.start(), m.end(), False, "", m[0][9:-3] if m[0].startswith("<![CDATA[") else "")
+
+
+def careful_tokens(page: str, at: int) -> list[tuple[int, int, bool, str, str]]:
+    """The same from ``at`` on, for pages with brackets or quotes that never close: where a tag ends is
+    looked up in a table made once, from the last quote or bracket to the first. A tag without an
+    end is text."""
+    places = [m.start() for m in QUOTED.finditer(page, at)]
+    plain, double, single = -1, -1, -1  # where a tag ends that is outside quotes, in double, in single ones
+    ends = [-1] * (len(places) + 1)
+    for k in range(len(places) - 1, -1, -1):
+        c = page[places[k]]
+        if c == ">":
+            plain = places[k] + 1
+        elif c == '"':
+            plain, double = double, plain
+        else:
+            plain, single = single, plain
+        ends[k] = plain
+    out = []
+    at = page.find("<", at)
+    while at >= 0:
+        tag, found = TAG.match(page, at), None
+        if tag:
+            end = ends[bisect_left(places, tag.end())]
+            if end >= 0:
+                found = (at, end, tag[1] == "/", tag[2].lower(), page[tag.end() : end - 1])
+        elif page.startswith(("<!", "<?"), at):
+            found = other(OTHER.match(page, at))
+        if found:
+            out.append(found)
+        at = page.find("<", found[1] if found else at + 1)
+    return out
+
+
+class RawEnds:
+    """Where elements without text end: with their own end tag, unless something around them ends
+    first. Script and style go to their end tag, or to the page's end."""
+
+    def __init__(self, page: str, found: list[tuple[int, int, bool, str, str]]) -> None:
+        self.page, self.found = page, found
+        self.ends: dict[int, int] | None = None
+        self.to_end: dict[str, list[tuple[int, int]]] = {}
+
+    def end_of_script(self, tag: str, start: int) -> int:
+        if tag not in self.to_end:
+            self.to_end[tag] = [(m.start(), m.end()) for m in re.finditer(rf"</{tag}\b[^>]*>?", self.page, re.I)]
+        k = bisect_left(self.to_end[tag], (start, start))
+        return self.to_end[tag][k][1] if k < len(self.to_end[tag]) else len(self.page)
+
+    def end(self, k: int, opened: Counter) -> int | None:
+        """Where the raw element of token k ends, None if it has no end of its own."""
+        tag = self.found[k][3]
+        if tag in TO_END:
+            return self.end_of_script(tag, self.found[k][1])
+        if self.ends is None:
+            inside: list[str] = []
+            skip = 0
+            for start, end, closing, name, attributes in self.found[k + 1 : k + NEAR]:
+                if not name or start < skip:
+                    continue
+                if closing:
+                    if name in inside:
+                        while inside.pop() != name:
+                            pass
+                    elif name == tag:
+                        return end
+                    elif opened[name]:
+                        return None
+                elif name in TO_END and not attributes.endswith("/"):
+                    skip = self.end_of_script(name, end)
+                elif name not in VOID and not attributes.endswith("/"):
+                    inside.append(name)
+            self.ends = self.all_ends()
+        return self.ends.get(k)
+
+    def all_ends(self) -> dict[int, int]:
+        """Ends of all elements that have their own, in one pass."""
+        ends: dict[int, int] = {}
+        stack: list[tuple[str, int]] = []
+        held: Counter = Counter()
+        skip = 0
+        for k, (start, end, closing, name, attributes) in enumerate(self.found):
+            if not name or start < skip:
+                continue
+            if closing:
+                while held[name]:
+                    top, at = stack.pop()
+                    held[top] -= 1
+                    if top == name:
+                        ends[at] = end
+                        break
+            elif name in TO_END and not attributes.endswith("/"):
+                skip = self.end_of_script(name, end)
+            elif name not in VOID and not attributes.endswith("/"):
+                stack.append((name, k))
+                held[name] += 1
+        return ends
+
+
 def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks in page order. Unclosed and misnested tags close as browsers close them:
-    an end tag closes everything above its start tag, one without a start tag is ignored."""
+    """Leaf blocks in page order, in time linear in the page. Unclosed and misnested tags close as
+    browsers close them: an end tag closes everything above its start tag, one without a start tag
+    is ignored."""
     out: list[Block] = []
-    stack: list[tuple[str, list[str]]] = []
+    stack: list[Node] = []
+    opened: Counter = Counter()
     text: list[str] = []
-    linked = [0]
-    raw = ""
+    linked = 0
     at = 0
+    found = tokens(page)
+    raw_ends = RawEnds(page, found)
 
     def end_block() -> None:
+        nonlocal linked
         if text:
             joined = SPACES.sub(" ", html.unescape("".join(text))).strip()
             if joined:
-                path = [n for _, names_ in stack for n in names_]
-                out.append(Block(path, joined, linked[0]))
+                out.append(Block(stack[-1] if stack else None, joined, linked))
             text.clear()
-        linked[0] = 0
-
-    def add(piece: str) -> None:
-        if piece and not raw:
-            text.append(piece)
-            if any(t == "a" for t, _ in stack):
-                linked[0] += len(piece)
+        linked = 0
 
     def close_until(tag: str) -> None:
         while stack:
-            top, _ = stack.pop()
+            top = stack.pop().tag
+            opened[top] -= 1
             if top == tag:
                 return
 
-    def end_of_raw(tag: str, start: int) -> int | None:
-        """Where the raw element ends; None if something around it ends first or nothing ends it."""
-        if not re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, start):
-            return None if tag not in TO_END else len(page)
-        if tag in TO_END:
-            found = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, start)
-            return found.end() if found else len(page)
-        inside: list[str] = []
-        skip = start
-        for m in TOKEN.finditer(page, start):
-            name = m[2].lower() if m[2] else ""
-            if m.start() < skip or not name:
-                continue
-            if m[1]:
-                if name in inside:
-                    while inside.pop() != name:
-                        pass
-                elif name == tag:
-                    return m.end()
-                elif any(t == name for t, _ in stack):
-                    return None
-            elif name in TO_END and not m[3].endswith("/"):
-                skip = end_of_raw(name, m.end())
-            elif name not in VOID and not m[3].endswith("/"):
-                inside.append(name)
-        return None
-
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
+    for k, (start, end, closing, tag, attributes) in enumerate(found):
+        if start < at:
             continue
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[2].lower() if m[2] else ""
+        if start > at:
+            text.append(page[at:start])
+            if opened["a"]:
+                linked += start - at
+        at = end
         if not tag:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:-3])
+            if attributes:
+                text.append(attributes)
             continue
-        opened = any(t == tag for t, _ in stack)
-        if tag not in INLINE and (not m[1] or opened or tag in ("p", "br")):  # other stray end tags are ignored
+        if tag not in INLINE and (not closing or opened[tag] or tag in ("p", "br")):  # other stray end tags are ignored
             end_block()
-        if m[1]:
-            if opened:
+        if closing:
+            if opened[tag]:
                 close_until(tag)
             continue
-        if tag in RAW and not m[3].endswith("/"):
-            end = end_of_raw(tag, at)
-            if end is not None:
-                at = end
+        empty = tag in VOID or attributes.endswith("/")
+        if tag in RAW and not empty:
+            past = raw_ends.end(k, opened)
+            if past is not None:
+                at = past
                 continue
-        if tag in CLOSES_P and any(t == "p" for t, _ in stack):
+        if opened["p"] and tag in CLOSES_P:
             close_until("p")
-        if tag in SAME_CLOSES and stack and stack[-1][0] == tag:
-            stack.pop()
-        if tag not in VOID and not m[3].endswith("/"):
-            stack.append((tag, names(tag, m[3])))
-    add(page[at:])
+        if tag in SAME_CLOSES and stack and stack[-1].tag == tag:
+            close_until(tag)
+        if not empty:
+            stack.append(Node(stack[-1] if stack else None, tag, names(tag, attributes)))
+            opened[tag] += 1
+    if at < len(page):
+        text.append(page[at:])
+        if opened["a"]:
+            linked += len(page) - at
     end_block()
     return out
 
@@ -170,9 +316,7 @@ def slot(name: str, slots: int) -> int:
 
 def encode_block(b: Block) -> tuple[list[int], list[float]]:
     """(slots that are set, measures) of a block."""
-    inside = [n for n in b.path if n not in ("html", "body")]
-    found = {slot(n, PATH_SLOTS) for n in inside}
-    found |= {slot(f"{x}>{y}", PATH_SLOTS) for x, y in zip(inside, inside[1:])}
+    found = set(b.node.slots) if b.node else set()
     words = b.text.lower().split(" ")
     found |= {PATH_SLOTS + slot(w, WORD_SLOTS) for w in set(words)}
     n = len(b.text)
@@ -181,12 +325,23 @@ def encode_block(b: Block) -> tuple[list[int], list[float]]:
         min(1.0, np.log1p(len(words)) / 6),
         min(1.0, b.linked / n),
         1.0 if b.text[-1] in ".!?:" else 0.0,
-        min(1.0, len(b.path) / 12),
+        min(1.0, (b.node.count if b.node else 0) / 12),
         sum(c.isdigit() for c in b.text) / n,
     ]
     return sorted(found), measures
 
 
+def weighted(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slots laid end to end, weights, counts): path and word slots of a block weigh the same in
+    sum of squares, so that many words do not drown the path."""
+    counts = np.array([len(f) for f in found])
+    flat = np.concatenate([np.array(f, dtype=np.int64) for f in found])
+    on_path = flat < PATH_SLOTS
+    paths = np.add.reduceat(on_path.astype(np.int64), np.cumsum(counts) - counts)
+    sizes = np.where(on_path, np.repeat(paths, counts), np.repeat(counts - paths, counts))
+    return flat, 1 / np.sqrt(sizes), counts
+
+
 class Labeller:
     """A bidirectional LSTM over block vectors with a logistic output."""
 
@@ -206,8 +361,12 @@ class Labeller:
     def inputs(self, found: list[list[int]], measures: np.ndarray, d: str) -> np.ndarray:
         """Gate inputs (blocks, 4 * HIDDEN): the rows of the set slots summed, and the measures."""
         sizes = np.array([len(f) for f in found])
-        flat = np.concatenate([np.array(f, dtype=np.int64) for f in found])
-        rows = np.add.reduceat(self.p[f"x{d}"][flat], np.cumsum(sizes) - sizes, axis=0) / np.sqrt(sizes)[:, None]
+        rows = np.empty((len(found), self.p[f"x{d}"].shape[1]))
+        cuts = np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum(), ENTRIES), side="left").tolist()
+        for lo, hi in zip(cuts, [*cuts[1:], len(found)], strict=True):
+            if lo < hi:
+                flat, weights, n = weighted(found[lo:hi])
+                rows[lo:hi] = np.add.reduceat(self.p[f"x{d}"][flat] * weights[:, None], np.cumsum(n) - n, axis=0)
         return rows + measures @ self.p[f"x{d}"][PATH_SLOTS + WORD_SLOTS :] + self.p[f"c{d}"]
 
     def run(self, gates: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
@@ -273,14 +432,13 @@ class Labeller:
         off = (1 / (1 + np.exp(-(both @ self.p["o"] + self.p["ob"]))) - gold) / len(gold)
         grads = {"o": both.T @ off, "ob": off.sum(keepdims=True)}
         d_both = off[:, None] * self.p["o"][None, :]
-        counts = np.array([len(f) for f in found])
-        flat = np.concatenate([np.array(f, dtype=np.int64) for f in found])
+        flat, weights, counts = weighted(found)
         for k, d in enumerate(("f", "b")):
             dz, grads[f"h{d}"] = self.back(self.padded(d_both[:, k * HIDDEN : (k + 1) * HIDDEN], sizes, d == "b"), keeps[d], d)
             dz = self.flat(dz, sizes, d == "b")
             grads[f"c{d}"] = dz.sum(axis=0)
             gx = np.zeros_like(self.p[f"x{d}"])
-            np.add.at(gx, flat, np.repeat(dz / np.sqrt(counts)[:, None], counts, axis=0))
+            np.add.at(gx, flat, np.repeat(dz, counts, axis=0) * weights[:, None])
             gx[PATH_SLOTS + WORD_SLOTS :] += measures.T @ dz
             grads[f"x{d}"] = gx
         return grads
@@ -288,7 +446,7 @@ class Labeller:
 
 def teach(b: Block) -> bool:
     """The weak teacher: content unless a boilerplate container is on the path."""
-    return not any(n in BAD_TAGS or n in BAD_WORDS for n in b.path)
+    return b.node is None or not b.node.bad
 
 
 PLANTED = [
@@ -310,20 +468,25 @@ def inner(b: Block, rng: np.random.Generator) -> list[str]:
     """A content block's path inside its shell: its own, or now and then another kind of element."""
     if rng.random() < 0.3:
         return GOOD_ENDS[rng.integers(len(GOOD_ENDS))]
-    return [n for n in b.path if n not in ("html", "body", "article", "main", "head")]
+    near = b.node.nearest(40) if b.node else []
+    return [n for n in near if n not in ("html", "body", "article", "main", "head")]
 
 
 def training_pages(pages: list[list[Block]], rng: np.random.Generator) -> list[list[Block]]:
-    """Each page as it is, and once more in another shell with planted boilerplate."""
+    """Each page as it is, and again in other shells with planted boilerplate: once, or more often
+    where there are few pages."""
     texts = [b.text for page in pages for b in page if b.text]
     out = []
     for page in pages:
         for b in page:
             b.bad = not teach(b)
         out.append(page)
+    for page in pages * -(-FITTED // max(1, len(pages))):
         content = [b for b in page if not b.bad]
         shell = GOOD_SHELLS[rng.integers(len(GOOD_SHELLS))]
         moved = [Block(["html", "body", *shell, *inner(b, rng)], b.text, b.linked) for b in content]
+        if moved and shell and rng.random() < 0.4:
+            moved[0] = Block(["html", "body", *shell, "header", *(["h1"], ["h2"], ["div", "h1"])[rng.integers(3)]], moved[0].text)
 
         def plant() -> list[Block]:
             path, kind = PLANTED[rng.integers(len(PLANTED))]
@@ -338,10 +501,9 @@ def training_pages(pages: list[list[Block]], rng: np.random.Generator) -> list[l
         before = [b for _ in range(int(rng.integers(1, 4))) for b in plant()]
         after = [b for _ in range(int(rng.integers(1, 4))) for b in plant()]
         middle = int(rng.integers(0, len(moved) + 1))
-        inside = plant() if rng.random() < 0.4 else []
-        for b in inside:
-            b.path = ["html", "body", *shell, *b.path[2:]]
-        out.append([*before, *moved[:middle], *inside, *moved[middle:], *after])
+        planted = [Block(["html", "body", *shell, *b.path[2:]], b.text, b.linked, True) for _ in range(int(rng.integers(0, 3))) for b in plant()]
+        late = int(rng.integers(0, len(planted) + 1))
+        out.append([*before, *moved[:middle], *planted[:late], *moved[middle:], *planted[late:], *after])
     return [p for p in out if p]
 
 
@@ -373,12 +535,13 @@ def fit(pages: list[list[Block]], seed: int = 3) -> Labeller:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE, max_chars: int = SAMPLE_CHARS) -> Labeller:
-    """A labeller fitted on about ``sample`` pages of at most ``max_chars`` characters, drawn by a hash of page_id."""
+    """A labeller fitted on at most ``sample`` pages of at most ``max_chars`` characters: those with the
+    smallest hashes of their html, equal ones once, whatever their ids."""
     usable = pages.where(F.length("html").between(1, max_chars))
-    share = min(1.0, sample / max(1, usable.count()))
-    drawn = usable.where(F.pmod(F.xxhash64("page_id", F.lit("train")), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
-    rows = sorted((r["page_id"] if r["page_id"] is not None else -1, r["html"]) for r in drawn.select("page_id", "html").collect())
-    return fit([blocks_of(h) for _, h in rows])
+    hashed = usable.select(F.xxhash64("html").alias("h"), "html")
+    rows = hashed.orderBy("h", "html").limit(2 * sample).collect()  # a bounded top list
+    once = list(dict.fromkeys(r["html"] for r in rows))[:sample]
+    return fit([blocks_of(h) for h in once])
 
 
 def extract_pages(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
@@ -398,8 +561,12 @@ def extract_pages(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
             found = [blocks_of(h) if h else [] for h in batch.column("html").to_pylist()]
             texts = [""] * len(found)
             order = sorted((k for k in range(len(found)) if found[k]), key=lambda k: len(found[k]))
-            for i in range(0, len(order), 32):
-                some = order[i : i + 32]
+            groups: list[list[int]] = []
+            for k in order:  # short pages first, so the last one of a group is its longest
+                if not groups or len(groups[-1]) == 32 or (len(groups[-1]) + 1) * len(found[k]) > TOGETHER:
+                    groups.append([])
+                groups[-1].append(k)
+            for some in groups:
                 encoded = [encode_block(b) for k in some for b in found[k]]
                 sizes = [len(found[k]) for k in some]
                 content = labeller.scores([f for f, _ in encoded], np.array([m for _, m in encoded]), sizes) > 0

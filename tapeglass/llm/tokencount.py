@@ -13,7 +13,6 @@ from pyspark.sql.utils import AnalysisException
 from tapeglass.llm.common import arrow_map, cut, tokenizer_path
 
 CACHE_SCHEMA = "content_sha256 string, tokenizer_sha256 string, n_tokens long"
-BATCH_BYTES = 4_000_000
 
 
 def file_digest(path: str) -> str:

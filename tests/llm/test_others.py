@@ -325,3 +325,62 @@ def test_extracts_articles(spark, data_dir):
     assert right >= 0.97 * pages.count()
     assert got[-1].text == got[-2].text == "" and got[-1].n_chars == 0
     assert html_extract.extract_pages(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>x " * 170_000, '<a x="y ' * 125_000, "<select>" * 125_000 + "</select>", "<noscript><p>" * 60_000, "<div class=a1>x</b>" * 55_000, "<p>" + "&amp;" * 200_000,
+        "<script>" * 120_000, "<!-- " * 200_000, "<a '" * 250_000 + ">", "<svg>" * 100_000, "".join(f"<i class=k{i}>w " for i in range(60_000)), "</p>" * 250_000,
+    ],
+    ids=range(12),
+)
+def test_broken_megabyte_pages_are_read_in_seconds(page):
+    import time
+
+    began = time.perf_counter()
+    blocks = html_extract.blocks_of(page)
+    for b in blocks:
+        html_extract.encode_block(b)
+    assert time.perf_counter() - began < 20
+
+
+def test_unclosed_quotes_are_text():
+    assert [b.text for b in html_extract.blocks_of('<p>one <a href="x>two</a> three')] == ['one <a href="x>two three']
+    assert [b.text for b in html_extract.blocks_of("<p>one <b>two</b><p>three <i x='4")] == ["one two", "three <i x='4"]
+    assert html_extract.blocks_of("<div class='main'><p>a</p></div>")[0].path == ["div", "main", "p"]
+
+
+SHELL = (
+    "<html><head><title>{t}</title></head><body><div class=top-bar><a href=/>Home</a> <a href=/n>News</a></div><article><header><h1>{t}</h1></header><p>{a}</p>"
+    "<aside class=sidebar><p>{s}</p></aside><p>{b}</p><div class=cookie-notice><p>{n}</p></div></article>"
+    "<section class=comments><div class=comment><p>{c}</p></div><div class=comment><p>{d}</p></div></section><footer><p>{f}</p></footer></body></html>"
+)
+
+
+def test_other_templates(spark, data_dir):
+    """Comments, notices, a sidebar inside the shell and a headline in the article's header."""
+    pages = spark.read.parquet(f"{data_dir}/pages.parquet")
+    model = html_extract.train(pages)
+    lines = [b.text for p in pages.limit(60).collect() for b in html_extract.blocks_of(p.html) if len(b.text) > 60]
+    rng = np.random.default_rng(2)
+    made, want = [], []
+    for i in range(40):
+        text = [lines[k] for k in rng.integers(0, len(lines), 8)]
+        t = " ".join(text[7].split(" ")[:6])
+        a, b, s, n, c, d, f = (html.escape(x) for x in text[:7])
+        made.append((i, "u", SHELL.format(t=html.escape(t), a=a, b=b, s=s, n=n, c=c, d=d, f=f)))
+        want.append((t, text[0], text[1], text[2:7]))
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(made, "page_id long, url string, html string"), model).collect()}
+    kept = [[part in got[i] for part in (t, a, b)] for i, (t, a, b, _) in enumerate(want)]
+    stray = [[part in got[i] and part not in (a, b) for part in rest] for i, (t, a, b, rest) in enumerate(want)]
+    assert np.mean([k[1:] for k in kept]) >= 0.95 and np.mean(stray) <= 0.1
+    assert np.mean([k[0] for k in kept]) >= 0.8
+
+
+def test_page_columns_may_clash(spark):
+    rows = [(1, "u", PAGE, "x", 2, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long, h string")
+    model = html_extract.fit([html_extract.blocks_of(PAGE)])
+    assert html_extract.extract_pages(pages, model).columns == ["page_id", "url", "text", "n_chars"]
+    assert html_extract.extract_pages(pages).count() == 1
