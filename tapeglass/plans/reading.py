@@ -372,7 +372,7 @@ FROM articles LEFT JOIN p ON news_id = article_id GROUP BY domain""",
     "display_series": f"""WITH {src.TRADES_SQL}, {src.QUOTES_SQL},
 o AS (SELECT market_pk, ts_us // 1000000 AS unix, yes_price AS v, 3 AS r FROM trades UNION ALL SELECT market_pk, ts_us // 1000000, coalesce(last_price, (yes_bid + yes_ask) / 2), 2 FROM quotes),
 s AS (SELECT market_pk, unix, max({{'r': r, 'v': v}}).v AS v FROM o GROUP BY market_pk, unix),
-b AS (SELECT market_pk, min(unix) // 60 * 60 AS lo, -(-max(unix) // 60) * 60 AS hi FROM s GROUP BY market_pk),
+b AS (SELECT market_pk, min(unix) // 60 * 60 AS lo, (max(unix) + 59) // 60 * 60 AS hi FROM s GROUP BY market_pk),
 g AS (SELECT market_pk, unnest(generate_series(lo, hi, 60)) AS at FROM b),
 d AS (SELECT market_pk, unix // 60 * 60 AS at, arg_max(v, unix) AS direct FROM s GROUP BY ALL),
 pre AS (SELECT g.market_pk, g.at, s.unix AS u0, s.v AS v0 FROM g ASOF LEFT JOIN s ON s.market_pk = g.market_pk AND g.at > s.unix),
