@@ -537,11 +537,10 @@ def fit(pages: list[list[Block]], seed: int = 3) -> Labeller:
 def train(pages: DataFrame, sample: int = SAMPLE, max_chars: int = SAMPLE_CHARS) -> Labeller:
     """A labeller fitted on at most ``sample`` pages of at most ``max_chars`` characters: those with the
     smallest hashes of their html, equal ones once, whatever their ids."""
-    usable = pages.where(F.length("html").between(1, max_chars))
-    hashed = usable.select(F.xxhash64("html").alias("h"), "html")
-    rows = hashed.orderBy("h", "html").limit(2 * sample).collect()  # a bounded top list
-    once = list(dict.fromkeys(r["html"] for r in rows))[:sample]
-    return fit([blocks_of(h) for h in once])
+    usable = pages.where(F.length("html").between(1, max_chars)).select(F.xxhash64("html").alias("h"), "html")
+    drawn = [r["h"] for r in usable.select("h").distinct().orderBy("h").limit(sample).collect()]  # hashes alone go to the driver first
+    rows = usable.where(F.col("h").isin(drawn)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()
+    return fit([blocks_of(r["html"]) for r in rows])
 
 
 def extract_pages(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
