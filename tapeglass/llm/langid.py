@@ -229,15 +229,16 @@ def held_out() -> Column:
 
 
 def sample(docs: DataFrame, per_language: int, max_chars: int) -> tuple[list[str], list[str]]:
-    """About ``per_language`` labelled texts of each language, none longer than ``max_chars``,
-    drawn by a hash of doc_id among the rows that are not held out."""
+    """About ``per_language`` labelled texts of each language, none longer than ``max_chars`` and twice
+    as many in all at most, drawn by a hash of doc_id and text among the rows that are not held out."""
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") <= max_chars) & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     share = F.lit(0.0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) < share * (1 << 30)
-    rows = usable.where(drawn).select("doc_id", "text", "lang").collect()
+    place = F.xxhash64("doc_id", "text", F.lit("train"))
+    drawn = usable.where(F.pmod(place, F.lit(1 << 30)) < share * (1 << 30)).select("doc_id", "text", "lang", place.alias("place"))
+    rows = drawn.orderBy("place").limit(2 * per_language * max(1, len(counts))).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
