@@ -124,3 +124,12 @@ def minute_features(trades: DataFrame, quotes: DataFrame, book: DataFrame) -> Da
     size = {c: F.coalesce(c, F.lit(0)).cast("double") for c in ("volume", "max_size", "added", "cancelled")}
     pull = F.when(moved > 0, F.col("cancelled").cast("double") / moved.cast("double")).otherwise(0.0)
     return joined.withColumns({**zero, **size, "depth_pull_score": pull})
+
+
+def compact(fine: DataFrame, closed: DataFrame, from_sec: int, to_sec: int) -> tuple[DataFrame, DataFrame]:
+    """(new, kept): the bars of closed markets merged to ``to_sec``, and the fine bars that stay. Both
+    must be written together, as a bar in both would count twice."""
+    if to_sec % from_sec:
+        raise ValueError(f"{to_sec} is no multiple of {from_sec}")
+    keys = closed.select("market_pk").distinct()
+    return merge_bars(fine.join(keys, "market_pk", "left_semi"), to_sec), fine.join(keys, "market_pk", "left_anti")

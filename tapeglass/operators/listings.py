@@ -13,6 +13,9 @@ SORTS: dict[str, list[tuple[str, bool]]] = {
     "top_flag": [("top_flag", True)],
     "recent": [("last_us", True)],
     "title": [("market_id", False)],
+    "priority": [("priority", True), ("trade_count", True)],
+    "news_flag": [("top_news", True), ("top_flag", True)],
+    "alerts": [("high_alerts", True), ("alerts", True)],
 }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapeglass.plans import flagging, queries, reading, sql
+from tapeglass.plans import flagging, newsroom, queries, reading, sql
 
-QUERIES = {**queries.QUERIES, **flagging.QUERIES, **reading.QUERIES}
-SQL: dict[str, str] = {**sql.SQL, **flagging.FLAGGING_SQL, **reading.READING_SQL}
+QUERIES = {**queries.QUERIES, **flagging.QUERIES, **reading.QUERIES, **newsroom.QUERIES}
+SQL: dict[str, str] = {**sql.SQL, **flagging.FLAGGING_SQL, **reading.READING_SQL, **newsroom.NEWSROOM_SQL}
