@@ -25,6 +25,7 @@ BINS = ROWS * BANDS
 MIN_WORDS = 3
 REACH = 6  # a bin's minimum is looked for where that many hashes of the bin are expected
 BLOCK = 64  # lines of an open band that are compared at once
+PIVOTS = 3  # rounds in which large open bands compare all their lines with one of them
 NO_SPACES = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"  # scripts written without spaces
 
 
@@ -110,6 +111,23 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return sets.where(common * (1 + share) >= share * total).select("a", "b")
 
 
+def rooted_lines(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, line_id, root); a line without links is its own root."""
+    return shared.join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").select("band", "line_id", F.coalesce("root", "line_id").alias("root"))
+
+
+def pivot_pairs(shared: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """(a, b): in each open band of more than BLOCK lines, one line, another in each turn, with all
+    lines of other components. A large group of near copies grows together in a few such turns,
+    each linear in the band, so that few lines are left for the comparison of blocks."""
+    rooted = rooted_lines(shared, roots)
+    pivot = F.min_by(F.struct("line_id", "root"), F.xxhash64("line_id", F.lit(turn)))
+    several = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"), pivot.alias("pivot"))
+    several = several.where(F.col("x") < F.col("y")).where(F.col("n") > BLOCK).select("band", F.col("pivot.line_id").alias("p"), F.col("pivot.root").alias("p_root"))
+    met = rooted.join(several, "band").where("root <> p_root")
+    return met.select(F.least("line_id", "p").alias("a"), F.greatest("line_id", "p").alias("b")).distinct()
+
+
 def part_pairs(sized: DataFrame) -> DataFrame:
     """(band, x, y): parts of a band to be compared, from (band, root, n) rows.
 
@@ -133,7 +151,7 @@ def links_inside_bands(shared: DataFrame, roots: DataFrame, texts: DataFrame, si
     are dealt into parts, and parts are compared in pairs inside a task; only pairs of different
     components and near sizes are tried, each in the first of their common bands, and only links
     leave the task."""
-    rooted = shared.join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").select("band", "line_id", F.coalesce("root", "line_id").alias("root"))
+    rooted = rooted_lines(shared, roots)
     marks = [F.sum(F.xxhash64("line_id", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
     several = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"), *marks).where("x < y AND n > 2")
     once = several.groupBy("n", "s1", "s2").agg(F.min("band").alias("band")).select("band")
@@ -185,6 +203,12 @@ def line_roots(lines: DataFrame, similarity: float) -> DataFrame:
     )
     pairs = shared.where("line_id <> first").select(F.col("first").alias("a"), F.col("line_id").alias("b")).distinct()
     roots = cut(connected_components(verified(pairs, texts, similarity)), "line-components")
+    for turn in range(PIVOTS):
+        found = cut(verified(pivot_pairs(shared, roots, turn), texts, similarity), "line-pivots")
+        if found.isEmpty():
+            break
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = cut(connected_components(known.unionByName(found)), "line-components")
     more = cut(links_inside_bands(shared, roots, texts, similarity), "line-more")
     drop_cut(shared)
     drop_cut(texts)

@@ -148,6 +148,16 @@ def test_large_components_of_a_band_meet_the_other_lines(spark, monkeypatch):
     assert got == {(i, j) for i in range(7) for j in range(7, 12)} | {(i, j) for i in range(12, 21) for j in range(i + 1, 21)}
 
 
+def test_pivots_of_large_open_bands(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "BLOCK", 3)
+    shared = spark.createDataFrame([(1, i) for i in range(6)] + [(2, i) for i in range(3)], "band long, line_id long")
+    roots = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 0)], "node long, root long")
+    for turn in range(3):
+        pairs = {tuple(r) for r in linededup.pivot_pairs(shared, roots, turn).collect()}
+        ends = {x for p in pairs for x in p}
+        assert len(pairs) in (2, 5) and ends <= set(range(6)) and {4, 5} <= ends  # band 1 alone; the pivot is in the large component or alone
+
+
 def test_recall_of_links_from_075_to_08(spark):
     """Lines with changed words, links by brute force over the shingles of every character."""
     rng = np.random.default_rng(21)
