@@ -24,7 +24,8 @@ BANDS = 8
 BINS = ROWS * BANDS
 MIN_WORDS = 3
 REACH = 6  # a bin's minimum is looked for where that many hashes of the bin are expected
-BLOCK = 64  # lines of an open band that are compared at once
+BLOCK = 256  # lines of an open band that are compared at once
+LARGE = 64  # lines from which on an open band takes the rounds of pivots
 PIVOTS = 3  # rounds in which large open bands compare all their lines with one of them
 NO_SPACES = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"  # scripts written without spaces
 
@@ -117,13 +118,13 @@ def rooted_lines(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(shared: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """(a, b): in each open band of more than BLOCK lines, one line, another in each turn, with all
+    """(a, b): in each open band of more than LARGE lines, one line, another in each turn, with all
     lines of other components. A large group of near copies grows together in a few such turns,
     each linear in the band, so that few lines are left for the comparison of blocks."""
     rooted = rooted_lines(shared, roots)
     pivot = F.min_by(F.struct("line_id", "root"), F.xxhash64("line_id", F.lit(turn)))
     several = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"), pivot.alias("pivot"))
-    several = several.where(F.col("x") < F.col("y")).where(F.col("n") > BLOCK).select("band", F.col("pivot.line_id").alias("p"), F.col("pivot.root").alias("p_root"))
+    several = several.where(F.col("x") < F.col("y")).where(F.col("n") > LARGE).select("band", F.col("pivot.line_id").alias("p"), F.col("pivot.root").alias("p_root"))
     met = rooted.join(several, "band").where("root <> p_root")
     return met.select(F.least("line_id", "p").alias("a"), F.greatest("line_id", "p").alias("b")).distinct()
 

@@ -131,7 +131,8 @@ def test_every_link_inside_a_band_joins(spark):
     assert len(set(component.values())) >= 300
 
 
-def test_parts_of_a_large_component_do_not_meet(spark):
+def test_parts_of_a_large_component_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "BLOCK", 64)
     rows = [(1, 10, 640)] + [(1, 20 + i, 1) for i in range(5)] + [(2, 7, 3), (2, 8, 2)]
     pairs = linededup.part_pairs(spark.createDataFrame(rows, "band long, root long, n long")).collect()
     assert Counter(r.band for r in pairs) == {1: 11, 2: 1}
@@ -149,7 +150,7 @@ def test_large_components_of_a_band_meet_the_other_lines(spark, monkeypatch):
 
 
 def test_pivots_of_large_open_bands(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "BLOCK", 3)
+    monkeypatch.setattr(linededup, "LARGE", 3)
     shared = spark.createDataFrame([(1, i) for i in range(6)] + [(2, i) for i in range(3)], "band long, line_id long")
     roots = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 0)], "node long, root long")
     for turn in range(3):
