@@ -5,14 +5,13 @@ one shingle). Characters are UTF-16 units, so a character outside the basic plan
 One hash per shingle gives minima in BINS ranges of the hash space; band j reads ROWS minima in a
 row from its own point of that circle, so lines with few shingles have full bands too. Lines that
 share a band are compared with the band's first line by exact Jaccard, and links are joined by
-star contraction. Bands that still hold several components have their lines compared with one
-another, block against block, so every link inside a band is found. The first line of each
-component stays.
+star contraction. Among the lines of bands that still hold several components, an exact set join
+by prefixes finds every link that is left. The first line of each component stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeglass.llm.common import cut, drop_cut, shuffle_count
@@ -24,9 +23,7 @@ BANDS = 8
 BINS = ROWS * BANDS
 MIN_WORDS = 3
 REACH = 6  # a bin's minimum is looked for where that many hashes of the bin are expected
-BLOCK = 256  # lines of an open band that are compared at once
-LARGE = 64  # lines from which on an open band takes the rounds of pivots
-PIVOTS = 3  # rounds in which large open bands compare all their lines with one of them
+ROUNDING = 1e-6  # keeps bounds from rising by the rounding of doubles
 NO_SPACES = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"  # scripts written without spaces
 
 
@@ -117,73 +114,34 @@ def rooted_lines(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return shared.join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").select("band", "line_id", F.coalesce("root", "line_id").alias("root"))
 
 
-def pivot_pairs(shared: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """(a, b): in each open band of more than LARGE lines, one line, another in each turn, with all
-    lines of other components. A large group of near copies grows together in a few such turns,
-    each linear in the band, so that few lines are left for the comparison of blocks."""
-    rooted = rooted_lines(shared, roots)
-    pivot = F.min_by(F.struct("line_id", "root"), F.xxhash64("line_id", F.lit(turn)))
-    several = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"), pivot.alias("pivot"))
-    several = several.where(F.col("x") < F.col("y")).where(F.col("n") > LARGE).select("band", F.col("pivot.line_id").alias("p"), F.col("pivot.root").alias("p_root"))
-    met = rooted.join(several, "band").where("root <> p_root")
-    return met.select(F.least("line_id", "p").alias("a"), F.greatest("line_id", "p").alias("b")).distinct()
-
-
-def part_pairs(sized: DataFrame) -> DataFrame:
-    """(band, x, y): parts of a band to be compared, from (band, root, n) rows.
-
-    A component with BLOCK lines or more in a band has parts of its own, which are not compared
-    with one another; smaller ones share mixed parts. So a band with one large component and few
-    other lines is read about once, not once per part."""
-    large = sized.where(F.col("n") >= BLOCK).select("band", F.col("root").alias("own"), F.ceil(F.col("n") / BLOCK).alias("parts"))
-    mixed = sized.where(F.col("n") < BLOCK).groupBy("band").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
-    both = large.unionByName(mixed.select("band", F.lit(None).cast("long").alias("own"), "parts"))
-    parts = both.select("band", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    named = parts.select("band", "own", F.xxhash64("own", "part").alias("pid"))
-    other = named.select(F.col("band"), F.col("own").alias("own_y"), F.col("pid").alias("y"))
-    met = named.withColumnRenamed("pid", "x").join(other, "band").where("x <= y")
-    return met.where("own IS NULL OR own_y IS NULL OR own <> own_y").select("band", "x", "y")
-
-
 def links_inside_bands(shared: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links between lines of one band that are not in one component yet.
-
-    Of bands with the same lines one is read. The lines of a band that holds several components
-    are dealt into parts, and parts are compared in pairs inside a task; only pairs of different
-    components and near sizes are tried, each in the first of their common bands, and only links
-    leave the task."""
+    """(a, b): every link of different components between lines of bands that hold several.
+
+    An exact set join by prefixes: the shingles of these lines are ordered from rare to frequent, in
+    one order for all. Two sets of n and m shingles that reach ``similarity`` have one of their first
+    n - ceil(similarity * n) + 1 and m - ceil(similarity * m) + 1 in common, and behind their first
+    common one enough are left in both for the overlap that is needed. Pairs that pass both, decided
+    inside the join, are verified on whole sets. So lines that share a passage, whose shingles are
+    frequent, do not meet by it, and the pairs grow with the links and not with the bands."""
     rooted = rooted_lines(shared, roots)
-    marks = [F.sum(F.xxhash64("line_id", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
-    several = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"), *marks).where("x < y AND n > 2")
-    once = several.groupBy("n", "s1", "s2").agg(F.min("band").alias("band")).select("band")
-    dealt = cut(rooted.join(once, "band"), "line-open")
-    sized = cut(dealt.groupBy("band", "root").agg(F.count("*").alias("n")), "line-open-sizes")
-    mixed = sized.where(F.col("n") < BLOCK).groupBy("band").agg(F.ceil(F.sum("n") / BLOCK).alias("mixed"))
-    own = F.col("n") >= BLOCK
-    part = F.when(own, F.pmod(F.xxhash64("line_id"), F.ceil(F.col("n") / BLOCK))).otherwise(F.pmod(F.xxhash64("root"), F.col("mixed")))
-    pid = F.xxhash64(F.when(own, F.col("root")), part.cast("long")).alias("pid")
-    placed = dealt.join(sized, ["band", "root"]).join(mixed, "band", "left").select("band", pid, "line_id", "root")
-    pairs = part_pairs(sized)
-    sides = pairs.select("band", F.col("x").alias("pid"), "x", "y").unionByName(pairs.where("x < y").select("band", F.col("y").alias("pid"), "x", "y"))
-    blocks = placed.join(sides, ["band", "pid"])
-    known = texts.join(dealt.groupBy("line_id").agg(F.collect_list("band").alias("bands")), "line_id")  # at most BANDS each
-    sets = (
-        blocks.join(known, "line_id")
-        .repartition(shuffle_count(shared.sparkSession), "band", "x", "y")
-        .select("band", "x", "y", "pid", F.struct("line_id", "root", "bands", shingle_set(F.col("norm")).alias("set")).alias("line"))
-    )
-    first, second = F.col("pid") == F.col("x"), (F.col("pid") == F.col("y")) & (F.col("x") < F.col("y"))
-    met = sets.groupBy("band", "x", "y").agg(F.collect_list(F.when(first, F.col("line"))).alias("xs"), F.collect_list(F.when(second, F.col("line"))).alias("ys"))
-    other = F.when(F.col("x") < F.col("y"), F.col("ys")).otherwise(F.col("xs"))
+    several = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y AND n > 2")
+    lines = cut(rooted.join(several.select("band"), "band").select("line_id", "root").distinct(), "line-open")
+    sets = texts.join(lines, "line_id").select("line_id", "root", shingle_set(F.col("norm")).alias("set"))
+    shingles = sets.select("line_id", "root", F.size("set").alias("n"), F.explode("set").alias("h"))
+    often = shingles.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    order = Window.partitionBy("line_id").orderBy(F.coalesce("f", F.lit(1)), "h")
+    ranked = shingles.join(often, "h", "left").withColumn("at", F.row_number().over(order))
     share = F.lit(similarity)
-    tried = met.select("band", "x", "y", F.explode("xs").alias("p"), other.alias("ys")).select("band", "x", "y", "p", F.explode("ys").alias("q"))
-    n, m = F.size("p.set"), F.size("q.set")
-    wanted = (F.col("p.root") != F.col("q.root")) & ((F.col("x") < F.col("y")) | (F.col("p.line_id") < F.col("q.line_id")))
-    here = F.array_min(F.array_intersect("p.bands", "q.bands")) == F.col("band")
-    common = F.size(F.array_intersect("p.set", "q.set"))
-    return tried.where(wanted & (n >= share * m) & (m >= share * n) & here & (common * (1 + share) >= share * (n + m))).select(
-        F.col("p.line_id").alias("a"), F.col("q.line_id").alias("b")
-    )
+    prefix = F.col("n") - F.ceil(share * F.col("n") - ROUNDING) + 1
+    # a shingle of one line alone takes its place in the order, but no other line can meet it
+    first = cut(ranked.where((F.col("at") <= prefix) & F.col("f").isNotNull()).select("h", "line_id", "root", "n", "at"), "line-prefixes")
+    mixed = first.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h")
+    one = first.join(mixed, "h")
+    two = first.select("h", F.col("line_id").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("m"), F.col("at").alias("b_at"))
+    rest = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("b_at"))
+    reach = (1 + rest) * (1 + share) >= share * (F.col("n") + F.col("m")) - ROUNDING
+    pairs = one.join(two, "h").where((F.col("line_id") < F.col("b")) & (F.col("root") != F.col("b_root")) & reach)
+    return verified(pairs.select(F.col("line_id").alias("a"), "b").distinct(), texts, similarity)
 
 
 def line_roots(lines: DataFrame, similarity: float) -> DataFrame:
@@ -204,12 +162,6 @@ def line_roots(lines: DataFrame, similarity: float) -> DataFrame:
     )
     pairs = shared.where("line_id <> first").select(F.col("first").alias("a"), F.col("line_id").alias("b")).distinct()
     roots = cut(connected_components(verified(pairs, texts, similarity)), "line-components")
-    for turn in range(PIVOTS):
-        found = cut(verified(pivot_pairs(shared, roots, turn), texts, similarity), "line-pivots")
-        if found.isEmpty():
-            break
-        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = cut(connected_components(known.unionByName(found)), "line-components")
     more = cut(links_inside_bands(shared, roots, texts, similarity), "line-more")
     drop_cut(shared)
     drop_cut(texts)

@@ -131,15 +131,7 @@ def test_every_link_inside_a_band_joins(spark):
     assert len(set(component.values())) >= 300
 
 
-def test_parts_of_a_large_component_do_not_meet(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "BLOCK", 64)
-    rows = [(1, 10, 640)] + [(1, 20 + i, 1) for i in range(5)] + [(2, 7, 3), (2, 8, 2)]
-    pairs = linededup.part_pairs(spark.createDataFrame(rows, "band long, root long, n long")).collect()
-    assert Counter(r.band for r in pairs) == {1: 11, 2: 1}
-
-
-def test_large_components_of_a_band_meet_the_other_lines(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "BLOCK", 4)
+def test_large_components_of_a_band_meet_the_other_lines(spark):
     texts = [f"{'abcdefghijklmnopqrstuvwxyz' * 4} end {i}" for i in range(12)] + ["0123456789 " * 9 + f"x{i}" for i in range(9)]
     ids = list(range(21))
     shared = spark.createDataFrame([(5, i) for i in ids] + [(6, i) for i in ids[:20]], "band long, line_id long")
@@ -149,14 +141,27 @@ def test_large_components_of_a_band_meet_the_other_lines(spark, monkeypatch):
     assert got == {(i, j) for i in range(7) for j in range(7, 12)} | {(i, j) for i in range(12, 21) for j in range(i + 1, 21)}
 
 
-def test_pivots_of_large_open_bands(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "LARGE", 3)
-    shared = spark.createDataFrame([(1, i) for i in range(6)] + [(2, i) for i in range(3)], "band long, line_id long")
-    roots = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 0)], "node long, root long")
-    for turn in range(3):
-        pairs = {tuple(r) for r in linededup.pivot_pairs(shared, roots, turn).collect()}
-        ends = {x for p in pairs for x in p}
-        assert len(pairs) in (2, 5) and ends <= set(range(6)) and {4, 5} <= ends  # band 1 alone; the pivot is in the large component or alone
+def test_prefix_join_equals_brute_force(spark):
+    """Families around the similarity asked for, with a passage that all lines share."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"passage{i}" for i in range(25))
+    rows = []
+    for family in range(40):
+        own = [f"own{family}n{i}" for i in range(20)]
+        for copy in range(4):
+            words = own.copy()
+            at, n = int(rng.integers(10)), int(rng.integers(3, 10)) if copy else 0
+            words[at : at + n] = [f"new{family}c{copy}n{i}" for i in range(n)]
+            rows.append((len(rows), passage + " " + " ".join(words)))
+    shared = spark.createDataFrame([(9, i) for i, _ in rows], "band long, line_id long")
+    roots = spark.createDataFrame([(i, i - i % 4) for i, _ in rows if i % 4 < 2], "node long, root long")
+    root = {i: i - i % 4 if i % 4 < 2 else i for i, _ in rows}
+    for share in (0.6, 0.75, 0.9):
+        got = {tuple(sorted(r)) for r in linededup.links_inside_bands(shared, roots, spark.createDataFrame(rows, "line_id long, norm string"), share).collect()}
+        sets = [line_sets([row])[row[1]] for row in rows]
+        pairs = [(i, j) for i in range(len(rows)) for j in range(i) if root[i] != root[j]]
+        wanted = {(j, i) for i, j in pairs if len(sets[i] & sets[j]) * (1 + share) >= share * (len(sets[i]) + len(sets[j]))}
+        assert got == wanted and (share == 0.9 or len(wanted) > 40)
 
 
 def test_recall_of_links_from_075_to_08(spark):
