@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -56,6 +57,13 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Ask for a collection in the driver, after which Spark deletes the shuffle files of plans that
+    nothing refers to any more; else they stay until the driver's heap fills up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

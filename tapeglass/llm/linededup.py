@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeglass.llm.common import cut, drop_cut, shuffle_count
+from tapeglass.llm.common import cut, drop_cut, free_shuffles, shuffle_count
 from tapeglass.llm.components import bit_filter, connected_components, passes_bits
 
 SHINGLE = 12
@@ -128,19 +128,18 @@ def links_inside_bands(shared: DataFrame, roots: DataFrame, texts: DataFrame, si
     lines = cut(rooted.join(several.select("band"), "band").select("line_id", "root").distinct(), "line-open")
     sets = texts.join(lines, "line_id").select("line_id", "root", shingle_set(F.col("norm")).alias("set"))
     shingles = sets.select("line_id", "root", F.size("set").alias("n"), F.explode("set").alias("h"))
-    often = shingles.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
-    order = Window.partitionBy("line_id").orderBy(F.coalesce("f", F.lit(1)), "h")
-    ranked = shingles.join(often, "h", "left").withColumn("at", F.row_number().over(order))
+    met = shingles.groupBy("h").agg(F.count("*").alias("f"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h", "f")
+    # shingles of one component come first in the order: no pair of two components shares them
+    line = Window.partitionBy("line_id")
+    alone = F.col("n") - F.count("*").over(line)
+    ranked = shingles.select("line_id", "n", "h").join(met, "h").withColumn("at", alone + F.row_number().over(line.orderBy("f", "h")))
     share = F.lit(similarity)
     prefix = F.col("n") - F.ceil(share * F.col("n") - ROUNDING) + 1
-    # a shingle of one line alone takes its place in the order, but no other line can meet it
-    first = cut(ranked.where((F.col("at") <= prefix) & F.col("f").isNotNull()).select("h", "line_id", "root", "n", "at"), "line-prefixes")
-    mixed = first.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h")
-    one = first.join(mixed, "h")
+    first = cut(ranked.where(F.col("at") <= prefix).join(lines, "line_id").select("h", "line_id", "root", "n", "at"), "line-prefixes")
     two = first.select("h", F.col("line_id").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("m"), F.col("at").alias("b_at"))
     rest = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("b_at"))
     reach = (1 + rest) * (1 + share) >= share * (F.col("n") + F.col("m")) - ROUNDING
-    pairs = one.join(two, "h").where((F.col("line_id") < F.col("b")) & (F.col("root") != F.col("b_root")) & reach)
+    pairs = first.join(two, "h").where((F.col("line_id") < F.col("b")) & (F.col("root") != F.col("b_root")) & reach)
     return verified(pairs.select(F.col("line_id").alias("a"), "b").distinct(), texts, similarity)
 
 
@@ -153,6 +152,7 @@ def line_roots(lines: DataFrame, similarity: float) -> DataFrame:
     shared = cut(passes_bits(banded, "band", bit_filter(ends, "band")).join(ends, "band"), "line-shared")
     drop_cut(banded)
     drop_cut(ends)
+    free_shuffles(lines.sparkSession)
     wanted = shared.select("line_id").distinct()
     texts = cut(
         passes_bits(lines.select("line_id", "norm"), "line_id", bit_filter(wanted, "line_id"))
