@@ -5,8 +5,9 @@ one shingle). Characters are UTF-16 units, so a character outside the basic plan
 One hash per shingle gives minima in BINS ranges of the hash space; band j reads ROWS minima in a
 row from its own point of that circle, so lines with few shingles have full bands too. Lines that
 share a band are compared with the band's first line by exact Jaccard, and links are joined by
-star contraction. Among the lines of bands that still hold several components, an exact set join
-by prefixes finds every link that is left. The first line of each component stays.
+star contraction. In bands that still hold several components, every link that is left is found:
+bands of at most BLOCK lines compare all their lines by bit sets, which never lose a link, and
+lines of larger ones meet in an exact set join by prefixes. The first line of each component stays.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ BANDS = 8
 BINS = ROWS * BANDS
 MIN_WORDS = 3
 REACH = 6  # a bin's minimum is looked for where that many hashes of the bin are expected
+BLOCK = 256  # bands up to that many lines are compared line by line
+BIT_WORDS = 4  # longs in a line's bit set
 ROUNDING = 1e-6  # keeps bounds from rising by the rounding of doubles
 NO_SPACES = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"  # scripts written without spaces
 
@@ -114,18 +117,46 @@ def rooted_lines(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return shared.join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").select("band", "line_id", F.coalesce("root", "line_id").alias("root"))
 
 
-def links_inside_bands(shared: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): every link of different components between lines of bands that hold several.
+def bit_sets(texts: DataFrame) -> DataFrame:
+    """(line_id, n, b0..): for each line the number of its shingles, repeated ones included, and a bit
+    set with the bit of every shingle's hash."""
+    width = 2 * SHINGLE
+    coded = texts.select("line_id", F.encode("norm", "UTF-16BE").alias("b"))
+    count = F.expr(f"greatest(1, octet_length(b) div 2 - {SHINGLE - 1})").alias("n")
+    hashed = coded.select("line_id", count, "b", F.explode(F.expr(f"sequence(1, greatest(1, octet_length(b) - {width - 1}), 2)")).alias("i")).select(
+        "line_id", "n", F.expr(f"xxhash64(substring(b, i, {width}))").alias("h")
+    )
+    bits = [F.expr(f"bit_or(if(pmod(shiftright(h, 6), {BIT_WORDS}) = {k}, shiftleft(1L, int(h & 63L)), 0L))").alias(f"b{k}") for k in range(BIT_WORDS)]
+    return hashed.groupBy("line_id", "n").agg(*bits)
+
+
+def pairs_of_blocks(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of different components in one band that may reach ``similarity``; every pair that
+    does is among them.
+
+    A bit that only one of two lines has stands for a shingle that only that line has, and sets of n
+    and m shingles that reach the similarity s differ in at most (n + m) * (1 - s) / (1 + s). That is
+    decided inside the join, so only what passes becomes a row."""
+    known = bit_sets(texts.join(rows.select("line_id").distinct(), "line_id", "left_semi"))
+    one = cut(rows.join(known, "line_id"), "line-blocks")
+    words = [f"b{k}" for k in range(BIT_WORDS)]
+    two = one.select("band", F.col("line_id").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"), *[F.col(w).alias(f"o{w}") for w in words])
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o{w}"))) for w in words), F.lit(0))
+    near = apart * F.lit(1 + similarity) <= (F.col("n") + F.col("m")) * F.lit(1 - similarity) + ROUNDING
+    met = one.join(two, "band").where((F.col("line_id") < F.col("other")) & (F.col("root") != F.col("other_root")) & near)
+    return met.select(F.col("line_id").alias("a"), F.col("other").alias("b")).distinct()
+
+
+def pairs_by_prefixes(lines: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of different components of ``lines`` (line_id, root) that may reach ``similarity``;
+    every pair that does is among them.
 
     An exact set join by prefixes: the shingles of these lines are ordered from rare to frequent, in
     one order for all. Two sets of n and m shingles that reach ``similarity`` have one of their first
     n - ceil(similarity * n) + 1 and m - ceil(similarity * m) + 1 in common, and behind their first
-    common one enough are left in both for the overlap that is needed. Pairs that pass both, decided
-    inside the join, are verified on whole sets. So lines that share a passage, whose shingles are
-    frequent, do not meet by it, and the pairs grow with the links and not with the bands."""
-    rooted = rooted_lines(shared, roots)
-    several = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y AND n > 2")
-    lines = cut(rooted.join(several.select("band"), "band").select("line_id", "root").distinct(), "line-open")
+    common one enough are left in both for the overlap that is needed; both are decided inside the
+    join. So lines that share a passage, whose shingles are frequent, do not meet by it, and the
+    pairs grow with the links and not with the bands."""
     sets = texts.join(lines, "line_id").select("line_id", "root", shingle_set(F.col("norm")).alias("set"))
     shingles = sets.select("line_id", "root", F.size("set").alias("n"), F.explode("set").alias("h"))
     met = shingles.groupBy("h").agg(F.count("*").alias("f"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h", "f")
@@ -140,7 +171,21 @@ def links_inside_bands(shared: DataFrame, roots: DataFrame, texts: DataFrame, si
     rest = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("b_at"))
     reach = (1 + rest) * (1 + share) >= share * (F.col("n") + F.col("m")) - ROUNDING
     pairs = first.join(two, "h").where((F.col("line_id") < F.col("b")) & (F.col("root") != F.col("b_root")) & reach)
-    return verified(pairs.select(F.col("line_id").alias("a"), "b").distinct(), texts, similarity)
+    return pairs.select(F.col("line_id").alias("a"), "b").distinct()
+
+
+def links_inside_bands(shared: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): every link of different components between lines that share a band. Bands of one
+    component need nothing; of the others, those of at most ``block`` lines are compared line by line
+    and the rest by prefixes. What both let through is verified on whole sets."""
+    rooted = rooted_lines(shared, roots)
+    several = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("lines")).where("x < y AND lines > 2")
+    rows = cut(rooted.join(several.select("band", "lines"), "band"), "line-open")
+    pairs = pairs_of_blocks(rows.where(F.col("lines") <= block).drop("lines"), texts, similarity)
+    large = rows.where(F.col("lines") > block).select("line_id", "root").distinct()
+    if not large.isEmpty():
+        pairs = pairs.unionByName(pairs_by_prefixes(cut(large, "line-open"), texts, similarity)).distinct()
+    return verified(pairs, texts, similarity)
 
 
 def line_roots(lines: DataFrame, similarity: float) -> DataFrame:

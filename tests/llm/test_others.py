@@ -131,17 +131,19 @@ def test_every_link_inside_a_band_joins(spark):
     assert len(set(component.values())) >= 300
 
 
-def test_large_components_of_a_band_meet_the_other_lines(spark):
+@pytest.mark.parametrize("block", [2, 256])
+def test_large_components_of_a_band_meet_the_other_lines(spark, block):
     texts = [f"{'abcdefghijklmnopqrstuvwxyz' * 4} end {i}" for i in range(12)] + ["0123456789 " * 9 + f"x{i}" for i in range(9)]
     ids = list(range(21))
     shared = spark.createDataFrame([(5, i) for i in ids] + [(6, i) for i in ids[:20]], "band long, line_id long")
     roots = spark.createDataFrame([(i, 0) for i in range(7)] + [(i, 7) for i in range(7, 12)], "node long, root long")
     known = spark.createDataFrame(list(zip(ids, texts, strict=True)), "line_id long, norm string")
-    got = {tuple(sorted(r)) for r in linededup.links_inside_bands(shared, roots, known, 0.75).collect()}
+    got = {tuple(sorted(r)) for r in linededup.links_inside_bands(shared, roots, known, 0.75, block).collect()}
     assert got == {(i, j) for i in range(7) for j in range(7, 12)} | {(i, j) for i in range(12, 21) for j in range(i + 1, 21)}
 
 
-def test_prefix_join_equals_brute_force(spark):
+@pytest.mark.parametrize("block", [2, 256])
+def test_prefix_join_equals_brute_force(spark, block):
     """Families around the similarity asked for, with a passage that all lines share."""
     rng = np.random.default_rng(5)
     passage = " ".join(f"passage{i}" for i in range(25))
@@ -157,7 +159,7 @@ def test_prefix_join_equals_brute_force(spark):
     roots = spark.createDataFrame([(i, i - i % 4) for i, _ in rows if i % 4 < 2], "node long, root long")
     root = {i: i - i % 4 if i % 4 < 2 else i for i, _ in rows}
     for share in (0.6, 0.75, 0.9):
-        got = {tuple(sorted(r)) for r in linededup.links_inside_bands(shared, roots, spark.createDataFrame(rows, "line_id long, norm string"), share).collect()}
+        got = {tuple(sorted(r)) for r in linededup.links_inside_bands(shared, roots, spark.createDataFrame(rows, "line_id long, norm string"), share, block).collect()}
         sets = [line_sets([row])[row[1]] for row in rows]
         pairs = [(i, j) for i in range(len(rows)) for j in range(i) if root[i] != root[j]]
         wanted = {(j, i) for i, j in pairs if len(sets[i] & sets[j]) * (1 + share) >= share * (len(sets[i]) + len(sets[j]))}
