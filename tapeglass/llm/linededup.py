@@ -25,7 +25,7 @@ BINS = ROWS * BANDS
 MIN_WORDS = 3
 REACH = 6  # a bin's minimum is looked for where that many hashes of the bin are expected
 BLOCK = 256  # bands up to that many lines are compared line by line
-BIT_WORDS = 4  # longs in a line's bit set
+BIT_WORDS = 16  # longs in a line's bit set
 ROUNDING = 1e-6  # keeps bounds from rising by the rounding of doubles
 NO_SPACES = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"  # scripts written without spaces
 
@@ -130,21 +130,34 @@ def bit_sets(texts: DataFrame) -> DataFrame:
     return hashed.groupBy("line_id", "n").agg(*bits)
 
 
-def pairs_of_blocks(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of different components in one band that may reach ``similarity``; every pair that
-    does is among them.
+def other_bits(rows: DataFrame) -> DataFrame:
+    """``rows`` with the columns of :func:`bit_sets` under the names of a pair's second line."""
+    names = {"line_id": "b", "n": "m", **{f"b{k}": f"o{k}" for k in range(BIT_WORDS)}}
+    return rows.withColumnsRenamed(names)
+
+
+def near_bits(similarity: float) -> Column:
+    """Whether two lines may reach ``similarity``; true for all that do.
 
     A bit that only one of two lines has stands for a shingle that only that line has, and sets of n
-    and m shingles that reach the similarity s differ in at most (n + m) * (1 - s) / (1 + s). That is
-    decided inside the join, so only what passes becomes a row."""
-    known = bit_sets(texts.join(rows.select("line_id").distinct(), "line_id", "left_semi"))
+    and m shingles that reach the similarity s differ in at most (n + m) * (1 - s) / (1 + s)."""
+    apart = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"o{k}"))) for k in range(BIT_WORDS)), F.lit(0))
+    return apart * F.lit(1 + similarity) <= (F.col("n") + F.col("m")) * F.lit(1 - similarity) + ROUNDING
+
+
+def near_pairs(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) that pass :func:`near_bits`."""
+    both = pairs.join(known.withColumnRenamed("line_id", "a"), "a").join(other_bits(known), "b")
+    return both.where(near_bits(similarity)).select("a", "b")
+
+
+def pairs_of_blocks(rows: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of different components in one band that pass :func:`near_bits`. That is decided
+    inside the join, so only what passes becomes a row."""
     one = cut(rows.join(known, "line_id"), "line-blocks")
-    words = [f"b{k}" for k in range(BIT_WORDS)]
-    two = one.select("band", F.col("line_id").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"), *[F.col(w).alias(f"o{w}") for w in words])
-    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o{w}"))) for w in words), F.lit(0))
-    near = apart * F.lit(1 + similarity) <= (F.col("n") + F.col("m")) * F.lit(1 - similarity) + ROUNDING
-    met = one.join(two, "band").where((F.col("line_id") < F.col("other")) & (F.col("root") != F.col("other_root")) & near)
-    return met.select(F.col("line_id").alias("a"), F.col("other").alias("b")).distinct()
+    two = other_bits(one.withColumnRenamed("root", "b_root"))
+    met = one.join(two, "band").where((F.col("line_id") < F.col("b")) & (F.col("root") != F.col("b_root")) & near_bits(similarity))
+    return met.select(F.col("line_id").alias("a"), "b").distinct()
 
 
 def pairs_by_prefixes(lines: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -174,17 +187,22 @@ def pairs_by_prefixes(lines: DataFrame, texts: DataFrame, similarity: float) ->
     return pairs.select(F.col("line_id").alias("a"), "b").distinct()
 
 
-def links_inside_bands(shared: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+def links_inside_bands(
+    shared: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, block: int = BLOCK, known: DataFrame | None = None
+) -> DataFrame:
     """(a, b): every link of different components between lines that share a band. Bands of one
     component need nothing; of the others, those of at most ``block`` lines are compared line by line
-    and the rest by prefixes. What both let through is verified on whole sets."""
+    and the rest by prefixes. What both let through is verified on whole sets. ``known`` holds the bit
+    sets of ``texts`` where they are made already."""
     rooted = rooted_lines(shared, roots)
     several = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("lines")).where("x < y AND lines > 2")
     rows = cut(rooted.join(several.select("band", "lines"), "band"), "line-open")
-    pairs = pairs_of_blocks(rows.where(F.col("lines") <= block).drop("lines"), texts, similarity)
+    known = bit_sets(texts) if known is None else known
+    pairs = pairs_of_blocks(rows.where(F.col("lines") <= block).drop("lines"), known, similarity)
     large = rows.where(F.col("lines") > block).select("line_id", "root").distinct()
     if not large.isEmpty():
-        pairs = pairs.unionByName(pairs_by_prefixes(cut(large, "line-open"), texts, similarity)).distinct()
+        more = pairs_by_prefixes(cut(large, "line-open"), texts, similarity)
+        pairs = pairs.unionByName(near_pairs(more, known, similarity)).distinct()
     return verified(pairs, texts, similarity)
 
 
@@ -206,10 +224,12 @@ def line_roots(lines: DataFrame, similarity: float) -> DataFrame:
         "line-texts",
     )
     pairs = shared.where("line_id <> first").select(F.col("first").alias("a"), F.col("line_id").alias("b")).distinct()
-    roots = cut(connected_components(verified(pairs, texts, similarity)), "line-components")
-    more = cut(links_inside_bands(shared, roots, texts, similarity), "line-more")
+    known = cut(bit_sets(texts), "line-bits")
+    roots = cut(connected_components(verified(near_pairs(pairs, known, similarity), texts, similarity)), "line-components")
+    more = cut(links_inside_bands(shared, roots, texts, similarity, known=known), "line-more")
     drop_cut(shared)
     drop_cut(texts)
+    drop_cut(known)
     if more.isEmpty():
         return roots
     return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
