@@ -202,7 +202,7 @@ def links_inside_bands(
     large = rows.where(F.col("lines") > block).select("line_id", "root").distinct()
     if not large.isEmpty():
         more = pairs_by_prefixes(cut(large, "line-open"), texts, similarity)
-        pairs = pairs.unionByName(near_pairs(more, known, similarity)).distinct()
+        pairs = pairs.unionByName(more).distinct()
     return verified(pairs, texts, similarity)
 
 
