@@ -106,3 +106,15 @@ class WordCache(dict):
             self.clear()
         value = self[word] = self.compute(word)
         return value
+
+
+#: crc32 of the bytes of a text by its definition, as DuckDB has none: a table of one row, t, and the value of a text beside it.
+CRC_TABLE_SQL = """crc_table AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def crc_sql(text: str) -> str:
+    byte = f"('0x' || substr(hex({text}), 2 * j + 1, 2))::BIGINT"
+    bytes_of = f"list_transform(range(octet_length(encode({text}))), lambda j: {byte})"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {bytes_of}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"

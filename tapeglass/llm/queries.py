@@ -13,10 +13,21 @@ from tapeglass.llm.linededup import mark_lines
 from tapeglass.llm.neardup import NEAR_SQL, near_duplicates
 from tapeglass.llm.packing import pack_documents
 from tapeglass.llm.pieces import encode_documents
+from tapeglass.llm.prefixtrie import TRIE_SQL, prefix_trie
 from tapeglass.llm.quality import RATE_SQL, rate_documents
 from tapeglass.llm.setjoin import JOIN_SQL, join_documents
 from tapeglass.llm.sharding import shard_documents
 from tapeglass.llm.tokencount import count_tokens
+from tapeglass.llm.urlfilter import ALLOW, BLOCK, Rule, filter_urls
+from tapeglass.llm.variants import VARIANTS_SQL, group_variants
+
+URL_RULES = [
+    Rule(ALLOW, "org", "/"),
+    Rule(BLOCK, "example.org", "/es/"),
+    Rule(BLOCK, "example.org", "/en/1"),
+    Rule(ALLOW, "com", "/fr/"),
+    Rule(BLOCK, "com", "/de/"),
+]
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +71,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_lines(table(spark, sf_dir, "documents"), similarity=0.75)
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sentencepiece": op2_sentencepiece,
@@ -71,10 +94,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_nn_descent": op9_nn_descent,
     "op10_line_dedup": op10_line_dedup,
+    "op11_url_filters": op11_url_filters,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 SQL: dict[str, str] = {
     "op4_jaccard_join": JOIN_SQL,
     "op7_line_quality": RATE_SQL,
     "op9_nn_descent": NEAR_SQL,
+    "op12_prefix_trie": TRIE_SQL,
+    "op13_spelling_variants": VARIANTS_SQL,
 }
