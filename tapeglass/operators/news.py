@@ -7,8 +7,32 @@ from pyspark.sql import functions as F
 
 from tapeglass.functions.scores import canonical_url_hash
 
-# Words that say nothing about an event.
-STOPWORDS = "about after and are been but for from has have into its more not over that the their this was were will with".split()
+# Words that say nothing about an event, and words that are counted as another one.
+STOPWORDS = [
+    "a", "about", "after", "again", "against", "all", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "into", "is", "it", "its",
+    "new", "of", "on", "or", "over", "says", "that", "the", "their", "this", "to", "toward", "towards", "will", "with",
+]
+SAME_WORD = {
+    "advocate": "regulator",
+    "advocates": "regulator",
+    "appointed": "appoint",
+    "appoints": "appoint",
+    "appointment": "appoint",
+    "asset": "asset",
+    "assets": "asset",
+    "chairman": "chair",
+    "currency": "crypto",
+    "cryptocurrency": "crypto",
+    "cryptocurrencies": "crypto",
+    "digital": "crypto",
+    "friendlier": "friendly",
+    "names": "appoint",
+    "nominates": "appoint",
+    "nominee": "appoint",
+    "nomination": "appoint",
+    "regulation": "regulator",
+    "regulatory": "regulator",
+}
 
 
 def article_keys(articles: DataFrame) -> DataFrame:
@@ -30,8 +54,23 @@ def tokens(text: Column) -> Column:
     return F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in STOPWORDS]))
 
 
+def one_form(word: Column) -> Column:
+    """A word's common form: its other word, then without a plural s that word's other word."""
+    other = F.create_map(*[F.lit(x) for pair in SAME_WORD.items() for x in pair])
+    known = lambda w: F.coalesce(F.try_element_at(other, w), w)
+    plural = (F.length(known(word)) > 4) & F.endswith(known(word), F.lit("s"))
+    return F.when(plural, known(F.substring(known(word), F.lit(1), F.length(known(word)) - 1))).otherwise(known(word))
+
+
+def cluster_tokens(text: Column) -> Column:
+    """The words of :func:`tokens` and their common forms, distinct."""
+    words = tokens(text)
+    forms = F.filter(F.transform(words, one_form), lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS))
+    return F.array_union(words, forms)
+
+
 def article_tokens(articles: DataFrame) -> DataFrame:
-    return articles.select("article_id", "first_seen_us", tokens(F.concat_ws(" ", "title", "summary")).alias("tokens"))
+    return articles.select("article_id", "first_seen_us", cluster_tokens(F.concat_ws(" ", "title", "summary")).alias("tokens"))
 
 
 def feed_items(payloads: DataFrame) -> DataFrame:

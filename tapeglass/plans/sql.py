@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from tapeglass.operators.classify import CATEGORIES, PRIOR_OF, TAG_RULES
-from tapeglass.operators.news import STOPWORDS
+from tapeglass.operators.news import SAME_WORD, STOPWORDS
 from tapeglass.operators.retention import DAY_US
 from tapeglass.sources.adapters import ARTICLES_SQL, BOOK_SQL, MARKETS_SQL, NOW_US, ORIGIN_US, QUOTES_SQL, TRADES_SQL
 
+OTHER_SQL = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SAME_WORD.items()) + " ELSE {0} END"
+
 
 def bars_sql(interval: int) -> str:
     return f"""WITH {TRADES_SQL}, {QUOTES_SQL},
@@ -232,7 +234,10 @@ SELECT coalesce(m.market_pk, l.market_pk) AS market_pk, CASE WHEN l.market_pk IS
 FROM markets m FULL JOIN l ON l.market_pk = m.market_pk""",
     "article_keys": f"""WITH {ARTICLES_SQL} SELECT article_id, sha256(lower(trim(url))) AS url_hash, 'news.' || domain || '.example.com' AS host FROM articles""",
     "article_tokens": f"""WITH {ARTICLES_SQL},
-t AS (SELECT article_id, [w FOR w IN list_distinct(regexp_extract_all(lower(title || ' ' || summary), '[a-z0-9]{{3,}}')) IF NOT list_contains({STOPWORDS!r}, w)] AS tokens FROM articles)
+r AS (SELECT article_id, [w FOR w IN list_distinct(regexp_extract_all(lower(title || ' ' || summary), '[a-z0-9]{{3,}}')) IF NOT list_contains({STOPWORDS!r}, w)] AS raw FROM articles),
+o AS (SELECT article_id, raw, [{OTHER_SQL.format("w")} FOR w IN raw] AS once FROM r),
+f AS (SELECT article_id, raw, [CASE WHEN length(w) > 4 AND ends_with(w, 's') THEN {OTHER_SQL.format("left(w, length(w) - 1)")} ELSE w END FOR w IN once] AS forms FROM o),
+t AS (SELECT article_id, list_distinct(list_concat(raw, [w FOR w IN forms IF length(w) > 2 AND NOT list_contains({STOPWORDS!r}, w)])) AS tokens FROM f)
 SELECT article_id, CAST(len(tokens) AS INT) AS n_tokens, array_to_string(list_sort(tokens), ' ') AS tokens FROM t""",
 }
 
