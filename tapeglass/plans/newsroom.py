@@ -169,18 +169,6 @@ def label_targets(spark: SparkSession, d: str) -> DataFrame:
     return linking.label_targets(versions, counts, 3, 80)
 
 
-def layered_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Three layers by turns silent, unsure and sure: the choice between them and the clamped prior."""
-    k = F.col("market_pk")
-
-    def layer(n: int, category: str):
-        level = F.when((k + n) % 4 == 0, "low").when((k + n) % 4 == 1, "medium").otherwise("high")
-        return F.when((k * (n + 1)) % 3 > 0, F.struct(F.lit(category).alias("category"), F.lit("*").alias("subcategory"), F.lit(f"layer{n}").alias("rule"), level.alias("confidence"), F.lit("").alias("tags")))
-
-    rows = src.markets(spark, d).select("market_pk")
-    return classify.classify(rows, [layer(0, "judicial"), layer(1, "weather"), layer(3, "judicial")]).select("market_pk", "category", "rule", "confidence", "prior")
-
-
 def sorted_markets(spark: SparkSession, d: str, sort: str) -> DataFrame:
     counters = stats.trade_stats(src.trades(spark, d)).select("market_pk", "trade_count", "last_us")
     linked = news_links(spark, d).where("relevance >= 0.45").groupBy("market_pk").agg(F.max("relevance").alias("top_news"))
@@ -228,7 +216,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stored_trades, latest_tickers, book_levels, loaded_markets, search_articles, register_articles, feed_articles, market_profiles, refreshed_profiles, news_candidates, gated_links,
-        stored_articles, stored_links, checked_labels, label_targets, layered_labels, markets_by_priority, markets_by_news, markets_by_alerts, compacted_bars, backfilled_bars,
+        stored_articles, stored_links, checked_labels, label_targets, markets_by_priority, markets_by_news, markets_by_alerts, compacted_bars, backfilled_bars,
     )
 }
 
@@ -295,16 +283,6 @@ SELECT market_pk, CASE WHEN c IN (SELECT c FROM v) THEN c ELSE 'other' END AS ca
   CASE WHEN (c, s) IN (SELECT (c, s) FROM v) AND sure THEN 'high' ELSE 'low' END AS confidence FROM r""",
     "label_targets": f"""WITH {src.MARKETS_SQL}, v AS (SELECT market_pk, CASE WHEN market_pk % 3 > 0 THEN market_pk % 4 END AS version FROM markets), c AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)
 SELECT market_pk, version, coalesce(n, 0) AS prints FROM v LEFT JOIN c ON user_id = market_pk WHERE version IS NULL OR version < 3 ORDER BY prints DESC, market_pk LIMIT 80""",
-    "layered_labels": f"""WITH {src.MARKETS_SQL}, l AS (
-  SELECT market_pk, CASE WHEN market_pk % 3 > 0 THEN CASE market_pk % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END END AS a,
-    CASE WHEN market_pk * 2 % 3 > 0 THEN CASE (market_pk + 1) % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END END AS b,
-    CASE WHEN market_pk * 4 % 3 > 0 THEN CASE (market_pk + 3) % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END END AS c FROM markets
-),
-p AS (SELECT *, CASE WHEN a <> 'low' THEN 0 WHEN b <> 'low' THEN 1 WHEN c <> 'low' THEN 3 WHEN c IS NOT NULL THEN 3 WHEN b IS NOT NULL THEN 1 WHEN a IS NOT NULL THEN 0 ELSE -1 END AS k FROM l),
-q AS (SELECT market_pk, CASE k WHEN 1 THEN 'weather' WHEN -1 THEN 'other' ELSE 'judicial' END AS category, CASE k WHEN -1 THEN 'all_layers_abstained' ELSE 'layer' || CAST(k AS VARCHAR) END AS rule,
-  CASE k WHEN 0 THEN a WHEN 1 THEN b WHEN 3 THEN c ELSE 'low' END AS confidence FROM p)
-SELECT *, CASE category WHEN 'judicial' THEN CASE WHEN confidence = 'low' AND '{classify.PRIOR_OF["judicial/*"]}' IN ('high', 'medium_high') THEN 'medium' ELSE '{classify.PRIOR_OF["judicial/*"]}' END
-  WHEN 'weather' THEN '{classify.PRIOR_OF["weather/*"]}' ELSE '{classify.PRIOR_OF["other/unclassified"]}' END AS prior FROM q""",
     "markets_by_priority": SORTED_SQL + "priority DESC, trade_count DESC, market_pk LIMIT 60",
     "markets_by_news": SORTED_SQL + "top_news DESC NULLS LAST, top_flag DESC NULLS LAST, market_pk LIMIT 60",
     "markets_by_alerts": SORTED_SQL + "high_alerts DESC, alerts DESC, market_pk LIMIT 60",
