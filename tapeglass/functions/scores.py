@@ -92,8 +92,10 @@ def in_scope(category: Column, prior: Column) -> Column:
     return ~F.coalesce(dropped[0], F.lit(False)) & ~F.coalesce(dropped[1], F.lit(False))
 
 
-def retention_reasons(prior: Column, closing_soon: Column, volume_24h: Column, open_interest: Column, has_alert: Column) -> Column:
-    """Names of the retention signals that hold, in their fixed order."""
+def retention_reasons(prior: Column, closing_soon: Column, volume_24h: Column, open_interest: Column, has_alert: Column, signal: dict[str, Column] | None = None) -> Column:
+    """Names of the retention signals that hold, in their fixed order. ``signal``: severe (boolean),
+    price_zscore, burst_score, news_score, pre_news_move (boolean), l2_pull_score, those that are known."""
+    known = {k: F.lit(None) for k in ("severe", "price_zscore", "burst_score", "news_score", "pre_news_move", "l2_pull_score")} | (signal or {})
     tests = {
         "high_prior": prior.isin("high", "medium_high"),
         "medium_prior": prior == "medium",
@@ -101,6 +103,12 @@ def retention_reasons(prior: Column, closing_soon: Column, volume_24h: Column, o
         "volume_24h_floor": volume_24h >= 250,
         "open_interest_floor": open_interest >= 200,
         "materialized_anomaly": has_alert,
+        "severe_anomaly": known["severe"].cast("boolean"),
+        "price_zscore": known["price_zscore"] >= 3,
+        "trade_burst": known["burst_score"] >= 3,
+        "news_match": known["news_score"] >= 0.75,
+        "pre_news_directional_move": known["pre_news_move"].cast("boolean"),
+        "l2_pull": known["l2_pull_score"] >= 3,
     }
     return F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items()]))
 

@@ -128,9 +128,11 @@ def market_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def activity(spark: SparkSession, d: str) -> DataFrame:
-    return src.trades(spark, d).groupBy("market_pk").agg(
+    prints = src.trades(spark, d)
+    sums = prints.groupBy("market_pk").agg(
         F.sum("count").alias("volume_24h"), F.sum(F.when(F.col("taker_side") == "yes", F.col("count"))).alias("open_interest"), (F.max("count") > 90).alias("has_alert")
     )
+    return sums.join(retention.tier_signals(prints, src.book_events(spark, d), alerts(spark, d), news_links(spark, d), src.NOW_US), "market_pk", "full")
 
 
 def tiers(spark: SparkSession, d: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from tapeglass.functions.scores import SIGNALS
 from tapeglass.operators.classify import CATEGORIES, PRIOR_OF, TAG_RULES
 from tapeglass.operators.news import SAME_WORD, STOPWORDS
-from tapeglass.operators.retention import DAY_US
+from tapeglass.operators.retention import DAY_US, PRE_NEWS_PRINTS, PRE_NEWS_RELEVANCE, PRE_NEWS_SHARE
 from tapeglass.sources.adapters import ARTICLES_SQL, BOOK_SQL, MARKETS_SQL, NOW_US, ORIGIN_US, QUOTES_SQL, TRADES_SQL
 
 OTHER_SQL = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SAME_WORD.items()) + " ELSE {0} END"
@@ -58,21 +59,39 @@ best AS (SELECT trade_pk, arg_min(news_id, gap * 1000000 + news_id) AS news_id,
 SELECT market_pk, t.trade_pk, news_id, round(gap / CAST(3600000000 AS DOUBLE), 6) AS hours_apart FROM trades t LEFT JOIN best USING (trade_pk)"""
 
 
-TIERS_SQL = f"""{TRADES_SQL}, {MARKETS_SQL},
-activity AS (
-  SELECT market_pk, sum(cnt) AS v, sum(cnt) FILTER (taker_side = 'yes') AS oi, max(cnt) > 90 AS has_alert FROM trades GROUP BY market_pk
+TIERS_SQL = f"""{TRADES_SQL}, {MARKETS_SQL}, {BOOK_SQL}, {LINKS_SQL},
+sums AS (
+  SELECT market_pk, sum(cnt) AS v, sum(cnt) FILTER (taker_side = 'yes') AS oi, max(cnt) > 90 AS has_alert,
+    abs(arg_max(yes_price, {{'a': ts_us, 'b': trade_pk}}) - avg(yes_price)) / CASE WHEN stddev_pop(yes_price) > 0 THEN stddev_pop(yes_price) END AS zscore FROM trades GROUP BY market_pk
+),
+severe AS (
+  SELECT DISTINCT user_id AS market_pk, true AS severe FROM events WHERE value >= 40 AND epoch_us(ts) > {NOW_US - DAY_US} AND epoch_us(ts) <= {NOW_US}
+),
+bursts AS (SELECT market_pk, max(n) / avg(n) AS burst FROM (SELECT market_pk, count(*) AS n FROM trades GROUP BY market_pk, ts_us // 60000000) GROUP BY market_pk),
+best_news AS (SELECT market_pk, max(relevance) AS news FROM links GROUP BY market_pk),
+leans AS (
+  SELECT l.market_pk, count(*) >= {PRE_NEWS_PRINTS} AND abs(sum(CASE taker_side WHEN 'yes' THEN cnt WHEN 'no' THEN -cnt ELSE 0 END)) >= {PRE_NEWS_SHARE} * sum(cnt) AS leaned
+  FROM links l JOIN trades t ON t.market_pk = l.market_pk AND ts_us >= news_us - {DAY_US} AND ts_us < news_us WHERE relevance >= {PRE_NEWS_RELEVANCE} GROUP BY l.market_pk, news_id
+),
+moves AS (SELECT market_pk, bool_or(leaned) AS move FROM leans GROUP BY market_pk),
+pulls AS (
+  SELECT market_pk, max(pulled / greatest(added, 1.0)) AS pull FROM (
+    SELECT market_pk, CAST(coalesce(sum(delta) FILTER (delta > 0), 0) AS DOUBLE) AS added, CAST(coalesce(-sum(delta) FILTER (delta < 0), 0) AS DOUBLE) AS pulled
+    FROM book WHERE NOT is_snapshot GROUP BY market_pk, received_us // 60000000) GROUP BY market_pk
 ),
 signals AS (
   SELECT m.market_pk, prior, close_us, list_filter([
     CASE WHEN prior IN ('high', 'medium_high') THEN 'high_prior' END, CASE WHEN prior = 'medium' THEN 'medium_prior' END,
-    CASE WHEN close_us BETWEEN {NOW_US} AND {NOW_US + 14 * DAY_US} THEN 'closing_soon' END,
+    CASE WHEN close_us > {NOW_US} AND close_us <= {NOW_US + 14 * DAY_US} THEN 'closing_soon' END,
     CASE WHEN v >= 250 THEN 'volume_24h_floor' END, CASE WHEN oi >= 200 THEN 'open_interest_floor' END,
-    CASE WHEN has_alert THEN 'materialized_anomaly' END], lambda x: x IS NOT NULL) AS reasons
-  FROM markets m LEFT JOIN activity a ON a.market_pk = m.market_pk
+    CASE WHEN has_alert THEN 'materialized_anomaly' END, CASE WHEN severe THEN 'severe_anomaly' END, CASE WHEN zscore >= 3 THEN 'price_zscore' END,
+    CASE WHEN burst >= 3 THEN 'trade_burst' END, CASE WHEN news >= 0.75 THEN 'news_match' END, CASE WHEN move THEN 'pre_news_directional_move' END,
+    CASE WHEN pull >= 3 THEN 'l2_pull' END], lambda x: x IS NOT NULL) AS reasons
+  FROM markets m LEFT JOIN sums USING (market_pk) LEFT JOIN severe USING (market_pk) LEFT JOIN bursts USING (market_pk) LEFT JOIN best_news USING (market_pk)
+    LEFT JOIN moves USING (market_pk) LEFT JOIN pulls USING (market_pk)
 ),
 scored AS (
-  SELECT *, coalesce(list_sum([CASE r WHEN 'high_prior' THEN 30 WHEN 'medium_prior' THEN 10 WHEN 'closing_soon' THEN 20 WHEN 'volume_24h_floor' THEN 15
-                     WHEN 'open_interest_floor' THEN 10 ELSE 35 END FOR r IN reasons]), 0) AS score FROM signals
+  SELECT *, coalesce(list_sum([CASE r {" ".join(f"WHEN '{k}' THEN {v}" for k, v in SIGNALS.items())} END FOR r IN reasons]), 0) AS score FROM signals
 ),
 tiers AS (
   SELECT market_pk, prior, close_us, reasons, CAST(score AS INT) AS score,
