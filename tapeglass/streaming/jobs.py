@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -49,38 +51,72 @@ def latest_in_batch(quotes: DataFrame) -> DataFrame:
     return quotes.groupBy("market_id").agg(F.max_by(F.struct(*rest), F.struct("seq", "ts")).alias("r")).select("market_id", "r.*")
 
 
-def live_fold(rows: DataFrame, key: str, late: str, keep_ms: int, state: str, out: str, step: Callable) -> DataFrame:
-    """A stream of what ``step(state or None, row) -> (new state, values or None)`` gives for the rows
-    of each key in event-time order. Values are appended to the row as the columns ``out``.
+def live_fold(rows: DataFrame, key: str, late: str, keep_ms: int, state: str, out: str, step: Callable, ties: tuple[str, ...] = ()) -> DataFrame:
+    """A stream of what ``step(state or None, at_ms, row) -> (new state, values or None)`` gives for the
+    rows of each key in event-time order. Values are appended to the row as the columns ``out``.
 
-    State is one tuple per key. It is dropped once the watermark (``late`` behind the newest row)
-    has passed the key's last row by ``keep_ms``, so choose that so long that a later row is
-    treated as a first one; rows behind the watermark are discarded. Needs a column ts."""
+    Rows are held until the watermark (``late`` behind the newest row) has passed them and are then
+    taken in the order of ts, those of one instant by the columns ``ties``; so the result does not
+    depend on how they were dealt to micro-batches. Rows behind the watermark are discarded by Spark.
+    State is one tuple per key and the held rows, as one Arrow buffer; it is dropped once the
+    watermark has passed the key's last row by ``keep_ms``, so choose that so long that a later row
+    is treated as a first one. Needs a column ts."""
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ([out] if out else []))
     names = [c.split()[0] for c in out.split(",")] if out else []
+    blank = len(state.split(","))
 
     def fold(group: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
+        old = held.get if held.exists else (None,) * blank + (False, None)
+        now, waiting = (tuple(old[:blank]) if old[blank] else None), unpacked(old[blank + 1])
+        arrived = [] if held.hasTimedOut else list(batches)
+        frames = [f for f in [waiting, *arrived] if f is not None and len(f)]
+        passed = held.getCurrentWatermarkMs()
+        rest = pd.concat(frames, ignore_index=True) if frames else None
+        last = None
+        if rest is not None:
+            rest = rest.sort_values(["ts", *ties], kind="stable", ignore_index=True)
+            micros = rest["ts"].to_numpy("datetime64[us]").astype("int64")
+            due = int((micros <= passed * 1000).sum())
+            kept, values = [], []
+            for i, row in enumerate(rest.iloc[:due].to_dict("records")):
+                now, found = step(now, int(micros[i] // 1000), row)
+                if found is not None:
+                    kept.append(i)
+                    values.append(found)
+            if kept:
+                yield rest.iloc[kept].assign(**{n: [v[k] for v in values] for k, n in enumerate(names)})
+            last = int(micros[-1] // 1000)
+            rest = rest.iloc[due:]
+        if (rest is None or not len(rest)) and held.hasTimedOut and last is None:
             held.remove()
             return
-        now = held.get if held.exists else None
-        arrived = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        at_ms = arrived["ts"].to_numpy("datetime64[ms]").astype("int64")
-        kept, values = [], []
-        for i, (at, row) in enumerate(zip(at_ms.tolist(), arrived.to_dict("records"), strict=True)):
-            now, found = step(now, at, row)
-            if found is not None:
-                kept.append(i)
-                values.append(found)
-        held.update(now)
-        held.setTimeoutTimestamp(max(int(at_ms[-1]) + keep_ms, held.getCurrentWatermarkMs() + 1))
-        yield arrived.iloc[kept].assign(**{n: [v[k] for v in values] for k, n in enumerate(names)})
+        open_rows = rest is not None and len(rest) > 0
+        held.update((now or (None,) * blank) + (now is not None, packed(rest) if open_rows else None))
+        wanted = int(rest["ts"].to_numpy("datetime64[ms]").astype("int64")[0]) + 1 if open_rows else (last or passed) + keep_ms
+        held.setTimeoutTimestamp(max(wanted, passed + 1))
 
     watched = rows.withWatermark("ts", late)
-    return watched.groupBy(key).applyInPandasWithState(fold, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+    held_schema = f"{state}, known boolean, waiting string"
+    return watched.groupBy(key).applyInPandasWithState(fold, schema, held_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def live_throttle(rows: DataFrame, key: str, interval_ms: int, bypass: str | None = None, late: str = "10 minutes") -> DataFrame:
+def packed(rows: pd.DataFrame) -> str:
+    """Rows as one Arrow buffer in text."""
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return base64.b64encode(sink.getvalue()).decode()
+
+
+def unpacked(text: str | None) -> pd.DataFrame | None:
+    if text is None:
+        return None
+    with pa.ipc.open_stream(base64.b64decode(text)) as reader:
+        return reader.read_pandas()
+
+
+def live_throttle(rows: DataFrame, key: str, interval_ms: int, bypass: str | None = None, late: str = "10 minutes", ties: tuple[str, ...] = ()) -> DataFrame:
     """A stream with at most one row per key in ``interval_ms`` of event time; rows whose boolean
     column ``bypass`` is true always pass and count as written."""
 
@@ -89,7 +125,7 @@ def live_throttle(rows: DataFrame, key: str, interval_ms: int, bypass: str | Non
             return now, None
         return (at,), ()
 
-    return live_fold(rows, key, late, interval_ms, "last long", "", step)
+    return live_fold(rows, key, late, interval_ms, "last long", "", step, ties)
 
 
 def live_suppress(quotes: DataFrame, key: str, price: str, size: str, heartbeat_ms: int = 300_000, late: str = "10 minutes") -> DataFrame:
@@ -103,7 +139,8 @@ def live_suppress(quotes: DataFrame, key: str, price: str, size: str, heartbeat_
                 return tuple(now), None
         return new, ()
 
-    return live_fold(quotes, key, late, heartbeat_ms, "last long, price double, size double", "", step)
+    ties = ("quote_pk",) if "quote_pk" in quotes.columns else ()
+    return live_fold(quotes, key, late, heartbeat_ms, "last long, price double, size double", "", step, ties)
 
 
 def close(a: float | None, b: float | None, tolerance: float) -> bool:
@@ -112,16 +149,41 @@ def close(a: float | None, b: float | None, tolerance: float) -> bool:
     return abs(a - b) <= tolerance + 1e-12
 
 
-def live_episodes(alerts: DataFrame, key: str, least_score: float = 3.0, cooldown_ms: int = 1_800_000, late: str = "10 minutes") -> DataFrame:
-    """Alerts with their action on the stored history (see the batch form): created or updated.
-    A row after the cooldown is created anyway, so state need not outlive it."""
+def live_episodes(alerts: DataFrame, key: str, least_score: float = 3.0, cooldown_ms: int = 1_800_000, late: str = "10 minutes", keep_ms: int = 86_400_000) -> DataFrame:
+    """Alerts with their action on the stored history (see the batch form): created, updated, or deleted
+    where an alert of the stored quote (column quote_pk, if there is one) falls below ``least_score``.
+    A key's memory is kept for ``keep_ms`` after its last row."""
+    quoted = "quote_pk" in alerts.columns
 
     def step(now: tuple | None, at: int, row: dict) -> tuple:
+        created, rank, quote = now or (None, -1, None)
+        mine = row["quote_pk"] if quoted and not pd.isna(row["quote_pk"]) else None
+        again = mine is not None and created is not None and mine == quote
         if pd.isna(row["score"]) or row["score"] < least_score:
-            return now if now is not None else (None, -1), None
-        rank = severity_rank(row["severity"])
-        if now is None or now[0] is None or rank > now[1] or at - now[0] >= cooldown_ms:
-            return (at, rank), ("created",)
-        return (now[0], rank), ("updated",)
+            return ((None, -1, None), ("deleted",)) if again else ((created, rank, quote), None)
+        new = severity_rank(row["severity"])
+        if not again and (created is None or new > rank or at - created >= cooldown_ms):
+            return (at, new, mine), ("created",)
+        return (created, new, mine), ("updated",)
 
-    return live_fold(alerts, key, late, cooldown_ms, "created long, rank int", "action string", step)
+    ties = ("alert_pk",) if "alert_pk" in alerts.columns else ()
+    return live_fold(alerts, key, late, keep_ms, "created long, rank int, quote long", "action string", step, ties)
+
+
+def live_asof(rows: DataFrame, versions: DataFrame, key: str, columns: list[str], late: str = "10 minutes", keep_ms: int = 86_400_000) -> DataFrame:
+    """``rows`` with the ``columns`` of the key's newest version at or before each row's time. Both are
+    streams with a ts; a version that comes in later but is older counts as if it had been there."""
+    kinds = {f.name: f.dataType.simpleString() for f in versions.schema if f.name in columns}
+    left = [c for c in rows.columns if c not in (key, "ts")]
+    both = rows.select(key, "ts", F.lit(1).alias("kind"), *left, *[F.lit(None).cast(kinds[c]).alias(c) for c in columns])
+    right = versions.select(key, "ts", F.lit(0).alias("kind"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in left], *columns)
+
+    def step(now: tuple | None, at: int, row: dict) -> tuple:
+        if row["kind"] == 0:
+            return tuple(None if pd.isna(row[c]) else row[c] for c in columns), None
+        return now, (now or (None,) * len(columns))
+
+    state = ", ".join(f"v{i} {kinds[c]}" for i, c in enumerate(columns))
+    out = ", ".join(f"now_{c} {kinds[c]}" for c in columns)
+    found = live_fold(both.unionByName(right), key, late, keep_ms, state, out, step, ("kind",))
+    return found.select(*rows.columns, *[F.col(f"now_{c}").alias(c) for c in columns])

@@ -227,42 +227,6 @@ def test_episodes(spark):
     assert got == {1: "created", 2: "updated", 3: "created", 4: "updated", 5: "created", 6: "created"}
 
 
-def test_live_throttle_equals_batch(spark, tmp_path):
-    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
-    rows = [(f"m{i % 3}", start + timedelta(seconds=7 * i)) for i in range(60)]
-    frame = spark.createDataFrame(rows, "market_id string, ts timestamp")
-    frame.write.parquet(str(tmp_path / "in"))
-    stream = jobs.live_throttle(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), "market_id", 60_000)
-    query = stream.writeStream.format("memory").queryName("throttled").option("checkpointLocation", str(tmp_path / "c")).start()
-    query.processAllAvailable()
-    query.stop()
-    want, last = 0, {}
-    for key, at in rows:
-        if key not in last or (at - last[key]).total_seconds() >= 60:
-            want += 1
-            last[key] = at
-    assert spark.table("throttled").count() == want
-
-
-def test_live_suppression_and_episodes_equal_batch(spark, tmp_path):
-    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
-    rows = [(i % 2, i, start + timedelta(seconds=40 * i), (i // 5) % 3 / 10 if i % 7 else None, 5.0, ["low", "high", None, "medium"][i % 4], i % 9 * 1.0) for i in range(80)]
-    frame = spark.createDataFrame(rows, "market_pk long, quote_pk long, ts timestamp, price double, size double, severity string, score double")
-    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
-    known = frame.withColumn("ts_us", F.unix_micros("ts")).withColumn("created_us", F.unix_micros("ts")).withColumn("alert_pk", F.col("quote_pk"))
-    want = {
-        "kept": {r.quote_pk for r in folds.suppress_unchanged(known, ["price"], ["size"]).collect()},
-        "told": {(r.quote_pk, r.action) for r in folds.alert_episodes(known.drop("quote_pk").withColumn("q", F.col("alert_pk")).withColumnRenamed("q", "quote")).withColumnRenamed("quote", "quote_pk").collect()},
-    }
-    source = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
-    streams = {"kept": jobs.live_suppress(source, "market_pk", "price", "size"), "told": jobs.live_episodes(source, "market_pk")}
-    for name, stream in streams.items():
-        query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        assert query.awaitTermination(120)
-        got = spark.table(name).collect()
-        assert {(r.quote_pk, r.action) if name == "told" else r.quote_pk for r in got} == want[name]
-
-
 def test_episode_deleted_on_the_same_quote(spark):
     rows = [(1, 1, 0, "low", 4.0, 7), (1, 2, 1, "low", 1.0, 8), (1, 3, 2, "odd", None, 7), (1, 4, 3, "low", 5.0, 9)]
     df = spark.createDataFrame(rows, "market_pk long, alert_pk long, created_us long, severity string, score double, quote_pk long")
