@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,49 +91,42 @@ def best_flags(flags: DataFrame, per_market: int = 5) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("market_pk").orderBy(F.desc("score"), "trade_pk"))
     return flags.withColumn("rank", rank).where(F.col("rank") <= per_market)
 
+SPORTS = ("sports_outcome", "sports_derivative", "sports_prop")
+
 
 def flag_severity(score: Column) -> Column:
     return F.when(score >= 8.5, "critical").when(score >= 7, "high").when(score >= 5, "medium").otherwise("low")
 
 
-def diversified(flags: DataFrame, limit: int, sports: tuple[str, ...] = ("sports_outcome", "sports_derivative", "sports_prop")) -> DataFrame:
+def diversified(flags: DataFrame, limit: int, sports: tuple[str, ...] = SPORTS) -> DataFrame:
     """``limit`` flags by score with variety: first one per market and three per category, then the
-    rest; sports categories give four at most and one per event. A report: its input is cut to
-    the best max(25 * limit, 300) rows before the ordered pass over them."""
+    rest; sports categories give four at most and one per event, a flag without an event counting as
+    its market's. A report: its input is cut to the best max(25 * limit, 300) rows, and these are
+    folded twice as one array, strictly and then not."""
+    columns = flags.columns
     best = flags.orderBy(F.desc("score"), F.desc("ts_us"), "trade_pk").limit(max(25 * limit, 300))
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "ts_us", "trade_pk"], ascending=[False, False, True], kind="stable")
-        chosen: list[int] = []
-        markets, events, by_category = set(), set(), Counter()
-        used = 0
-
-        def take(i: int, r, strict: bool) -> bool:
-            nonlocal used
-            is_sport = r.category in sports
-            if is_sport and (used >= min(limit, 4) or r.event_id in events):
-                return False
-            if strict and (r.market_pk in markets or by_category[r.category] >= 3):
-                return False
-            chosen.append(i)
-            markets.add(r.market_pk)
-            by_category[r.category] += 1
-            if is_sport:
-                used += 1
-                events.add(r.event_id)
-            return True
-
-        left = []
-        for i, r in enumerate(rows.itertuples()):
-            if len(chosen) < limit and not take(i, r, True):
-                left.append((i, r))
-        for i, r in left:
-            if len(chosen) < limit:
-                take(i, r, False)
-        return rows.iloc[chosen].assign(place=range(1, len(chosen) + 1))
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in best.schema) + ", place long"
-    return best.withColumn("report", F.lit(1)).groupBy("report").applyInPandas(lambda rows: choose(rows.drop(columns="report")), schema)
+    sport = F.coalesce(F.col("category").isin(*sports), F.lit(False))
+    event = F.coalesce(F.concat(F.lit("e"), F.col("event_id").cast("string")), F.concat(F.lit("m"), F.col("market_pk").cast("string")))
+    row = F.struct((-F.col("score")).alias("down"), (-F.col("ts_us")).alias("older"), "trade_pk", "market_pk", "category", sport.alias("sport"), event.alias("event"), F.struct(*columns).alias("flag"))
+    listed = best.agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+    def held(chosen: Column, rule) -> Column:
+        return F.size(F.filter(chosen, rule))
+
+    def fold(rows: Column, start: Column, strict: bool) -> Column:
+        def step(chosen: Column, r: Column) -> Column:
+            free = ~r["sport"] | ((held(chosen, lambda x: x["sport"]) < min(limit, 4)) & ~F.exists(chosen, lambda x: x["sport"] & (x["event"] == r["event"])))
+            if strict:
+                apart = ~F.exists(chosen, lambda x: x["market_pk"] == r["market_pk"]) & (held(chosen, lambda x: x["category"].eqNullSafe(r["category"])) < 3)
+            else:
+                apart = ~F.exists(chosen, lambda x: x["trade_pk"] == r["trade_pk"])
+            return F.when((F.size(chosen) < limit) & free & apart, F.concat(chosen, F.array(r))).otherwise(chosen)
+
+        return F.aggregate(rows, start, step)
+
+    first = fold(F.col("rows"), F.slice(F.col("rows"), 1, 0), True)
+    both = listed.select("rows", first.alias("chosen")).select(fold(F.col("rows"), F.col("chosen"), False).alias("chosen"))
+    return both.select(F.posexplode("chosen").alias("at", "c")).select("c.flag.*", (F.col("at") + 1).cast("long").alias("place"))
 
 
 def system_counters(markets: DataFrame, trades: DataFrame, flags: DataFrame) -> DataFrame:

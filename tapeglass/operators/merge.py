@@ -54,8 +54,11 @@ def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def insert_absent(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``target`` and the first of those new rows whose key it lacks; a replay changes nothing."""
-    return target.unionByName(rows.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti"))
+    """``target`` and those new rows whose key it lacks, of several the first by its other columns; a
+    replay changes nothing."""
+    rest = [c for c in rows.columns if c not in keys]
+    one = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*") if rest else rows.select(*keys).distinct()
+    return target.unionByName(one.join(target.select(*keys), keys, "left_anti"))
 
 
 def row_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

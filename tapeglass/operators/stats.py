@@ -87,9 +87,3 @@ def top_markets(trades: DataFrame, markets: DataFrame, limit: int = 50) -> DataF
     stats = trade_stats(trades).select("market_pk", "trade_count", "dollars", "last_us")
     named = stats.join(markets.select("market_pk", "market_id", "category", "prior"), "market_pk", "left")
     return named.orderBy(F.desc("trade_count"), "market_pk").limit(limit)
-
-
-def prefer(rows: DataFrame, keys: list[str], rank: str, tie: str) -> DataFrame:
-    """One row per key: the lowest rank (source priority), then the highest tie column."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(rank, F.desc(tie)))
-    return rows.withColumn("place", place).where("place = 1").drop("place")

@@ -363,6 +363,24 @@ def values_of(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
 
 
+def diverse_step(strict: bool) -> str:
+    """One step of the report's fold: r joins the chosen c, or not; both are lists."""
+    alone = "len(list_filter(c, lambda x: x.market_pk = r[1].market_pk)) = 0 AND len(list_filter(c, lambda x: x.category IS NOT DISTINCT FROM r[1].category)) < 3"
+    apart = alone if strict else "len(list_filter(c, lambda x: x.trade_pk = r[1].trade_pk)) = 0"
+    free = "NOT r[1].sport OR (len(list_filter(c, lambda x: x.sport)) < 4 AND len(list_filter(c, lambda x: x.sport AND x.event = r[1].event)) = 0)"
+    return f"CASE WHEN len(c) < 25 AND ({free}) AND {apart} THEN list_concat(c, r) ELSE c END"
+
+
+SQL["diversified_flags"] = f"""WITH s AS ({SQL["tape_scores"]}), {TRADES_SQL}, {MARKETS_SQL},
+top AS (
+  SELECT s.market_pk, s.trade_pk, t.ts_us, s.score, m.category, m.event_id, coalesce(m.category IN ('machinery', 'building'), false) AS sport, coalesce('e' || m.event_id, 'm' || s.market_pk) AS event
+  FROM s JOIN trades t ON t.trade_pk = s.trade_pk LEFT JOIN markets m ON m.market_pk = s.market_pk WHERE s.score >= 0.3 ORDER BY s.score DESC, t.ts_us DESC, s.trade_pk LIMIT 625),
+whole AS (SELECT list([top] ORDER BY score DESC, ts_us DESC, trade_pk) AS rows FROM top),
+once AS (SELECT rows, list_reduce(rows, lambda c, r: {diverse_step(True)}, rows[1][1:0]) AS chosen FROM whole),
+twice AS (SELECT list_reduce(rows, lambda c, r: {diverse_step(False)}, chosen) AS chosen FROM once),
+each AS (SELECT unnest(chosen) AS x, unnest(range(1, len(chosen) + 1)) AS place FROM twice)
+SELECT x.market_pk, x.trade_pk, x.ts_us, x.score, x.category, x.event_id, place FROM each"""
+
 SQL["market_labels"] = f"""WITH {MARKETS_SQL},
 rules(i, needle, cat, sub, tags) AS (VALUES {values_of([(i, *r) for i, r in enumerate(TAG_RULES)])}),
 cats(i, name, cat, sub) AS (VALUES {values_of([(i, k, *v) for i, (k, v) in enumerate(CATEGORIES.items())])}),

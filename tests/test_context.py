@@ -54,3 +54,23 @@ def test_series_of_one_point_and_gap(spark):
     rows = [(1, 0, 0.5, 3), (1, 240, 0.9, 3), (1, 240, 0.1, 2), (2, 30, None, 3), (3, 61, 2.0, 1)]
     got = {(r.market_pk, r.at): round(r.value, 6) for r in reads.uniform_series(spark.createDataFrame(rows, "market_pk long, unix long, value double, rank int")).collect()}
     assert got == {(1, 0): 0.5, (1, 60): 0.6, (1, 120): 0.7, (1, 180): 0.8, (1, 240): 0.9, (3, 60): 1.0, (3, 120): 1.0}
+
+
+def test_flags_promotions_and_cases_at_their_floors(spark):
+    rows = [(1, 10, 1, 2.99, None), (1, 11, 2, 3.0, None), (1, 12, 3, 6.999, None), (2, 13, 4, 7.0, None), (3, 14, 5, 8.499, None), (3, 15, 6, 8.5, None), (4, 16, 7, 7.0, ["pre_news_directional_move"]), (5, 17, 8, 5.0, None)]
+    scored = spark.createDataFrame([(m, t, u * 10**6, s, 0.0, None, r, None) for m, t, u, s, r in rows], "market_pk long, trade_pk long, ts_us long, local_score double, context_score double, post_news_multiplier double, reasons array<string>, context_reasons array<string>")
+    flags = context.trade_flags(scored, 1)
+    got = {r.trade_pk: (r.severity, r.tier) for r in flags.collect()}
+    assert got == {11: ("low", None), 12: ("medium", None), 13: ("high", "triggered"), 14: ("high", "triggered"), 15: ("critical", "case"), 16: ("high", "case"), 17: ("medium", None)}
+    cases = {r.trade_pk: r for r in context.case_windows(flags).collect()}
+    assert set(cases) == {15, 16} and cases[15].case_key == "trade_flag:1:15" and cases[15].end_us - cases[15].start_us == 30 * 3600 * 10**6
+    tiers = spark.createDataFrame([(1, "sampled", 20), (2, "case", 120), (3, "hot", 60), (9, "hot", 50)], "market_pk long, tier string, retention_score int")
+    promoted = {r.market_pk: (r.tier, r.retention_score) for r in context.promote(tiers, flags).collect()}
+    assert promoted == {1: ("sampled", 20), 2: ("triggered", 120), 3: ("case", 85), 4: ("case", 70), 9: ("hot", 50)}
+    assert {r.market_pk: r.tier for r in context.promote(tiers, flags, keep_case=True).collect()}[2] == "case"
+
+
+def test_news_case_windows(spark):
+    links = spark.createDataFrame([(1, 5, 100 * 10**9, 7.0), (2, 5, 100 * 10**9, 6.9), (3, 5, 100 * 10**9, None)], "news_id long, market_pk long, news_us long, score double")
+    got = context.news_case_windows(links, 3600 * 10**6).collect()
+    assert [(r.case_key, r.trigger_us - r.start_us, r.end_us - r.trigger_us) for r in got] == [("news_link:1", 3600 * 10**6, 6 * 3600 * 10**6)]

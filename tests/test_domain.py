@@ -193,6 +193,40 @@ def test_diversified_keeps_the_rules(spark):
     assert len(sports) <= 4 and len({r.event_id for r in sports}) == len(sports)
 
 
+def greedy(rows, limit, sports):
+    ordered = sorted(rows, key=lambda r: (-r[3], -r[2], r[1]))[: max(25 * limit, 300)]
+    chosen = []
+    for strict in (True, False):
+        for r in ordered:
+            sport, event = r[4] in sports, r[5] or f"m{r[0]}"
+            mine = [c for c in chosen if c[4] in sports]
+            if len(chosen) >= limit or r in chosen or (sport and (len(mine) >= min(limit, 4) or event in [c[5] or f"m{c[0]}" for c in mine])):
+                continue
+            if strict and (r[0] in [c[0] for c in chosen] or [c[4] for c in chosen].count(r[4]) >= 3):
+                continue
+            chosen.append(r)
+    return [r[1] for r in chosen]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_diversified_equals_a_plain_loop(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    kinds = ["sports_outcome", "sports_prop", "politics", "macro", None]
+    rows = [(rng.randrange(9), i, rng.randrange(5), rng.randrange(20) / 2, rng.choice(kinds), rng.choice([None, "a", "b", "c"])) for i in range(80)]
+    flags = spark.createDataFrame(rows, "market_pk long, trade_pk long, ts_us long, score double, category string, event_id string")
+    got = [r.trade_pk for r in alerts.diversified(flags, 12).orderBy("place").collect()]
+    assert got == greedy(rows, 12, alerts.SPORTS)
+    assert alerts.diversified(flags.where("score > 99"), 5).collect() == []
+
+
+def test_sports_flags_without_an_event_count_by_market(spark):
+    rows = [(i, i, i, 5.0, "sports_prop", None) for i in range(5)] + [(0, 9, 9, 4.0, "sports_prop", None)]
+    flags = spark.createDataFrame(rows, "market_pk long, trade_pk long, ts_us long, score double, category string, event_id string")
+    assert len(alerts.diversified(flags, 10).collect()) == 4
+
+
 def test_alerts_on_a_jump(spark):
     quotes = [(1, i, i * 1_000_000, 0.45, 0.55, None, 100.0) for i in range(11)] + [(1, 20, 99_000_000, 0.60, 0.90, None, 160.0), (2, 30, 0, 0.4, 0.5, None, 1.0)]
     df = spark.createDataFrame(quotes, "market_pk long, quote_pk long, ts_us long, yes_bid double, yes_ask double, last_price double, volume double")

@@ -113,3 +113,15 @@ def test_snapshots_of_full_tiers_are_all_stored(spark):
     got = gates.stored_snapshots(df, F.concat_ws(":", "tier", "i")).groupBy("tier").count().collect()
     found = {r.tier: r["count"] for r in got}
     assert found["hot"] == 50 and "observe_only" not in found and found.get("sampled", 0) < 25
+
+
+def test_book_activity_by_windows(spark):
+    rows = [("m", START + timedelta(seconds=5 * i), -3.0 if i % 2 else 1.0, False) for i in range(80)] + [("m", START, 9.0, True)]
+    got = jobs.live_book_activity(spark.createDataFrame(rows, "market_id string, ts timestamp, delta double, is_snapshot boolean")).collect()
+    for r in got:
+        end = r.at.replace(tzinfo=timezone.utc)
+        inside = [x for x in rows if end - timedelta(minutes=3) <= x[1] < end]
+        deltas = [x[2] for x in inside if not x[3]]
+        pulled = -sum(x for x in deltas if x < 0)
+        assert (r.book_events, r.book_deltas, r.pull_volume, r.heavy_cancel) == (len(inside), len(deltas), pulled, pulled > 75 and len(deltas) > 30)
+    assert len(got) >= 8
