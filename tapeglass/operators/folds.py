@@ -75,15 +75,17 @@ def suppress_unchanged(quotes: DataFrame, prices: list[str], sizes: list[str], h
     return ordered_fold(quotes, ["market_pk"], ["ts_us", "quote_pk"], make)
 
 
-def throttle(rows: DataFrame, keys: list[str], order: list[str], interval_us: int, bypass: str | None = None) -> DataFrame:
-    """At most one row per key in ``interval_us``; rows whose boolean column ``bypass`` is true always
-    pass (and count as written). Settings of it are the history, projection and alert gates."""
+def throttle(rows: DataFrame, keys: list[str], order: list[str], interval_us: int | str, bypass: str | None = None) -> DataFrame:
+    """At most one row per key in ``interval_us``, which may be a column; rows whose boolean column
+    ``bypass`` is true always pass (and count as written). Settings of it are the history and
+    projection gates, and the alert gate with the interval of a market's tier."""
 
     def make():
         last: list[int | None] = [None]
 
         def step(row: Any) -> bool | None:
-            if last[0] is not None and row["ts_us"] - last[0] < interval_us and not (bypass and row[bypass]):
+            gap = row[interval_us] if isinstance(interval_us, str) else interval_us
+            if last[0] is not None and row["ts_us"] - last[0] < gap and not (bypass and row[bypass]):
                 return None
             last[0] = row["ts_us"]
             return True

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeglass.operators import upkeep
+from tapeglass.functions import scores
+from tapeglass.operators import folds, upkeep
 from tapeglass.plans.queries import alerts, tiers
 from tapeglass.plans.sql import TIERS_SQL
 from tapeglass.sources import adapters as src
@@ -86,10 +87,63 @@ def tape_gate(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("market_pk", "tier", "prints", "run_ms", F.coalesce("stored", F.lit(0)).alias("stored"), F.coalesce("snapshots", F.lit(0)).alias("snapshots"))
 
 
-QUERIES = {f.__name__: f for f in (alert_upkeep, trade_upkeep, replayed_bars, tape_gate)}
+def alert_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The quotes after which a market's alerts are evaluated: by the interval of the tier that its
+    prior gives, on the compressed tape (a thousandth)."""
+    prior = scores.retention_reasons(F.col("prior"), F.lit(False), F.lit(0.0), F.lit(0.0), F.lit(False))
+    known = src.markets(spark, d).select("market_pk", scores.storage_tier(scores.retention_score(prior)).alias("tier"))
+    rows = src.quotes(spark, d).select("market_pk", "quote_pk", "ts_us").join(known, "market_pk", "left").withColumn("gap_us", gates.run_interval_ms(F.col("tier")).cast("long"))
+    return folds.throttle(rows, ["market_pk"], ["ts_us", "quote_pk"], "gap_us").select("market_pk", "quote_pk", "ts_us", "tier")
+
+
+QUERIES = {f.__name__: f for f in (alert_upkeep, trade_upkeep, replayed_bars, tape_gate, alert_runs)}
 
 (_, CUT_1, _), (_, CUT_2, _) = RUNS
+def fold_sql(rows: str, first: dict[str, str], then: dict[str, str]) -> str:
+    """f: rows (x, numbered by rn in each market) with the state columns after each: ``first`` from the
+    row alone, ``then`` from the row and the state of the one before (f)."""
+    start, step = (", ".join(f"{v} AS {k}" for k, v in c.items()) for c in (first, then))
+    return f"x AS ({rows}), f AS (SELECT x.*, {start} FROM x WHERE rn = 1 UNION ALL SELECT x.*, {step} FROM f JOIN x ON x.market_pk = f.market_pk AND x.rn = f.rn + 1)"
+
+
+def near_sql(c: str, tolerance: float) -> str:
+    return f"(x.{c} IS NULL AND f.last_{c} IS NULL OR coalesce(abs(x.{c} - f.last_{c}) <= {tolerance} + 1e-12, false))"
+
+
+NUMBERED = "row_number() OVER (PARTITION BY q.market_pk ORDER BY ts_us, quote_pk) AS rn"
+DUE = "x.ts_us - f.last_us >= {0}"
+HELD = f"NOT (x.ts_us - f.last_us < 120000000 AND {near_sql('yes_bid', 1e-4)} AND {near_sql('volume', 1e-2)})"
+EPISODE = f"f.created IS NULL OR x.rank > f.rank_now OR x.created_us - f.created >= {48 * 3_600_000_000}"
+PRICED = f"{DUE.format(60_000_000)} OR x.priced"
+ALERT_ROWS = """SELECT user_id AS market_pk, event_id AS alert_pk, epoch_us(ts) AS created_us, value AS score, CASE WHEN value >= 40 THEN 'critical' WHEN value >= 20 THEN 'high' WHEN value >= 10 THEN 'medium' ELSE 'low' END AS severity,
+  CASE WHEN value >= 40 THEN 4 WHEN value >= 20 THEN 3 WHEN value >= 10 THEN 2 ELSE 1 END AS rank, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events"""
+TIER_ROWS = f"""SELECT q.market_pk, quote_pk, ts_us, tier, CASE tier WHEN 'observe_only' THEN 3600000 ELSE 1800000 END AS gap, {NUMBERED}
+  FROM quotes q LEFT JOIN (SELECT market_pk, CASE WHEN prior IN ('high', 'medium_high') THEN 'sampled' ELSE 'observe_only' END AS tier FROM markets) t ON t.market_pk = q.market_pk"""
+THROTTLED = fold_sql(
+    f"SELECT market_pk, quote_pk, ts_us, last_price IS NOT NULL AS priced, {NUMBERED} FROM quotes q",
+    {"last_us": "ts_us", "kept": "true"},
+    {"last_us": f"CASE WHEN {PRICED} THEN x.ts_us ELSE f.last_us END", "kept": PRICED},
+)
+SUPPRESSED = fold_sql(
+    f"SELECT market_pk, quote_pk, ts_us, round(yes_bid, 1) AS yes_bid, round(CAST(volume AS DOUBLE), -2) AS volume, {NUMBERED} FROM quotes q",
+    {"last_us": "ts_us", "last_yes_bid": "yes_bid", "last_volume": "volume", "kept": "true"},
+    {f"last_{c}": f"CASE WHEN {HELD} THEN x.{'ts_us' if c == 'us' else c} ELSE f.last_{c} END" for c in ("us", "yes_bid", "volume")} | {"kept": HELD},
+)
+EPISODES = fold_sql(
+    ALERT_ROWS,
+    {"created": "CASE WHEN score >= 3 THEN created_us END", "rank_now": "CASE WHEN score >= 3 THEN rank ELSE -1 END", "action": "CASE WHEN score >= 3 THEN 'created' END"},
+    {
+        "created": f"CASE WHEN x.score >= 3 AND ({EPISODE}) THEN x.created_us ELSE f.created END",
+        "rank_now": "CASE WHEN x.score >= 3 THEN x.rank ELSE f.rank_now END",
+        "action": f"CASE WHEN x.score < 3 THEN NULL WHEN {EPISODE} THEN 'created' ELSE 'updated' END",
+    },
+)
+RUNS_BY_TIER = fold_sql(TIER_ROWS, {"last_us": "ts_us", "kept": "true"}, {"last_us": f"CASE WHEN {DUE.format('x.gap')} THEN x.ts_us ELSE f.last_us END", "kept": DUE.format("x.gap")})
 UPKEEP_SQL: dict[str, str] = {
+    "quote_throttle": f"WITH RECURSIVE {src.QUOTES_SQL}, {THROTTLED} SELECT market_pk, quote_pk, ts_us, priced FROM f WHERE kept",
+    "quote_suppression": f"WITH RECURSIVE {src.QUOTES_SQL}, {SUPPRESSED} SELECT market_pk, quote_pk, ts_us, yes_bid, volume FROM f WHERE kept",
+    "alert_episodes": f"WITH RECURSIVE {EPISODES} SELECT market_pk, alert_pk, created_us, severity, score, action FROM f WHERE action IS NOT NULL",
+    "alert_runs": f"WITH RECURSIVE {src.MARKETS_SQL}, {src.QUOTES_SQL}, {RUNS_BY_TIER} SELECT market_pk, quote_pk, ts_us, tier FROM f WHERE kept",
     "alert_upkeep": f"""WITH {TIERS_SQL},
 al AS (SELECT user_id AS market_pk, epoch_us(ts) AS us, value AS score, CASE WHEN value >= 40 THEN 'critical' WHEN value >= 20 THEN 'high' WHEN value >= 10 THEN 'medium' ELSE 'low' END AS sev FROM events),
 st AS (SELECT *, CASE WHEN sev = 'low' AND us < {CUT_1} THEN 1 WHEN sev IN ('low', 'medium') AND us < {CUT_2} THEN 2 ELSE 0 END AS run FROM al),
