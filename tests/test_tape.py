@@ -33,3 +33,9 @@ def test_batches_do_not_cut_a_history(spark):
         if price is not None:
             last[market] = price
     assert {pk: r.price_delta for pk, r in found[0].items()} == moves
+
+
+def test_history_is_read_over_one_sort(spark):
+    """Only prints as they are get sorted; rows with arrays of their history in a sort made tasks large."""
+    plan = tape.score_prints(spark.createDataFrame([(1, 1, 1, 0.5, 0.5, Decimal(1), "yes")], TRADE))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Sort [") == 1
