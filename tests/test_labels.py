@@ -1,6 +1,7 @@
 """Name rules and nearest labelled titles."""
 
 import math
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -87,3 +88,14 @@ def test_layers_fall_through(spark, tags, name, title, layer):
     joined = m.join(labels.nearest_labels(m, seeds).select("market_pk", F.col("label").alias("near")), "market_pk", "left")
     layers = [classify.taxonomy_label(F.col("listed"), F.lit(None).cast("string")), labels.rule_label(F.col("name"), F.col("title")), F.col("near")]
     assert classify.classify(joined.withColumnRenamed("tags", "listed"), layers).first().rule == layer
+
+
+def test_pairs_of_titles_and_seeds_are_not_shuffled(spark):
+    """Behind the one exchange that deals titles by their id, a title's grams and seeds are added up in place."""
+    seeds = spark.createDataFrame(SEEDS, "seed_id long, title string, category string, subcategory string, tags string")
+    rows = [(i, f"will gold be above {i}") for i in range(50)]
+    found = labels.nearest_labels(spark.createDataFrame(rows, "market_pk long, title string"), seeds)
+    assert found.count() == 50
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(title_id" in plan
+    assert not re.search(r"hashpartitioning\((gram|title_id#\d+L, (gram|seed_id))", plan)
