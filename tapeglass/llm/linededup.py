@@ -4,10 +4,13 @@ A line's shingles are the SHINGLE characters from each of its characters on (a s
 one shingle). Characters are UTF-16 units, so a character outside the basic plane counts as two.
 One hash per shingle gives minima in BINS ranges of the hash space; band j reads ROWS minima in a
 row from its own point of that circle, so lines with few shingles have full bands too. Lines that
-share a band are compared with the band's first line by exact Jaccard, and links are joined by
-star contraction. In bands that still hold several components, every link that is left is found:
-bands of at most BLOCK lines compare all their lines by bit sets, which never lose a link, and
-lines of larger ones meet in an exact set join by prefixes. The first line of each component stays.
+share a band are compared with the band's pivot by exact Jaccard, and links are joined by
+star contraction. A band's pivot is the line whose bands are the largest, which of many near copies
+is the one with the least changes, so most links of the others need not be found one by one; lines
+outside its component are compared with a second pivot. In bands that still hold several components,
+every link that is left is found: bands of at most BLOCK lines compare all their lines by bit sets,
+which never lose a link, and lines of larger ones meet in an exact set join by prefixes. The first
+line of each component stays.
 """
 
 from __future__ import annotations
@@ -117,6 +120,26 @@ def rooted_lines(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return shared.join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").select("band", "line_id", F.coalesce("root", "line_id").alias("root"))
 
 
+def pivot_pairs(rows: DataFrame, among: DataFrame) -> DataFrame:
+    """(a, b): each band's pivot, the heaviest of its lines in ``among``, with the band's lines of other
+    components. Both have band, line_id, root and weight. Copies that keep all minima weigh as much as
+    their line; a hash chooses among them, so that bands have different pivots then."""
+    pivots = among.groupBy("band").agg(F.max(F.struct("weight", F.xxhash64("band", "line_id"), "line_id", "root")).alias("p"))
+    met = rows.join(pivots, "band").where("root <> p.root")
+    return met.select(F.col("p.line_id").alias("a"), F.col("line_id").alias("b")).distinct()
+
+
+def outer_pairs(weighed: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): pairs as in :func:`pivot_pairs` for bands that still hold several components, with pivots
+    from outside the component of the first one. ``weighed`` has band, line_id and weight."""
+    rooted = weighed.join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("root", F.coalesce("root", "line_id"))
+    first = rooted.groupBy("band").agg(
+        F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("lines"), F.max(F.struct("weight", F.xxhash64("band", "line_id"), "line_id", "root")).alias("p")
+    )
+    rows = cut(rooted.join(first.where("x < y AND lines > 2").select("band", F.col("p.root").alias("inner")), "band"), "line-outer")
+    return pivot_pairs(rows, rows.where("root <> inner"))
+
+
 def bit_sets(texts: DataFrame) -> DataFrame:
     """(line_id, n, b0..): for each line the number of its shingles, repeated ones included, and a bit
     set with the bit of every shingle's hash."""
@@ -206,12 +229,17 @@ def links_inside_bands(
     return verified(pairs, texts, similarity)
 
 
+def as_links(roots: DataFrame) -> DataFrame:
+    """(a, b): every node with its root."""
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def line_roots(lines: DataFrame, similarity: float) -> DataFrame:
     """(node, root) over the ids of lines that have links: lines that share a band and whose
     exact Jaccard reaches ``similarity``."""
     banded = cut(bands(signatures(lines)), "line-bands")
-    ends = banded.groupBy("band").agg(F.min("line_id").alias("first"), F.max("line_id").alias("last")).where("first < last")
-    ends = cut(ends.select("band", "first"), "line-ends")
+    ends = banded.groupBy("band").agg(F.min("line_id").alias("first"), F.max("line_id").alias("last"), F.count("*").alias("lines")).where("first < last")
+    ends = cut(ends.select("band", "lines"), "line-ends")
     shared = cut(passes_bits(banded, "band", bit_filter(ends, "band")).join(ends, "band"), "line-shared")
     drop_cut(banded)
     drop_cut(ends)
@@ -223,16 +251,22 @@ def line_roots(lines: DataFrame, similarity: float) -> DataFrame:
         .join(wanted, "line_id", "left_semi"),
         "line-texts",
     )
-    pairs = shared.where("line_id <> first").select(F.col("first").alias("a"), F.col("line_id").alias("b")).distinct()
-    known = cut(bit_sets(texts), "line-bits")
-    roots = cut(connected_components(verified(near_pairs(pairs, known, similarity), texts, similarity)), "line-components")
-    more = cut(links_inside_bands(shared, roots, texts, similarity, known=known), "line-more")
+    weight = F.sum("lines").over(Window.partitionBy("line_id"))
+    weighed = cut(shared.select("band", "line_id", weight.alias("weight")), "line-weights")
     drop_cut(shared)
+    known = cut(bit_sets(texts), "line-bits")
+    alone = weighed.withColumn("root", F.col("line_id"))
+    roots = cut(connected_components(verified(near_pairs(pivot_pairs(alone, alone), known, similarity), texts, similarity)), "line-components")
+    outer = cut(verified(near_pairs(outer_pairs(weighed, roots), known, similarity), texts, similarity), "line-outer")
+    if not outer.isEmpty():
+        roots = cut(connected_components(as_links(roots).unionByName(outer)), "line-components")
+    more = cut(links_inside_bands(weighed.select("band", "line_id"), roots, texts, similarity, known=known), "line-more")
+    drop_cut(weighed)
     drop_cut(texts)
     drop_cut(known)
     if more.isEmpty():
         return roots
-    return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    return connected_components(as_links(roots).unionByName(more))
 
 
 def mark_lines(docs: DataFrame, similarity: float = 0.75) -> DataFrame:

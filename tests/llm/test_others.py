@@ -207,6 +207,18 @@ def test_line_dedup_of_long_and_wide_lines(spark):
     assert got == {1: True, 2: False, 3: True, 4: False, 5: True, 6: False, 7: True, 8: False}
 
 
+def test_lines_meet_the_pivots_of_their_bands(spark):
+    """A band's first pivot is its heaviest line, the second one the heaviest outside the component of the first."""
+    weights = {1: 5, 2: 7, 3: 9, 4: 6, 5: 2}
+    rows = [(b, i, i, weights[i]) for b, ids in ((1, (1, 2, 3)), (2, (2, 4, 5)), (3, (1, 2, 3, 4, 5)), (4, (1, 5))) for i in ids]
+    weighed = spark.createDataFrame(rows, "band long, line_id long, root long, weight long")
+    first = {tuple(r) for r in linededup.pivot_pairs(weighed, weighed).collect()}
+    assert first == {(3, 1), (3, 2), (3, 4), (3, 5), (2, 4), (2, 5), (1, 5)}
+    roots = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "node long, root long")
+    second = {tuple(r) for r in linededup.outer_pairs(weighed.drop("root"), roots).collect()}
+    assert second == {(4, 2), (4, 5), (4, 1), (4, 3)}
+
+
 def test_repeated_rows_keep_the_same_lines(spark):
     docs = spark.createDataFrame([(1, "one two three four"), (1, "one two three four"), (None, "five six seven"), (2, "FIVE  six\tseven")], "doc_id long, text string")
     got = {(r.doc_id, r.kept) for r in linededup.mark_lines(docs).collect()}
