@@ -47,21 +47,27 @@ def long_enough(norm: Column) -> Column:
     return F.substring_index(norm, " ", MIN_WORDS) != F.substring_index(norm, " ", MIN_WORDS - 1)
 
 
-def shingle_set(norm: Column) -> Column:
-    """Distinct hashes of the SHINGLE characters from each character on. The bytes are bound to a
-    lambda variable once, as a column would be copied for each shingle."""
+def shingle_hashes(norm: Column) -> Column:
+    """Hashes of the SHINGLE characters from each character on. The bytes are bound to a lambda
+    variable once, as a column would be copied for each shingle."""
     width = 2 * SHINGLE
     starts = lambda b: F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(b) - F.lit(width - 1)), F.lit(2))
     hashes = F.transform(F.array(F.encode(norm, "UTF-16BE")), lambda b: F.transform(starts(b), lambda i: F.xxhash64(F.substr(b, i, F.lit(width)))))
-    return F.array_distinct(F.get(hashes, F.lit(0)))
+    return F.get(hashes, F.lit(0))
+
+
+def shingle_set(norm: Column) -> Column:
+    """The distinct ones of :func:`shingle_hashes`."""
+    return F.array_distinct(shingle_hashes(norm))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
     """(row_id, doc_id, line_no, norm): every line with its normal form. row_id is a hash of
     doc_id and text, so repeated rows count as one document."""
-    lines = docs.select(
-        F.xxhash64("doc_id", F.octet_length("text"), "text").alias("row_id"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    )
+    row_id = F.xxhash64("doc_id", F.octet_length("text"), "text").alias("row_id")
+    whole = docs.where("text IS NOT NULL").select(row_id, "doc_id", F.split("text", "\n").alias("lines"))
+    # outer: else Spark adds a filter on the size of the lines, which splits every text twice
+    lines = whole.select("row_id", "doc_id", F.posexplode_outer("lines").alias("line_no", "line"))
     return lines.select("row_id", "doc_id", "line_no", normal(F.col("line")).alias("norm"))
 
 
@@ -78,9 +84,11 @@ def signatures(lines: DataFrame) -> DataFrame:
     coded = lines.dropDuplicates(["line_id"]).select("line_id", F.encode("norm", "UTF-16BE").alias("b"))
     octave = f"length(bin(greatest(1, octet_length(b) div 2 - {SHINGLE - 1}))) - 1"
     bound = F.expr(f"shiftright({REACH * BINS}L * 8589934592L, {octave})").alias("bound")
+    # the condition, always true, holds the filter on hashes behind them: pushed below, it would make each hash a second time
+    once = F.when(F.spark_partition_id() >= 0, F.expr(f"xxhash64(substring(b, i, {width}))"))
     hashed = coded.select("line_id", "b", bound).select(
         "line_id", "bound", "b", F.explode(F.expr(f"sequence(1, greatest(1, octet_length(b) - {width - 1}), 2)")).alias("i")
-    ).select("line_id", "bound", F.expr(f"xxhash64(substring(b, i, {width}))").alias("h"))
+    ).select("line_id", "bound", once.alias("h"))
     part = F.expr(f"int(shiftrightunsigned(shiftrightunsigned(h, 33) * {BANDS}L, 31))").alias("part")
     binned = hashed.select("line_id", "bound", part, F.expr(f"(h & 8589934591L) * {ROWS}L").alias("g"))
     low = binned.where("(g & 8589934591L) < bound").select("line_id", "part", F.expr("int(shiftrightunsigned(g, 33))").alias("r"), F.expr("g & 8589934591L").alias("v"))
@@ -103,16 +111,16 @@ def bands(signed: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (a, b) of line ids whose shingle sets reach ``similarity``. Sets are made
-    from the texts after the joins, as they are many times larger."""
+    """Those pairs (a, b) of line ids whose shingle sets, of n and m hashes, reach ``similarity``. Hashes
+    are made from the texts after the joins, as they are many times larger."""
     both = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("norm").alias("na")), "a").join(
         texts.select(F.col("line_id").alias("b"), F.col("norm").alias("nb")), "b"
     )
     parts = shuffle_count(pairs.sparkSession)
-    sets = both.repartition(parts, "a", "b").select("a", "b", shingle_set(F.col("na")).alias("sa"), shingle_set(F.col("nb")).alias("sb"))
+    hashed = both.repartition(parts, "a", "b").select("a", "b", "n", "m", shingle_hashes(F.col("na")).alias("ha"), shingle_hashes(F.col("nb")).alias("hb"))
     share = F.lit(similarity)
-    common, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    return sets.where(common * (1 + share) >= share * total).select("a", "b")
+    common = F.size(F.array_intersect("ha", "hb"))  # distinct ones
+    return hashed.where(common * (1 + share) >= share * (F.col("n") + F.col("m"))).select("a", "b")
 
 
 def rooted_lines(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -141,15 +149,11 @@ def outer_pairs(weighed: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def bit_sets(texts: DataFrame) -> DataFrame:
-    """(line_id, n, b0..): for each line the number of its shingles, repeated ones included, and a bit
-    set with the bit of every shingle's hash."""
-    width = 2 * SHINGLE
-    coded = texts.select("line_id", F.encode("norm", "UTF-16BE").alias("b"))
-    count = F.expr(f"greatest(1, octet_length(b) div 2 - {SHINGLE - 1})").alias("n")
-    hashed = coded.select("line_id", count, "b", F.explode(F.expr(f"sequence(1, greatest(1, octet_length(b) - {width - 1}), 2)")).alias("i")).select(
-        "line_id", "n", F.expr(f"xxhash64(substring(b, i, {width}))").alias("h")
-    )
-    bits = [F.expr(f"bit_or(if(pmod(shiftright(h, 6), {BIT_WORDS}) = {k}, shiftleft(1L, int(h & 63L)), 0L))").alias(f"b{k}") for k in range(BIT_WORDS)]
+    """(line_id, n, b0..): for each line the number of its distinct shingles and, for each of the bits
+    their hashes are dealt to, whether an odd number of them is there."""
+    sets = texts.select("line_id", shingle_set(F.col("norm")).alias("set")).select("line_id", F.size("set").alias("n"), "set")
+    hashed = sets.select("line_id", "n", F.explode_outer("set").alias("h"))  # outer: else a filter makes every set twice
+    bits = [F.expr(f"bit_xor(if(pmod(shiftright(h, 6), {BIT_WORDS}) = {k}, shiftleft(1L, int(h & 63L)), 0L))").alias(f"b{k}") for k in range(BIT_WORDS)]
     return hashed.groupBy("line_id", "n").agg(*bits)
 
 
@@ -162,52 +166,53 @@ def other_bits(rows: DataFrame) -> DataFrame:
 def near_bits(similarity: float) -> Column:
     """Whether two lines may reach ``similarity``; true for all that do.
 
-    A bit that only one of two lines has stands for a shingle that only that line has, and sets of n
-    and m shingles that reach the similarity s differ in at most (n + m) * (1 - s) / (1 + s)."""
+    A shingle that both lines have changes the same bit of both, so a bit that differs stands for a
+    shingle that only one of them has, however full the bits are; and sets of n and m shingles that
+    reach the similarity s differ in at most (n + m) * (1 - s) / (1 + s)."""
     apart = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"o{k}"))) for k in range(BIT_WORDS)), F.lit(0))
     return apart * F.lit(1 + similarity) <= (F.col("n") + F.col("m")) * F.lit(1 - similarity) + ROUNDING
 
 
 def near_pairs(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (a, b) that pass :func:`near_bits`."""
+    """Those pairs (a, b) that pass :func:`near_bits`, with the sizes n and m of their sets."""
     both = pairs.join(known.withColumnRenamed("line_id", "a"), "a").join(other_bits(known), "b")
-    return both.where(near_bits(similarity)).select("a", "b")
+    return both.where(near_bits(similarity)).select("a", "b", "n", "m")
 
 
 def pairs_of_blocks(rows: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of different components in one band that pass :func:`near_bits`. That is decided
+    """(a, b, n, m): pairs of different components in one band that pass :func:`near_bits`. That is decided
     inside the join, so only what passes becomes a row."""
     one = cut(rows.join(known, "line_id"), "line-blocks")
     two = other_bits(one.withColumnRenamed("root", "b_root"))
     met = one.join(two, "band").where((F.col("line_id") < F.col("b")) & (F.col("root") != F.col("b_root")) & near_bits(similarity))
-    return met.select(F.col("line_id").alias("a"), "b").distinct()
+    return met.select(F.col("line_id").alias("a"), "b", "n", "m").distinct()
 
 
-def pairs_by_prefixes(lines: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of different components of ``lines`` (line_id, root) that may reach ``similarity``;
+def pairs_by_prefixes(lines: DataFrame, texts: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, n, m): pairs of different components of ``lines`` (line_id, root) that may reach ``similarity``;
     every pair that does is among them.
 
     An exact set join by prefixes: the shingles of these lines are ordered from rare to frequent, in
     one order for all. Two sets of n and m shingles that reach ``similarity`` have one of their first
     n - ceil(similarity * n) + 1 and m - ceil(similarity * m) + 1 in common, and behind their first
-    common one enough are left in both for the overlap that is needed; both are decided inside the
-    join. So lines that share a passage, whose shingles are frequent, do not meet by it, and the
-    pairs grow with the links and not with the bands."""
+    common one enough are left in both for the overlap that is needed. That and :func:`near_bits`, with
+    the bit sets ``known`` of the lines, are decided inside the join. So lines that share a passage, whose
+    shingles are frequent, do not meet by it, and the pairs grow with the links and not with the bands."""
     sets = texts.join(lines, "line_id").select("line_id", "root", shingle_set(F.col("norm")).alias("set"))
-    shingles = sets.select("line_id", "root", F.size("set").alias("n"), F.explode("set").alias("h"))
+    shingles = sets.select("line_id", "root", F.size("set").alias("n"), F.explode_outer("set").alias("h"))
     met = shingles.groupBy("h").agg(F.count("*").alias("f"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h", "f")
     # shingles of one component come first in the order: no pair of two components shares them
     line = Window.partitionBy("line_id")
     alone = F.col("n") - F.count("*").over(line)
-    ranked = shingles.select("line_id", "n", "h").join(met, "h").withColumn("at", alone + F.row_number().over(line.orderBy("f", "h")))
+    ranked = shingles.join(met, "h").withColumn("at", alone + F.row_number().over(line.orderBy("f", "h")))
     share = F.lit(similarity)
     prefix = F.col("n") - F.ceil(share * F.col("n") - ROUNDING) + 1
-    first = cut(ranked.where(F.col("at") <= prefix).join(lines, "line_id").select("h", "line_id", "root", "n", "at"), "line-prefixes")
-    two = first.select("h", F.col("line_id").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("m"), F.col("at").alias("b_at"))
+    first = cut(ranked.where(F.col("at") <= prefix).select("h", "line_id", "root", "n", "at").join(known.drop("n"), "line_id"), "line-prefixes")
+    two = other_bits(first.withColumnsRenamed({"root": "b_root", "at": "b_at"}))
     rest = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("b_at"))
     reach = (1 + rest) * (1 + share) >= share * (F.col("n") + F.col("m")) - ROUNDING
-    pairs = first.join(two, "h").where((F.col("line_id") < F.col("b")) & (F.col("root") != F.col("b_root")) & reach)
-    return pairs.select(F.col("line_id").alias("a"), "b").distinct()
+    pairs = first.join(two, "h").where((F.col("line_id") < F.col("b")) & (F.col("root") != F.col("b_root")) & reach & near_bits(similarity))
+    return pairs.select(F.col("line_id").alias("a"), "b", "n", "m").distinct()
 
 
 def links_inside_bands(
@@ -224,7 +229,7 @@ def links_inside_bands(
     pairs = pairs_of_blocks(rows.where(F.col("lines") <= block).drop("lines"), known, similarity)
     large = rows.where(F.col("lines") > block).select("line_id", "root").distinct()
     if not large.isEmpty():
-        more = pairs_by_prefixes(cut(large, "line-open"), texts, similarity)
+        more = pairs_by_prefixes(cut(large, "line-open"), texts, known, similarity)
         pairs = pairs.unionByName(more).distinct()
     return verified(pairs, texts, similarity)
 
@@ -237,12 +242,8 @@ def as_links(roots: DataFrame) -> DataFrame:
 def line_roots(lines: DataFrame, similarity: float) -> DataFrame:
     """(node, root) over the ids of lines that have links: lines that share a band and whose
     exact Jaccard reaches ``similarity``."""
-    banded = cut(bands(signatures(lines)), "line-bands")
-    ends = banded.groupBy("band").agg(F.min("line_id").alias("first"), F.max("line_id").alias("last"), F.count("*").alias("lines")).where("first < last")
-    ends = cut(ends.select("band", "lines"), "line-ends")
-    shared = cut(passes_bits(banded, "band", bit_filter(ends, "band")).join(ends, "band"), "line-shared")
-    drop_cut(banded)
-    drop_cut(ends)
+    together = bands(signatures(lines)).withColumn("lines", F.count("*").over(Window.partitionBy("band")))
+    shared = cut(together.where("lines > 1"), "line-shared")
     free_shuffles(lines.sparkSession)
     wanted = shared.select("line_id").distinct()
     texts = cut(

@@ -1,3 +1,4 @@
+import hashlib
 import html
 import re
 from collections import Counter
@@ -219,6 +220,26 @@ def test_lines_meet_the_pivots_of_their_bands(spark):
     assert second == {(4, 2), (4, 5), (4, 1), (4, 3)}
 
 
+def test_long_lines_of_half_their_shingles_are_not_verified(spark):
+    """Bits that lines have together say nothing of a pair, so full bit sets tell long lines apart; repeated shingles change no bit."""
+    def text(seed, words):
+        return " ".join(hashlib.sha256(f"{seed} {i}".encode()).hexdigest()[:7] for i in range(words))
+
+    lines = [(1, text("a", 110)), (2, text("a", 75) + " " + text("b", 35)), (3, text("a", 108) + " " + text("c", 2)), (4, text("a", 110) + " " + text("a", 110))]
+    known = linededup.bit_sets(spark.createDataFrame(lines, "line_id long, norm string"))
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a long, b long")
+    assert sorted(r.b for r in linededup.near_pairs(pairs, known, 0.75).collect()) == [3, 4]
+
+
+def test_shingles_of_a_line_are_hashed_once(spark):
+    """No filter beneath a step makes the hashes or the lines of a text a second time."""
+    lines = spark.createDataFrame([(1, "one two three four")], "line_id long, norm string")
+    docs = spark.createDataFrame([(1, "one\ntwo")], "doc_id long, text string")
+    for found, made in ((linededup.signatures(lines), "xxhash64(substr"), (linededup.bit_sets(lines), "xxhash64(substr"), (linededup.split_lines(docs), "split(")):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count(made) == 1
+    assert "text" not in linededup.split_lines(docs)._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+
+
 def test_repeated_rows_keep_the_same_lines(spark):
     docs = spark.createDataFrame([(1, "one two three four"), (1, "one two three four"), (None, "five six seven"), (2, "FIVE  six\tseven")], "doc_id long, text string")
     got = {(r.doc_id, r.kept) for r in linededup.mark_lines(docs).collect()}
