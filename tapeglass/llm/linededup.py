@@ -207,7 +207,9 @@ def pairs_by_prefixes(lines: DataFrame, texts: DataFrame, known: DataFrame, simi
     ranked = shingles.join(met, "h").withColumn("at", alone + F.row_number().over(line.orderBy("f", "h")))
     share = F.lit(similarity)
     prefix = F.col("n") - F.ceil(share * F.col("n") - ROUNDING) + 1
-    first = cut(ranked.where(F.col("at") <= prefix).select("h", "line_id", "root", "n", "at").join(known.drop("n"), "line_id"), "line-prefixes")
+    # a line meets its bits once, not for each shingle
+    prefixes = ranked.where(F.col("at") <= prefix).groupBy("line_id", "root", "n").agg(F.collect_list(F.struct("h", "at")).alias("prefix"))
+    first = cut(prefixes.join(known.drop("n"), "line_id").select("*", F.inline("prefix")).drop("prefix"), "line-prefixes")
     two = other_bits(first.withColumnsRenamed({"root": "b_root", "at": "b_at"}))
     rest = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("b_at"))
     reach = (1 + rest) * (1 + share) >= share * (F.col("n") + F.col("m")) - ROUNDING
@@ -242,8 +244,11 @@ def as_links(roots: DataFrame) -> DataFrame:
 def line_roots(lines: DataFrame, similarity: float) -> DataFrame:
     """(node, root) over the ids of lines that have links: lines that share a band and whose
     exact Jaccard reaches ``similarity``."""
-    together = bands(signatures(lines)).withColumn("lines", F.count("*").over(Window.partitionBy("band")))
+    banded = cut(bands(signatures(lines)), "line-bands")
+    free_shuffles(lines.sparkSession)  # the texts, before the bands are shuffled
+    together = banded.withColumn("lines", F.count("*").over(Window.partitionBy("band")))
     shared = cut(together.where("lines > 1"), "line-shared")
+    drop_cut(banded)
     free_shuffles(lines.sparkSession)
     wanted = shared.select("line_id").distinct()
     texts = cut(
