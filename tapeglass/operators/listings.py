@@ -34,13 +34,15 @@ def event_groups(markets: DataFrame) -> DataFrame:
     return markets.withColumn("place", F.row_number().over(order)).join(size, "event_id").select("market_pk", "event_id", "close_us", "place", "event_size")
 
 
-def link_prints(links: DataFrame, trades: DataFrame, lookback_us: int, most: int = 1000) -> DataFrame:
+def link_prints(links: DataFrame, trades: DataFrame, lookback_us: int, most: int | None = 1000) -> DataFrame:
     """The earliest ``most`` prints of each link's market in the lookback before its news (an
-    explicit limit of the report). Joined on market and time block."""
+    explicit limit of the report), or with None all of them. Joined on market and time block."""
     block = F.floor(F.col("news_us") / lookback_us)
     wide = links.withColumn("block", F.explode(F.array(block, block - 1)))
     prints = trades.withColumn("block", F.floor(F.col("ts_us") / lookback_us))
     met = wide.join(prints, ["market_pk", "block"]).where((F.col("ts_us") < F.col("news_us")) & (F.col("ts_us") >= F.col("news_us") - lookback_us))
+    if most is None:
+        return met.drop("block")
     place = F.row_number().over(Window.partitionBy("news_id").orderBy("ts_us", "trade_pk"))
     return met.withColumn("place", place).where(F.col("place") <= most).drop("block")
 

@@ -86,3 +86,10 @@ def test_whole_queries_equal_their_sql(spark, one_event, name):
     plain = lambda v: round(float(v), 6) if isinstance(v, float) else v
     rows = [Counter(tuple(plain(v) for v in r) for r in t) for t in (found.select(*want.columns).collect(), want.fetchall())]
     assert rows[0] == rows[1] and rows[0]
+
+
+def test_every_print_before_the_news_is_scored(spark, one_event):
+    """Market 0 has 1340 prints before the news; the links used to read the earliest 1000."""
+    evaluated = [r.evaluated for r in QUERIES["news_correlations"](spark, one_event).collect()]
+    assert max(evaluated) == 1340
+    assert sum(r.prints for r in QUERIES["correlation_summary"](spark, one_event).collect()) == sum(evaluated)
