@@ -93,3 +93,11 @@ def test_every_print_before_the_news_is_scored(spark, one_event):
     evaluated = [r.evaluated for r in QUERIES["news_correlations"](spark, one_event).collect()]
     assert max(evaluated) == 1340
     assert sum(r.prints for r in QUERIES["correlation_summary"](spark, one_event).collect()) == sum(evaluated)
+
+
+def test_reasons_of_all_flags_are_counted(spark, one_event):
+    """There are more than 500 flags."""
+    flags = QUERIES["trade_flags"](spark, one_event).collect()
+    assert len(flags) > 500
+    want = Counter(reason for r in flags if r.reasons for reason in r.reasons.split(","))
+    assert {r.reason: r.flags for r in QUERIES["reason_counts"](spark, one_event).collect()} == want
